@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import quality_classifier, toxicity
+from ledgerloom.llm import quality_classifier, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op5_toxicity": toxicity.query,
+    "op6_secret_scan": secret_scan.query,
+    "op10_quality_rules": quality_rules.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_rules": quality_rules.ORACLE}
