@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import jaccard_join, quality_classifier, quality_rules, secret_scan, toxicity
+from ledgerloom.llm import decontaminate, jaccard_join, quality_classifier, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
     "op3_jaccard_join": jaccard_join.query,
     "op5_toxicity": toxicity.query,
     "op6_secret_scan": secret_scan.query,
+    "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
 }
 
