@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, jaccard_join, quality_classifier, quality_rules, secret_scan, toxicity
+from ledgerloom.llm import decontaminate, html_extract, jaccard_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
+    "op2_html_extract": html_extract.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op4_sentence_pieces": sentence_pieces.query,
     "op5_toxicity": toxicity.query,
     "op6_secret_scan": secret_scan.query,
     "op9_decontaminate": decontaminate.query,
