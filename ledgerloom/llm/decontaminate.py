@@ -170,16 +170,42 @@ def _scan(docs: DataFrame, idx: dict, least: float) -> DataFrame:
 def held(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) for every document and item it holds."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    out = None
+    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
+        found = _scan(docs, index(rows), least)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, in blocks of about `block_bytes` of text at most."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size * 2 // block_bytes)) if size > block_bytes else 1
-    out = None
     for b in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
-        rows = [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()]  # at most a block of text
-        found = _scan(docs, index(rows), least)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield [(r["i"], r["t"]) for r in mine.orderBy("i", "t").collect()]
+
+
+def without(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` that hold no item, with all their columns; narrow."""
+    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
+        idx = index(rows)
+        held = docs.sparkSession.sparkContext.broadcast(idx)
+        at = docs.columns.index(text)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
+            mine = held.value
+            tables = _tables(mine)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, data, offs in tk.slices(batch.column(at)):
+                    for d, *_rest in held_items(tk.Words(data, offs), mine, tables, least):
+                        clean[i + d] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def query(spark, sf_dir: str) -> DataFrame:

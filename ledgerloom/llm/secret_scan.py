@@ -72,15 +72,19 @@ def _spans(text: Column, rank: int, pattern: str, group: int, ok) -> Column:
 
 def candidates(docs: DataFrame, text: str, repository: str, owner: str) -> DataFrame:
     """(_id, _repo, _owner, _base, _weak): candidate spans of every row; no shuffle."""
-    t = F.col("_t")
     rows = docs.select(F.col(f"`{repository}`").alias("_repo"), F.col(f"`{owner}`").alias("_owner"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
+    assign, access, hexes, weak = _all_spans(F.col("_t"))
+    return rows.select("_repo", "_owner", F.sort_array(F.concat(assign, access, hexes)).alias("_base"), weak.alias("_weak"))
+
+
+def _all_spans(t: Column) -> list[Column]:
+    """The candidate spans of a text, by kind."""
     none = F.array().cast(_SPAN)
     assign = F.when(t.contains("=") | t.contains(":"), _spans(t, 0, ASSIGN, 1, lambda v: F.length(v) >= ASSIGN_LEAST)).otherwise(none)
     access = F.when(t.contains("AKIA"), _spans(t, 1, ACCESS, 0, lambda v: F.lit(True))).otherwise(none)
     hexes = _spans(t, 2, HEX, 0, lambda v: F.lit(True))
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 12)
-    weak = _spans(t, 3, WEAK, 0, mixed)
-    return rows.select("_repo", "_owner", F.sort_array(F.concat(assign, access, hexes)).alias("_base"), weak.alias("_weak"))
+    return [assign, access, hexes, _spans(t, 3, WEAK, 0, mixed)]
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -94,13 +98,9 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """One row for each row of `docs`: repository, owner, base spans, and all spans with their class.
-
-    base: array<struct<start, rank, end, hash>>; spans: the same with `live`.
-    """
-    found = shared.written(candidates(docs, text, repository, owner), "secrets")
-    held = (
+def _live_of(found: DataFrame) -> DataFrame:
+    """(_key, _live): the live-looking hashes of every repository that has a candidate."""
+    return (
         found.where((F.size("_base") > 0) | (F.size("_weak") > 0))
         .select("_repo", F.explode(F.array_distinct(F.concat("_base", "_weak")["hash"])).alias("hash"))
         .join(ownership(found), "hash")
@@ -108,6 +108,30 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
         .agg(F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("_live"))
         .withColumnRenamed("_repo", "_key")
     )
+
+
+def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
+    """`docs` with every live-looking credential in `text` replaced by `mark`; widely copied examples stay.
+
+    Only ids and hashes decide; a row's spans are found again in its own text, so rows
+    that share an id are each redacted rightly.
+    """
+    found = shared.written(candidates(docs, text, repository, owner), "secrets")
+    live = _live_of(found).where(F.size("_live") > 0)
+    rows = docs.join(live, F.col(f"`{repository}`").eqNullSafe(F.col("_key")), "left")
+    t = F.col(f"`{text}`")
+    spans = F.sort_array(F.filter(F.concat(*_all_spans(t)), lambda x: F.array_contains("_live", x["hash"])))
+    cleaned = F.when(F.col("_live").isNotNull() & t.isNotNull(), redacted(t, spans, mark)).otherwise(t)
+    return rows.select(*(cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+
+def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
+    """One row for each row of `docs`: repository, owner, base spans, and all spans with their class.
+
+    base: array<struct<start, rank, end, hash>>; spans: the same with `live`.
+    """
+    found = shared.written(candidates(docs, text, repository, owner), "secrets")
+    held = _live_of(found)
     joined = found.join(held, F.col("_repo").eqNullSafe(F.col("_key")), "left")
     live = F.coalesce(F.col("_live"), F.array().cast("array<bigint>"))
     marked = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["hash"].alias("hash"), F.array_contains(live, x["hash"]).alias("live")))
