@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import decontaminate, html_extract, jaccard_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, toxicity, warc
+from ledgerloom.llm import decontaminate, html_extract, jaccard_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentence_pieces": sentence_pieces.query,
     "op5_toxicity": toxicity.query,
     "op6_secret_scan": secret_scan.query,
+    "op7_suffix_dedup": suffix_dedup.query,
     "op8_warc": warc.query,
     "op9_decontaminate": decontaminate.query,
     "op10_quality_rules": quality_rules.query,
