@@ -127,6 +127,8 @@ def held_items(words: tk.Words, idx: dict, tables: dict[int, np.ndarray], least:
     if not at:
         return
     at, item, pos = (np.concatenate(x) for x in (at, item, pos))
+    if not len(at):
+        return
     doc = np.searchsorted(words.first, at, "right") - 1
     diagonal = at - pos
     order = np.lexsort((diagonal, item, doc))
