@@ -10,7 +10,7 @@ import re
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def render_value(v) -> str:
@@ -80,7 +80,7 @@ def coerce(kind: str, raw) -> tuple[object, str | None]:
     return render_value(raw) if not isinstance(raw, str) else raw, None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rendered(values: pd.Series) -> pd.Series:
     """render_value() of JSON texts; null and malformed JSON render as nothing and as themselves."""
 
@@ -95,7 +95,7 @@ def rendered(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("struct<value string, error string>")
+@F.pandas_udf(T.StructType([T.StructField("value", T.StringType()), T.StructField("error", T.StringType())]))
 def coerced(kinds: pd.Series, values: pd.Series) -> pd.DataFrame:
     """coerce() of JSON texts; the value is JSON again."""
     out = []

@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Elements without text, elements that end a line, entities of image texts.
 NO_TEXT = frozenset("script style svg template iframe".split())
@@ -158,7 +158,7 @@ def images(page: str | None) -> list[tuple[str, str]]:
     return list(out.items())
 
 
-@F.pandas_udf("array<struct<url:string,alt:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("alt", T.StringType())])))
 def image_list(pages: pd.Series) -> pd.Series:
     """images() of every page."""
     return pages.map(lambda p: [{"url": u, "alt": a} for u, a in images(p)])
@@ -200,7 +200,7 @@ def url_problem(url: str | None) -> str | None:
     return "private host" if is_blocked(parts.hostname) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_problems(urls: pd.Series) -> pd.Series:
     """url_problem() of every address."""
     return urls.map(url_problem)
@@ -233,7 +233,7 @@ def picture_facts(data: bytes | None) -> tuple[str | None, int | None, int | Non
     return kind, width, height, "too thin" if max(width, height) > 6 * min(width, height) else None
 
 
-@F.pandas_udf("struct<content_type string, width int, height int, problem string>")
+@F.pandas_udf(T.StructType([T.StructField("content_type", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("problem", T.StringType())]))
 def picture_info(data: pd.Series) -> pd.DataFrame:
     """picture_facts() of every image."""
     return pd.DataFrame([picture_facts(d) for d in data], columns=["content_type", "width", "height", "problem"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import ledger_queries
+from ledgerloom.plans import graph_queries, ledger_queries
 
-QUERIES = dict(ledger_queries.QUERIES)
-ORACLES = dict(ledger_queries.ORACLES)
+QUERIES = {**ledger_queries.QUERIES, **graph_queries.QUERIES}
+ORACLES = {**ledger_queries.ORACLES, **graph_queries.ORACLES}
