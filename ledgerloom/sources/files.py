@@ -22,7 +22,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole and split natively, since a line's number is part of its
     meaning; a statement file is megabytes, and files spread over the cluster.
     """
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", F.lit("utf-8")).alias("t"))
+    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("t"))
     split = whole.select("file", F.posexplode(F.split("t", "\r\n|\n|\r")).alias("n", "raw"))
     return split.select("file", (F.col("n") + 1).cast("long").alias("line_no"), "raw")
 
