@@ -12,8 +12,9 @@
     verification, lists that still hold several components emit all pairs between
     different components.  So copies are never expanded into all pairs, and no link
     between different components is lost.
-4.  Candidates are expanded to the distinct sets of the two groups and verified on
-    the whole sets: 100 * intersection >= percent * union.
+4.  Candidates are expanded to the distinct sets of the two groups and verified, first
+    against an exact bound by parity bitmaps, then on the whole sets: 100 *
+    intersection >= percent * union.
 5.  Components by alternating large-star and small-star steps over verified links.
 
 Texts are read by three narrow passes; only postings, candidate texts and ids are
@@ -42,6 +43,7 @@ N, PERCENT = 5, 80
 SLOT_BITS = 22
 PARTS = 64
 SHORT_LIST = 64
+PIECE = 2048
 
 
 def _least(size, percent: int):
@@ -71,13 +73,18 @@ def group_of(prefix: np.ndarray, size: int) -> int:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Document rows (doc_id, n, fp), then the task's counters (part, form, blob); a set that comes again is counted once."""
     total = np.zeros(1 << SLOT_BITS, np.uint32)
     seen: set[int] = set()
+    names = ["doc_id", "n", "fp", "part", "form", "blob"]
     for batch in batches:
-        for _, _, data, offs in tk.slices(batch.column(0)):
+        sizes, fps = [], []
+        for _, _, data, offs in tk.slices(batch.column(1)):
             fresh = []
             for s in tk.shingle_sets(tk.Words(data, offs), n):
                 f = tk.fingerprint(s)
+                sizes.append(len(s))
+                fps.append(f)
                 if f not in seen:
                     seen.add(f)
                     fresh.append(s)
@@ -85,6 +92,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 slot = (np.concatenate(fresh) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
                 at, count = np.unique(slot, return_counts=True)
                 total[at] += count.astype(np.uint32)
+        k = len(sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     if not seen:
         return
     per = len(total) // PARTS
@@ -97,7 +106,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
             blob = piece.astype(np.uint8).tobytes() if small else piece.tobytes()
         else:
             blob = np.array([len(at)], np.uint32).tobytes() + at.astype(np.uint32).tobytes() + piece[at].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([(1 if small else 2) if dense else 0], pa.int32()), pa.array([blob], pa.binary())], ["part", "form", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([(1 if small else 2) if dense else 0], pa.int32()), pa.array([blob], pa.binary())], names)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +126,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([float(mine.sum())]), pa.array([log.tobytes()], pa.binary())], ["part", "total", "log"])
 
 
-def frequency_classes(docs: DataFrame, text: str = "text", n: int = N) -> np.ndarray:
-    """One byte a slot: 0 for ordinary shingles, else the base-2 order of a frequent one's count."""
-    spark = docs.sparkSession
-    rows = (
-        docs.select(F.col(f"`{text}`").alias("text"))
-        .mapInArrow(lambda b: _sketch(b, n), "part int, form int, blob binary")
-        .repartition(min(PARTS, shared.partitions(spark)), "part")
-        .mapInArrow(_merged, "part int, total double, log binary")
-        .collect()
-    )  # PARTS rows of a fixed size, 4 MB together
+def frequency_classes(counters: DataFrame) -> np.ndarray:
+    """One byte a slot from (part, form, blob): 0 for ordinary shingles, else the base-2 order of a frequent one's count."""
+    rows = counters.repartition(min(PARTS, shared.partitions(counters.sparkSession)), "part").mapInArrow(_merged, "part int, total double, log binary").collect()  # PARTS rows of a fixed size, 4 MB together
     per = (1 << SLOT_BITS) // PARTS
     out, count = np.zeros(1 << SLOT_BITS, np.uint8), 0.0
     for r in rows:
@@ -184,37 +186,33 @@ def decoded(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _postings(batches: Iterator[pa.RecordBatch], classes: np.ndarray, n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Document rows (doc_id, n, fp, grp) and posting rows (bucket, blob)."""
-    out, groups = _Outgoing(buckets), set()
-    empty = lambda k, kind: pa.nulls(k, kind)
-    names = ["doc_id", "n", "fp", "grp", "bucket", "blob"]
+    """Posting rows (bucket, blob), and member rows (bucket, grp, fp) of the groups."""
+    out, groups, seen = _Outgoing(buckets), set(), set()
+    names = ["bucket", "grp", "fp", "blob"]
 
     def blobs() -> Iterator[pa.RecordBatch]:
         if out.parts:
             made = list(out.blobs())
             k = len(made)
-            yield pa.RecordBatch.from_arrays([empty(k, pa.int64()), empty(k, pa.int32()), empty(k, pa.int64()), empty(k, pa.int64()), pa.array([b for b, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x for _, x in made], pa.binary())], names)
 
     for batch in batches:
-        sizes, fps, grps = [], [], []
+        members = []
         for _, _, data, offs in tk.slices(batch.column(1)):
             for s in tk.shingle_sets(tk.Words(data, offs), n):
-                size = len(s)
-                sizes.append(size)
-                if not size:
-                    fps.append(0)
-                    grps.append(0)
+                f = tk.fingerprint(s)
+                if not len(s) or f in seen:
                     continue
-                prefix = ordered(s, classes)[: size - int(_least(size, percent)) + 1]
-                g = group_of(prefix, size)
-                fps.append(tk.fingerprint(s))
-                grps.append(g)
+                seen.add(f)
+                prefix = ordered(s, classes)[: len(s) - int(_least(len(s), percent)) + 1]
+                g = group_of(prefix, len(s))
+                members.append((g, f))
                 if g not in groups:
                     groups.add(g)
-                    out.add(g, size, prefix)
-        k = len(sizes)
-        as_signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int32()), as_signed(fps), as_signed(grps), empty(k, pa.int32()), empty(k, pa.binary())], names)
+                    out.add(g, len(s), prefix)
+        if members:
+            m = np.array(members, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array((m[:, 0] % np.uint64(buckets)).astype(np.int32)), pa.array(m[:, 0].copy().view(np.int64)), pa.array(m[:, 1].copy().view(np.int64)), pa.nulls(len(m), pa.binary())], names)
         if out.size > 4_000_000:
             yield from blobs()
     yield from blobs()
@@ -223,8 +221,32 @@ def _postings(batches: Iterator[pa.RecordBatch], classes: np.ndarray, n: int, pe
 # --- candidates
 
 
-def group_pairs(token: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int, short: int = SHORT_LIST) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct candidate pairs of groups, and the long lists (groups, sorted) that anchors alone cover."""
+def _passes(a, b, i, j, percent: int):
+    """May sets of sizes a <= b that meet at positions i and j of their orders be linked?"""
+    short = i < a - _least(a * 2, 100 * percent // (100 + percent)) + 1
+    return (a * 100 >= b * percent) & short & (np.minimum(a - i, b - j) >= _need(a, b, percent))
+
+
+def passing(size: np.ndarray, pos: np.ndarray, percent: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (smaller, larger set) of a list in order of size that pass, by blocks of rows; with labels, of different ones only."""
+    m = len(size)
+    for first in range(0, m, 256):
+        i = np.arange(first, min(m, first + 256))
+        end = int(np.searchsorted(size * percent, size[i[-1]] * 100, "right"))
+        j = np.arange(first, end)
+        ok = _passes(size[i][:, None], size[j][None, :], pos[i][:, None], pos[j][None, :], percent) & (i[:, None] < j[None, :])
+        if label is not None:
+            ok &= label[i][:, None] != label[j][None, :]
+        x, y = np.nonzero(ok)
+        yield i[x], j[y]
+
+
+def group_pairs(token: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.ndarray, percent: int, short: int = SHORT_LIST) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Distinct candidate pairs of groups, and the long lists (groups, sizes, positions) of which only anchors are among them.
+
+    In a long list every group is paired with the smallest-named group that passes
+    with it: as many pairs as groups, and enough when the list is one component.
+    """
     size, pos = size.astype(np.int64), pos.astype(np.int64)
     order = np.lexsort((group, size, token))
     token, group, size, pos = token[order], group[order], size[order], pos[order]
@@ -235,64 +257,122 @@ def group_pairs(token: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.
     first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     length = np.diff(np.r_[first, len(token)])
     of = np.repeat(length, length)
-
-    def passes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """i is not larger than j."""
-        a, b = size[i], size[j]
-        return (a * 100 >= b * percent) & (pos[i] < a - _least(a * 2, 100 * percent // (100 + percent)) + 1) & (np.minimum(a - pos[i], b - pos[j]) >= _need(a, b, percent))
-
     left, right, lists = [], [], []
     small = np.flatnonzero((of > 1) & (of <= short))
     for step in range(1, short):
         i = small[small + step < len(token)]
         i = i[token[i + step] == token[i]]
-        ok = passes(i, i + step)
+        if not len(i):
+            break
+        ok = _passes(size[i], size[i + step], pos[i], pos[i + step], percent)
         left.append(group[i[ok]])
         right.append(group[i[ok] + step])
-    known: set[int] = set()
     for f, m in zip(first[length > short], length[length > short]):
-        name = tk.fingerprint(group[f : f + m])
-        if name in known:
-            continue
-        known.add(name)
-        lists.append(np.sort(group[f : f + m]))
-        at = f
-        while at < f + m:
-            end = at + int(np.searchsorted(size[at : f + m] * percent, size[at] * 100, "right"))
-            anchor = at + int(np.argmin(group[at:end]))
-            others = np.arange(at, f + m)
-            others = others[others != anchor]
-            low, high = np.minimum(others, anchor), np.maximum(others, anchor)
-            near = size[low] * 100 >= size[high] * percent
-            left.append(group[low[near]])
-            right.append(group[high[near]])
-            at = end
+        g, z, p = group[f : f + m], size[f : f + m], pos[f : f + m]
+        anchor = np.arange(m)
+        some = False
+        for i, j in passing(z, p, percent):
+            some |= bool(len(i))
+            for x, y in ((i, j), (j, i)):
+                # The smallest name among the partners seen so far.
+                best = np.full(m, np.iinfo(np.uint64).max, np.uint64)
+                np.minimum.at(best, x, g[y])
+                less = best < g[anchor]
+                if less.any():
+                    name = np.searchsorted(np.sort(g), best[less])
+                    anchor[less] = np.argsort(g)[name]
+        own = np.flatnonzero(anchor != np.arange(m))
+        left.append(g[own])
+        right.append(g[anchor[own]])
+        if some:
+            lists.append((g, z, p))
     a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
     low, high = np.minimum(a, b), np.maximum(a, b)
     pairs = np.unique(np.stack([low, high], 1), axis=0) if len(low) else np.zeros((0, 2), np.uint64)
     return pairs[:, 0], pairs[:, 1], lists
 
 
-def _meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Buckets of a partition: candidate rows (g1, g2) and long lists (g1, list)."""
+_MEMBER = pa.struct([("g", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+
+
+def _meet(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Iterator[pa.RecordBatch]:
+    """Buckets of a partition: candidate rows (g1, g2), long lists (g1, list), and member rows (g1, fp), each once."""
+    names = ["g1", "g2", "fp", "list"]
+    none = lambda k, t: pa.nulls(k, t)
+    lists_of = pa.list_(_MEMBER)
     blobs: dict[int, list[bytes]] = {}
+    members: set[tuple[int, int]] = set()
     for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            blobs.setdefault(b, []).append(blob)
+        for b, g, f, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if blob is None:
+                members.add((g, f))
+            else:
+                blobs.setdefault(b, []).append(blob)
+    if members:
+        m = np.array(sorted(members), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(m[:, 0].copy()), none(len(m), pa.int64()), pa.array(m[:, 1].copy()), none(len(m), lists_of)], names)
+        members.clear()
     for b in sorted(blobs):
         columns = [np.concatenate(c) for c in zip(*map(decoded, blobs.pop(b)))]
-        left, right, lists = group_pairs(*columns, percent)
-        if len(left):
-            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.nulls(len(left), pa.list_(pa.int64()))], ["g1", "g2", "list"])
-        for members in lists:
-            yield pa.RecordBatch.from_arrays([pa.array([tk.fingerprint(members)], pa.uint64()).view(pa.int64()), pa.nulls(1, pa.int64()), pa.array([members.view(np.int64).tolist()], pa.list_(pa.int64()))], ["g1", "g2", "list"])
+        left, right, lists = group_pairs(*columns, percent, short)
+        k = len(left)
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), none(k, pa.int64()), none(k, lists_of)], names)
+        for g, z, p in lists:
+            row = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array(z.astype(np.int32)), pa.array(p.astype(np.int32))], fields=list(_MEMBER))
+            name = tk.fingerprint(np.concatenate([np.sort(g), z.astype(np.uint64), p.astype(np.uint64)]))
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.uint64()).view(pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), row)], names)
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that pass, of two pieces (l1, l2) of a list; a null l2 pairs l1 with itself."""
+    for batch in batches:
+        for one, two in zip(batch.column(0), batch.column(1)):
+            parts = [x.values for x in (one, two) if x.is_valid]
+            fp, size, pos, root = (np.concatenate([np.asarray(p.field(k)) for p in parts]) for k in range(4))
+            side = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            order = np.argsort(size, kind="stable")
+            fp, size, pos, root, side = fp[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], side[order]
+            for i, j in passing(size, pos, percent, root):
+                if len(parts) == 2:
+                    keep = side[i] != side[j]
+                    i, j = i[keep], j[keep]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], ["f1", "f2"])
+
+
+def parity(values: np.ndarray) -> bytes:
+    """A bitmap of a set, a power of two near its size long: each bit is the parity of the elements that fall on it."""
+    bits = 64
+    while bits < len(values):
+        bits *= 2
+    count = np.bincount((values >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """At least so many elements are in one of two sets alone."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offs in tk.slices(batch.column(0)):
             sets = tk.shingle_sets(tk.Words(data, offs), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([tk.fingerprint(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([tk.fingerprint(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "n", "bits", "set"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps leave room for enough common elements; exact, none that links is lost."""
+    for batch in batches:
+        rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)))
+        keep = [_differ(x, y) <= a + b - 2 * int(_need(a, b, percent)) for a, x, b, y in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["f1", "f2"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -306,39 +386,74 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (f1, f2) that link."""
-    return (
-        pairs.join(sets.select(F.col("fp").alias("f1"), F.col("set").alias("s1")), "f1")
-        .join(sets.select(F.col("fp").alias("f2"), F.col("set").alias("s2")), "f2")
-        .select("f1", "f2", "s1", "s2")
-        .mapInArrow(lambda b: _verified(b, percent), "f1 long, f2 long")
-    )
+    """The candidate pairs (f1, f2) that link: by small bitmaps first, then by whole sets."""
+    bits = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+    left = pairs.join(bits(1), "f1").join(bits(2), "f2").select("f1", "f2", "n1", "b1", "n2", "b2").mapInArrow(lambda b: _possible(b, percent), "f1 long, f2 long")
+    left = shared.written(left, "possible")
+    whole = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("set").alias(f"s{k}")).join(left.select(f"f{k}").distinct(), f"f{k}", "left_semi")
+    return left.join(whole(1), "f1").join(whole(2), "f2").select("f1", "f2", "s1", "s2").mapInArrow(lambda b: _verified(b, percent), "f1 long, f2 long")
+
+
+_ROW_BITS = 17
+
+
+def _may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id may be among `ids`, by a bitmap of a fixed size (2 MB); narrow.
+
+    What passes wrongly is left to the join after it; the bitmap only keeps most
+    other texts out of the shuffle.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 24)).cast("int")
+    rows = ids.select(slot("doc_id").alias("s")).distinct().groupBy(F.shiftright("s", _ROW_BITS).alias("r")).agg(F.collect_list(F.col("s").bitwiseAND((1 << _ROW_BITS) - 1)).alias("s"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bits = np.zeros(1 << _ROW_BITS, np.uint8)
+                bits[np.asarray(s.values)] = 1
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["r", "b"])
+
+    every = np.zeros(1 << 24 - _ROW_BITS, object)
+    every[:] = bytes((1 << _ROW_BITS) // 8)
+    for r in rows.mapInArrow(pack, "r int, b binary").collect():
+        every[r["r"]] = bytes(r["b"])
+    held = docs.sparkSession.sparkContext.broadcast(b"".join(every))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            s = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "text"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("_slot")).mapInArrow(keep, "doc_id long, text string")
 
 
-def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
+def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`."""
     spark = docs.sparkSession
     buckets = shared.partitions(spark)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    held = spark.sparkContext.broadcast(frequency_classes(docs, "text", n))
-    # The rows of documents are few bytes each; the postings are the bulk and are written once with them.
-    out = shared.written(docs.mapInArrow(lambda b: _postings(b, held.value, n, percent, buckets), "doc_id long, n int, fp long, grp long, bucket int, blob binary"), "postings")
-    rows = out.where("n IS NOT NULL").select("doc_id", "n", "fp", "grp")
+    counted = shared.written(docs.mapInArrow(lambda b: _sketch(b, n), "doc_id long, n int, fp long, part int, form int, blob binary"), "counted")
+    rows = counted.where("n IS NOT NULL").select("doc_id", "n", "fp")
+    held = spark.sparkContext.broadcast(frequency_classes(counted.where("part IS NOT NULL").select("part", "form", "blob")))
+    met = docs.mapInArrow(lambda b: _postings(b, held.value, n, percent, buckets), "bucket int, grp long, fp long, blob binary").repartition(buckets, "bucket").mapInArrow(lambda b: _meet(b, percent, short), "g1 long, g2 long, fp long, list array<struct<g:long,size:int,pos:int>>")
+    met = shared.written(met, "candidates")
     no_id = F.lit(1 << 62) + F.shiftrightunsigned("fp", 3)
-    nodes = shared.written(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("_d"), F.min("grp").alias("grp"), F.min("n").alias("n")).select("fp", F.coalesce("_d", no_id).alias("rep"), "grp", "n"), "nodes")
-    met = shared.written(out.where("bucket IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket").mapInArrow(lambda b: _meet(b, percent), "g1 long, g2 long, list array<long>"), "candidates")
+    groups = met.where("fp IS NOT NULL").select("fp", F.col("g1").alias("grp"))
+    nodes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("_d"), F.min("n").alias("n")).join(groups, "fp")
+    nodes = shared.written(nodes.select("fp", F.coalesce("_d", no_id).alias("rep"), "grp", "n"), "nodes")
 
     # Groups of one set are the rule; a larger group is a list of its own, and so is a pair that holds one.
     large = shared.written(nodes.groupBy("grp").agg(F.count("*").alias("k"), F.min("fp").alias("first")).where("k > 1"), "groups")
-    pairs = met.where("list IS NULL").select("g1", "g2").distinct()
+    pairs = met.where("g2 IS NOT NULL").select("g1", "g2").distinct()
     head = nodes.groupBy("grp").agg(F.min("fp").alias("f"))
     first = pairs.join(head.select(F.col("grp").alias("g1"), F.col("f").alias("f1")), "g1").join(head.select(F.col("grp").alias("g2"), F.col("f").alias("f2")), "g2").select("f1", "f2")
     inside = nodes.join(large, "grp").where("fp <> first").select(F.col("first").alias("f1"), F.col("fp").alias("f2"))
     with_large = pairs.join(large.select(F.col("grp").alias("g1")), "g1", "left_semi").unionByName(pairs.join(large.select(F.col("grp").alias("g2")), "g2", "left_semi")).distinct()
     lists = (
-        met.where("list IS NOT NULL").dropDuplicates(["g1"]).select(F.col("g1").alias("list"), F.explode("list").alias("grp"))
-        .unionByName(large.select(F.xxhash64("grp").alias("list"), "grp"))
-        .unionByName(with_large.select(F.xxhash64("g1", "g2").alias("list"), F.explode(F.array("g1", "g2")).alias("grp")))
+        met.where("list IS NOT NULL").dropDuplicates(["g1"]).select(F.col("g1").alias("list"), F.explode("list").alias("m")).select("list", F.col("m.g").alias("grp"), F.col("m.pos").alias("pos"))
+        .unionByName(large.select(F.xxhash64("grp").alias("list"), "grp", F.lit(0).alias("pos")))
+        .unionByName(with_large.select(F.xxhash64("g1", "g2").alias("list"), F.explode(F.array("g1", "g2")).alias("grp"), F.lit(0).alias("pos")))
     )
     tried = shared.written(first.unionByName(inside).select(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2")).distinct(), "pairs")
 
@@ -347,7 +462,11 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     def sets_of(these: DataFrame) -> DataFrame:
         fps = these.select(F.explode(F.array("f1", "f2")).alias("fp")).distinct()
         reps = nodes.join(fps, "fp", "left_semi").select(F.when(F.col("rep") < (1 << 62), F.col("rep")).alias("doc_id")).distinct()
-        return shared.written(docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi").select("text").mapInArrow(lambda b: _sets(b, n), "fp long, set binary").dropDuplicates(["fp"]), "sets")
+        known = reps.where("doc_id IS NOT NULL")
+        texts = _may_hold(docs, known).join(known, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
+        if reps.where("doc_id IS NULL").limit(1).count():
+            texts = texts.unionByName(docs.where("doc_id IS NULL").select("text").distinct())
+        return shared.written(texts.mapInArrow(lambda b: _sets(b, n), "fp long, n int, bits binary, set binary"), "sets")
 
     def roots_of(good: DataFrame) -> DataFrame:
         edges = good.join(name.select(F.col("fp").alias("f1"), F.col("rep").alias("a")), "f1").join(name.select(F.col("fp").alias("f2"), F.col("rep").alias("b")), "f2").select("a", "b")
@@ -358,10 +477,14 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # Second round: lists whose members still lie in several components.
     named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "grp", "n", F.coalesce("root", "rep").alias("root"))
     member = lists.join(named, "grp")
-    split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("list")
-    open_ = shared.written(member.join(split, "list", "left_semi").select("list", "fp", "n", "root").distinct(), "open")
-    x, y = (open_.select("list", F.col("fp").alias(f"f{i}"), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in (1, 2))
-    more = x.join(y, "list").where(f"f1 < f2 AND r1 <> r2 AND least(n1, n2) * 100 >= greatest(n1, n2) * {percent}").select("f1", "f2").distinct().join(tried, ["f1", "f2"], "left_anti")
+    split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("list", F.ceil(F.col("k") / PIECE).alias("pieces"))
+    part = F.pmod(F.xxhash64("fp"), F.col("pieces"))
+    open_ = member.join(split, "list").groupBy("list", part.alias("part")).agg(F.collect_set(F.struct("fp", F.col("n").alias("size"), "pos", "root")).alias("l"))
+    open_ = shared.written(open_, "open")
+    inside_part = open_.select(F.col("l").alias("l1"), F.lit(None).cast(open_.schema["l"].dataType).alias("l2"))
+    x, y = (open_.select("list", F.col("part").alias(f"p{i}"), F.col("l").alias(f"l{i}")) for i in (1, 2))
+    between = x.join(y, "list").where("p1 < p2").select("l1", "l2")
+    more = inside_part.unionByName(between).mapInArrow(lambda b: _across(b, percent), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti")
     more = shared.written(more, "pairs")
     if more.limit(1).count():
         found = shared.written(linked(more, sets_of(more), percent), "verified")
