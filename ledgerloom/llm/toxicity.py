@@ -25,11 +25,12 @@ from ledgerloom.llm import labelled, textkernel as tk
 from ledgerloom.llm.quality_classifier import _LETTERS
 
 BITS = 20
-MOST_PER_CLASS = 3000
+MOST_PER_CLASS = 6000
 STEMS = (5, 6, 7, 8)
-LEAST_DOCS = 4
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.5
+EPOCHS = 4
+ALPHA, BETA, L2 = 0.3, 1.0, 0.5
+#: Documents that must have a feature, and L1, both in proportion to the sample's size.
+LEAST_SHARE, L1_SHARE = 0.002, 0.0018
 THRESHOLD = 0.5
 
 
@@ -53,17 +54,18 @@ def _fit(rows: list[dict]) -> dict[str, np.ndarray]:
         return {"share": np.array(float((y * weight).sum() / weight.sum()) if len(y) else 0.0)}
     x = [np.frombuffer(r["features"], np.int32) for r in rows]
     size = 1 << BITS
-    # A coordinate begins to learn once LEAST_DOCS documents have it: what one document alone has only memorises it.
+    # A coordinate learns only if several documents have it: what one document alone has only memorises it.
     seen = np.bincount(np.concatenate(x), minlength=size)
-    x = [a[seen[a] >= LEAST_DOCS] for a in x]
+    x = [a[seen[a] >= max(3, LEAST_SHARE * len(y))] for a in x]
+    l1 = max(0.5, L1_SHARE * len(y))
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     bias = np.array([size])
     weight = weight / (weight[y == 1].mean() or 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
         za = z[at]
-        out = -(za - np.sign(za) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        return np.where((np.abs(za) <= L1) & (at != size), 0.0, out)
+        out = -(za - np.sign(za) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
+        return np.where((np.abs(za) <= l1) & (at != size), 0.0, out)
 
     r = np.random.default_rng(11)
     for _ in range(EPOCHS):
