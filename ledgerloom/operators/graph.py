@@ -206,17 +206,19 @@ def with_types(nodes: DataFrame, typed: DataFrame) -> DataFrame:
 def value_lines(tree: DataFrame, values: DataFrame, type_fields: DataFrame) -> DataFrame:
     """SK05, JN04: (layer, walk_key, line_no, line) of the values text: a node's line, then its fields in form order, then leftovers A-Z.
 
-    tree has a slug; values is (layer, id, field_id, value), value already rendered.
+    tree has a slug and may have a description; values is (layer, id, field_id, value),
+    value already rendered.
     """
-    head = tree.select("layer", "walk_key", F.lit(0).alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("depth")), "label", F.lit(" ["), "slug", F.lit("]")).alias("line"))
+    said = F.nullif(N.one_line(F.col("description")), F.lit("")) if "description" in tree.columns else F.lit(None).cast("string")
+    head = tree.select("layer", "walk_key", F.lit(0).alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), "label", F.lit(" ["), "slug", F.lit("]"), F.coalesce(F.concat(F.lit("  # "), said), F.lit(""))).alias("line"))
     v = values.where("value <> ''").join(tree.select("layer", "id", "slug", "depth", "walk_key"), ["layer", "id"])
     named = v.join(type_fields.select("slug", F.col("id").alias("field_id"), "name", F.col("ord").alias("_ord")), ["slug", "field_id"], "left")
     order = Window.partitionBy("layer", "id").orderBy(F.col("_ord").isNull(), "_ord", "field_id")
-    rows = named.select("layer", "walk_key", F.row_number().over(order).alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.coalesce("name", "field_id"), F.lit(": "), "value").alias("line"))
+    rows = named.select("layer", "walk_key", F.row_number().over(order).alias("line_no"), F.concat(F.repeat(F.lit("  "), F.col("depth") + 2), F.coalesce("name", "field_id"), F.lit(": "), "value").alias("line"))
     return head.unionByName(rows).orderBy("layer", "walk_key", "line_no")
 
 
 def ids_document(tree: DataFrame, layer: str) -> str:
     """SK03: the ids file of one layer, paths in walk order."""
     rows: Iterator = tree.where(F.col("layer") == layer).orderBy("walk_key").select("path", "id").toLocalIterator()
-    return json.dumps({"layer": layer, "sep": N.SEPARATOR, "paths": {r["path"]: r["id"] for r in rows}}, ensure_ascii=False, indent=2) + "\n"
+    return json.dumps({"layer": layer, "sep": N.SEPARATOR, "paths": {r["path"]: r["id"] for r in rows}}, ensure_ascii=False, indent=1) + "\n"
