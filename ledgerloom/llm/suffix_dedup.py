@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerloom.llm import shared, textkernel as tk
 
 LENGTH, GRAM = 50, 24
-PIECE = 2 << 20
+PIECE = 1 << 18
+SHARDS = 16
 U32, U64 = np.uint32, np.uint64
 _LOW = U64(0xFFFFFFFF)
 
@@ -259,76 +260,69 @@ def transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np
 
 
 def interleave(transforms: list[np.ndarray], ends: list[int], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms: the shard of every suffix in the common order, and its common prefix with the one before.
+    """Merges transforms: the suffixes (numbered shard by shard) in their common order, and each one's common prefix with the one before.
 
-    Round h reads all transforms once, in the order of round h - 1, and deals the shard
-    numbers out by the byte before, which orders suffixes by h bytes.  A common prefix
-    of `depth` or more is given as `depth`.
+    Round h reads all transforms once, in the order of round h - 1, and deals the
+    suffixes before them out by the byte read, which orders suffixes by h bytes; within
+    a shard the k-th of a byte is the k-th suffix that begins with it.  A position that
+    once begins a new prefix does so in all later rounds, so the rounds in which it
+    does not are its common prefix, `depth` at most.
     """
-    kind = np.uint8 if len(transforms) < 256 else np.uint32
-    sizes = np.array([len(t) for t in transforms])
-    total, head = int(sizes.sum()), int(sum(ends))
+    total, head = sum(map(len, transforms)), int(sum(ends))
     every = np.concatenate(transforms)
-    ending = np.repeat(np.arange(len(ends)), ends).astype(kind)
-    z = np.concatenate([ending, np.repeat(np.arange(len(ends)), sizes - np.array(ends)).astype(kind)])
-    lcp = np.full(total, depth, np.uint8)
-    lcp[: head + 1] = 0
+    before = np.zeros(total, np.int32)  # the suffix one byte longer
+    ending = np.empty(head, np.int32)
+    at = k = 0
+    for t, n in zip(transforms, ends):
+        before[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        ending[k : k + n] = np.arange(at, at + n)
+        at, k = at + len(t), k + n
+    body = np.ones(total, bool)
+    body[ending] = False
+    order = np.concatenate([ending, np.flatnonzero(body).astype(np.int32)])
+    lcp = np.zeros(total, np.uint8)
     block = np.zeros(total, np.int32)  # no byte is known yet
-    for h in range(1, depth + 1):
-        read = np.empty(total, np.uint8)
-        read[np.argsort(z, kind="stable")] = every
-        live = np.flatnonzero(read)
-        dealt = live[np.argsort(read[live], kind="stable")]
-        z = np.concatenate([ending, z[dealt]])
+    new = np.empty(total, bool)
+    for _ in range(depth):
+        read = every[order]
+        dealt = np.argsort(read, kind="stable")[head:].astype(np.int32)  # the first `head` bytes end strings
+        order[head:] = before[order[dealt]]
         c, b = read[dealt], block[dealt]
-        new = np.empty(total, bool)
         new[: head + 1] = True
         np.logical_or(c[1:] != c[:-1], b[1:] != b[:-1], out=new[head + 1 :])
-        lcp[new & (lcp == depth)] = h - 1
-        after = np.cumsum(new, dtype=np.int32) - 1
-        if h > 1 and after[-1] == block[-1] and after[-1] == total - 1:
-            block = after
+        lcp += ~new
+        np.cumsum(new, dtype=np.int32, out=block)
+        if block[-1] == total:
             break  # every suffix stands alone
-        block = after
-    return z, lcp
+    return order, lcp
 
 
-def smallest_holders(shards: list[tuple[list[bytes], np.ndarray]], length: int = LENGTH) -> list[list[np.ndarray]]:
-    """For every string of every shard: the smallest id among the strings that hold each of its windows.
+def smallest_holders(shards: list[tuple[list[bytes], np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every string, shard by shard: runs of its windows with the smallest id among the strings that hold each.
 
-    A shard is (strings, ids).  This is the merged transforms' reading: runs of suffixes
+    Gives the number of runs of each string, their lengths and their ids.  A shard is
+    (strings, ids).  This is the merged transforms' reading: neighbouring suffixes
     whose common prefix reaches `length` are one repeated interval.
     """
     made = [transform(strings, length) for strings, _ in shards]
-    z, lcp = interleave([t for t, _ in made], [len(strings) for strings, _ in shards], length)
-    by_shard = np.argsort(z, kind="stable")
-    run = np.empty(len(z), np.int64)
-    run[:] = np.cumsum(lcp < length) - 1
-    owner, place = [], []
-    for (strings, ids), (_, order) in zip(shards, made):
-        size = np.array([len(s) for s in strings]) + 1
-        string = np.repeat(np.arange(len(strings)), size)
-        owner.append(ids[string[order]])
-        place.append(order)
-    least = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, run[by_shard], np.concatenate(owner))
-    out, at = [], 0
-    for (strings, ids), order in zip(shards, place):
-        found = np.empty(len(order), np.int64)
-        found[order] = least[run[by_shard[at : at + len(order)]]]
-        at += len(order)
-        own, p = [], 0
-        for s in strings:
-            own.append(found[p : p + len(s) - length + 1])
-            p += len(s) + 1
-        out.append(own)
-    return out
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and values of equal neighbours."""
-    cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    return np.diff(np.r_[cut, len(values)]).astype(U32), values[cut]
+    order, lcp = interleave([t for t, _ in made], [len(strings) for strings, _ in shards], length)
+    size = np.array([len(s) + 1 for strings, _ in shards for s in strings])
+    ids = np.concatenate([i for _, i in shards])
+    # Suffix numbers to places in the joined strings of all shards.
+    bases = np.cumsum([0, *(len(t) for t, _ in made)])
+    place = np.concatenate([p + base for (_, p), base in zip(made, bases)])
+    owner = np.repeat(ids, size)
+    run = np.cumsum(lcp < length) - 1
+    cut = np.flatnonzero(lcp < length)
+    least = np.minimum.reduceat(owner[place[order]], cut)
+    found = np.empty(len(order), np.int64)
+    found[place[order]] = least[run]
+    windows = size - length
+    string = np.repeat(np.arange(len(size)), windows)
+    at = np.arange(len(string)) + np.repeat(np.cumsum(size) - size - (np.cumsum(windows) - windows), windows)
+    value = found[at]
+    cut = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (string[1:] != string[:-1])])
+    return np.bincount(string[cut], minlength=len(size)), np.diff(np.r_[cut, len(value)]), value[cut]
 
 
 def _judge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -337,63 +331,67 @@ def _judge(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         blobs = [(block, _stretch_blob(blob)) for block, blob in sorted(rows)]
         content: dict[bytes, int] = {}
         strings: list[bytes] = []
-        least: list[int] = []
-        anchor: list[int] = []
-        home: list[int] = []
-        named: list[list[int]] = []
-        for s, (_, (anchors, docs, _, sizes, _, _, data)) in enumerate(blobs):
-            at, mine = 0, []
-            for a, d, n in zip(anchors.tolist(), docs.tolist(), sizes.tolist()):
+        named: list[np.ndarray] = []
+        fresh: list[int] = []
+        for _, (_, _, _, sizes, _, _, data) in blobs:
+            at, mine, n0 = 0, [], len(strings)
+            for n in sizes.tolist():
                 x = data[at : at + n]
                 at += n
-                k = content.get(x)
-                if k is None:
-                    k = content[x] = len(strings)
+                k = content.setdefault(x, len(strings))
+                if k == len(strings):
                     strings.append(x)
-                    least.append(d)
-                    anchor.append(a)
-                    home.append(s)
-                elif d < least[k]:
-                    least[k] = d
                 mine.append(k)
-            named.append(mine)
-        low = np.array(least, np.int64)
-        order = np.argsort(np.array(anchor, U64), kind="stable")
-        sorted_anchor = np.array(anchor, U64)[order]
-        first = np.flatnonzero(np.r_[True, sorted_anchor[1:] != sorted_anchor[:-1]])
-        size = np.diff(np.r_[first, len(order)])
-        verdict: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        piece: list[int] = []
-        held = 0
-
-        def work(piece: list[int]) -> None:
-            shards: dict[int, list[int]] = {}
-            for k in piece:
-                shards.setdefault(home[k], []).append(k)
-            members = list(shards.values())
-            for ks, values in zip(members, smallest_holders([([strings[k] for k in ks], low[ks]) for ks in members], length)):
-                for k, v in zip(ks, values):
-                    verdict[k] = _runs(v)
-
-        for f, n in zip(first, size):
-            ks = order[f : f + n].tolist()
-            if n == 1:  # one context: all copies are this stretch
-                k = ks[0]
-                verdict[k] = (np.array([len(strings[k]) - length + 1], U32), low[k : k + 1])
-                continue
-            piece += ks
-            held += sum(len(strings[k]) for k in ks)
-            if held >= PIECE:
-                work(piece)
-                piece, held = [], 0
-        if piece:
-            work(piece)
-        for (block, (_, docs, keys, _, places, offsets, _)), mine in zip(blobs, named):
-            runs = [verdict[k] for k in mine]
-            count = np.array([len(r[0]) for r in runs], U32)
+            named.append(np.array(mine, np.int64))
+            fresh.append(len(strings) - n0)
+        content.clear()
+        every = np.concatenate(named)
+        low = np.full(len(strings), np.iinfo(np.int64).max)
+        np.minimum.at(low, every, np.concatenate([b[1] for _, b in blobs]))
+        anchor = np.empty(len(strings), U64)
+        anchor[every] = np.concatenate([b[0] for _, b in blobs])
+        home = np.repeat(np.arange(len(blobs)), fresh) * SHARDS // len(blobs)
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        order = np.argsort(anchor, kind="stable")
+        first = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+        alone = np.diff(np.r_[first, len(order)]) == 1
+        # One context: all copies are this stretch, and its smallest holder is known.
+        lone = order[first[alone]]
+        count = np.zeros(len(strings), np.int64)
+        start = np.zeros(len(strings), np.int64)
+        count[lone], start[lone] = 1, np.arange(len(lone))
+        spans, lows, made = [size[lone] - length + 1], [low[lone]], len(lone)
+        # The others in pieces of whole anchors, their strings by shard.
+        group = np.repeat(np.cumsum(~alone) - 1, np.diff(np.r_[first, len(order)]))
+        many = order[np.repeat(~alone, np.diff(np.r_[first, len(order)]))]
+        if len(many):
+            total = np.cumsum(size[many])
+            g = group[np.repeat(~alone, np.diff(np.r_[first, len(order)]))]
+            last = np.flatnonzero(np.r_[g[1:] != g[:-1], True])
+            cuts, held = [0], 0
+            for e in last.tolist():
+                if total[e] - held >= PIECE:
+                    cuts.append(e + 1)
+                    held = total[e]
+            if cuts[-1] != len(many):
+                cuts.append(len(many))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                piece = many[a:b]
+                piece = piece[np.argsort(home[piece], kind="stable")]
+                parts = np.split(piece, np.flatnonzero(np.diff(home[piece])) + 1)
+                n, span, ids = smallest_holders([([strings[k] for k in p.tolist()], low[p]) for p in parts], length)
+                count[piece] = n
+                start[piece] = made + np.cumsum(n) - n
+                spans.append(span)
+                lows.append(ids)
+                made += len(span)
+        span, ids = np.concatenate(spans).astype(U32), np.concatenate(lows)
+        for (block, (_, _, keys, _, places, offsets, _)), mine in zip(blobs, named):
+            n = count[mine]
+            run = np.repeat(start[mine], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             blob = (
-                np.array([len(mine), len(keys), int(count.sum())], U32).tobytes() + keys.tobytes() + np.concatenate([r[1] for r in runs]).astype(np.int64).tobytes()
-                + places.tobytes() + offsets.tobytes() + count.tobytes() + np.concatenate([r[0] for r in runs]).astype(U32).tobytes()
+                np.array([len(mine), len(keys), len(run)], U32).tobytes() + keys.tobytes() + ids[run].tobytes()
+                + places.tobytes() + offsets.tobytes() + n.astype(U32).tobytes() + span[run].tobytes()
             )
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([blob], pa.binary())], ["block", "blob"])
 
