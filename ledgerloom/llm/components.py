@@ -36,13 +36,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in part], pa.int64()), pa.array([roots[k] for k in part], pa.int64())], ["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of `links` (a, b) that is not the smallest of its component.
 
     Every step is a hash aggregation and a join on node ids; the loop ends when a
     round leaves the links as they are.  Each round is written to the shared folder,
-    so lineage stays short and a lost executor repeats one round at most.
+    so lineage stays short and a lost executor repeats one round at most.  After a set
+    number of `rounds` the roots may still be finer than the components.
     """
+    done = 0
     edges = shared.written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
     before = None
     while True:
@@ -53,6 +55,9 @@ def components(links: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "_a")
         small = down.join(least, F.col("a") == F.col("_a")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = shared.written(small, "links")
+        done += 1
+        if done == rounds:
+            return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -186,7 +186,7 @@ def decoded(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _postings(batches: Iterator[pa.RecordBatch], classes: np.ndarray, n: int, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Posting rows (bucket, blob), and member rows (bucket, grp, fp) of the groups."""
+    """Posting rows (bucket, blob), and member rows (bucket, grp, fp, blob: its bitmap) of the groups."""
     out, groups, seen = _Outgoing(buckets), set(), set()
     names = ["bucket", "grp", "fp", "blob"]
 
@@ -197,7 +197,7 @@ def _postings(batches: Iterator[pa.RecordBatch], classes: np.ndarray, n: int, pe
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in made], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x for _, x in made], pa.binary())], names)
 
     for batch in batches:
-        members = []
+        members, bits = [], []
         for _, _, data, offs in tk.slices(batch.column(1)):
             for s in tk.shingle_sets(tk.Words(data, offs), n):
                 f = tk.fingerprint(s)
@@ -207,12 +207,13 @@ def _postings(batches: Iterator[pa.RecordBatch], classes: np.ndarray, n: int, pe
                 prefix = ordered(s, classes)[: len(s) - int(_least(len(s), percent)) + 1]
                 g = group_of(prefix, len(s))
                 members.append((g, f))
+                bits.append(parity(s))
                 if g not in groups:
                     groups.add(g)
                     out.add(g, len(s), prefix)
         if members:
             m = np.array(members, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array((m[:, 0] % np.uint64(buckets)).astype(np.int32)), pa.array(m[:, 0].copy().view(np.int64)), pa.array(m[:, 1].copy().view(np.int64)), pa.nulls(len(m), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array((m[:, 0] % np.uint64(buckets)).astype(np.int32)), pa.array(m[:, 0].copy().view(np.int64)), pa.array(m[:, 1].copy().view(np.int64)), pa.array(bits, pa.binary())], names)
         if out.size > 4_000_000:
             yield from blobs()
     yield from blobs()
@@ -297,48 +298,86 @@ _MEMBER = pa.struct([("g", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()
 
 def _meet(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Iterator[pa.RecordBatch]:
     """Buckets of a partition: candidate rows (g1, g2), long lists (g1, list), and member rows (g1, fp), each once."""
-    names = ["g1", "g2", "fp", "list"]
-    none = lambda k, t: pa.nulls(k, t)
+    names = ["g1", "g2", "fp", "bits", "list"]
+    none = lambda k, *kinds: [pa.nulls(k, t) for t in kinds]
     lists_of = pa.list_(_MEMBER)
     blobs: dict[int, list[bytes]] = {}
-    members: set[tuple[int, int]] = set()
+    members: dict[tuple[int, int], bytes] = {}
     for batch in batches:
         for b, g, f, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            if blob is None:
-                members.add((g, f))
+            if g is not None:
+                members[g, f] = blob
             else:
                 blobs.setdefault(b, []).append(blob)
     if members:
-        m = np.array(sorted(members), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(m[:, 0].copy()), none(len(m), pa.int64()), pa.array(m[:, 1].copy()), none(len(m), lists_of)], names)
+        m = np.array(list(members), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(m[:, 0].copy()), *none(len(m), pa.int64()), pa.array(m[:, 1].copy()), pa.array(list(members.values()), pa.binary()), *none(len(m), lists_of)], names)
         members.clear()
     for b in sorted(blobs):
         columns = [np.concatenate(c) for c in zip(*map(decoded, blobs.pop(b)))]
         left, right, lists = group_pairs(*columns, percent, short)
         k = len(left)
         if k:
-            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), none(k, pa.int64()), none(k, lists_of)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), *none(k, pa.int64(), pa.binary(), lists_of)], names)
         for g, z, p in lists:
             row = pa.StructArray.from_arrays([pa.array(g.view(np.int64)), pa.array(z.astype(np.int32)), pa.array(p.astype(np.int32))], fields=list(_MEMBER))
             name = tk.fingerprint(np.concatenate([np.sort(g), z.astype(np.uint64), p.astype(np.uint64)]))
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.uint64()).view(pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), row)], names)
-
-
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that pass, of two pieces (l1, l2) of a list; a null l2 pairs l1 with itself."""
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.uint64()).view(pa.int64()), *none(1, pa.int64(), pa.int64(), pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), row)], names)
+
+
+def _near(bits: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a list the bitmaps leave possible; many at once, as _possible()."""
+    length = np.array([len(b) for b in bits])
+    keep = np.zeros(len(i), bool)
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in np.unique(length):
+        at = np.flatnonzero(length >= n)
+        rows = np.zeros((len(at), n), np.uint8)
+        for r, k in enumerate(at.tolist()):
+            x = np.frombuffer(bits[k], np.uint8)
+            while len(x) > n:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            rows[r] = x
+        where = np.zeros(len(bits), np.int64)
+        where[at] = np.arange(len(at))
+        folded[int(n)] = (rows, where)
+    least = np.minimum(length[i], length[j])
+    for n, (rows, where) in folded.items():
+        mine = np.flatnonzero(least == n)
+        for c in range(0, len(mine), 20_000):
+            k = mine[c : c + 20_000]
+            differ = np.bitwise_count(rows[where[i[k]]] ^ rows[where[j[k]]]).sum(axis=1, dtype=np.int64)
+            keep[k] = differ <= size[i[k]] + size[j[k]] - 2 * _need(size[i[k]], size[j[k]], percent)
+    return keep
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int, sparse: bool) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of different components, of two pieces (l1, l2) of a list; a null l2 pairs l1 with itself.
+
+    With `sparse`, of each member's partners only the smallest-named.
+    """
     for batch in batches:
         for one, two in zip(batch.column(0), batch.column(1)):
             parts = [x.values for x in (one, two) if x.is_valid]
             fp, size, pos, root = (np.concatenate([np.asarray(p.field(k)) for p in parts]) for k in range(4))
+            bits = [b for p in parts for b in p.field(4).to_pylist()]
             side = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             order = np.argsort(size, kind="stable")
             fp, size, pos, root, side = fp[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], side[order]
+            bits = [bits[k] for k in order.tolist()]
+            best = np.full(len(fp), np.iinfo(np.int64).max)
             for i, j in passing(size, pos, percent, root):
-                if len(parts) == 2:
-                    keep = side[i] != side[j]
-                    i, j = i[keep], j[keep]
-                if len(i):
+                keep = side[i] != side[j] if len(parts) == 2 else np.ones(len(i), bool)
+                keep[keep] = _near(bits, size, i[keep], j[keep], percent)
+                i, j = i[keep], j[keep]
+                if sparse:
+                    np.minimum.at(best, i, fp[j])
+                    np.minimum.at(best, j, fp[i])
+                elif len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], ["f1", "f2"])
+            own = np.flatnonzero(best < np.iinfo(np.int64).max)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[own], best[own])), pa.array(np.maximum(fp[own], best[own]))], ["f1", "f2"])
 
 
 def parity(values: np.ndarray) -> bytes:
@@ -364,7 +403,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for _, _, data, offs in tk.slices(batch.column(0)):
             sets = tk.shingle_sets(tk.Words(data, offs), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([tk.fingerprint(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "n", "bits", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([tk.fingerprint(s) for s in sets], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "set"])
 
 
 def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -385,13 +424,16 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["f1", "f2"]).filter(pa.array(keep, pa.bool_()))
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (f1, f2) that the bitmaps of their sets leave possible."""
+    bits = lambda k: nodes.select(F.col("fp").alias(f"f{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+    return pairs.join(bits(1), "f1").join(bits(2), "f2").select("f1", "f2", "n1", "b1", "n2", "b2").mapInArrow(lambda b: _possible(b, percent), "f1 long, f2 long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (f1, f2) that link: by small bitmaps first, then by whole sets."""
-    bits = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
-    left = pairs.join(bits(1), "f1").join(bits(2), "f2").select("f1", "f2", "n1", "b1", "n2", "b2").mapInArrow(lambda b: _possible(b, percent), "f1 long, f2 long")
-    left = shared.written(left, "possible")
-    whole = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("set").alias(f"s{k}")).join(left.select(f"f{k}").distinct(), f"f{k}", "left_semi")
-    return left.join(whole(1), "f1").join(whole(2), "f2").select("f1", "f2", "s1", "s2").mapInArrow(lambda b: _verified(b, percent), "f1 long, f2 long")
+    """The candidate pairs (f1, f2) whose whole sets link."""
+    whole = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("set").alias(f"s{k}")).join(pairs.select(f"f{k}").distinct(), f"f{k}", "left_semi")
+    return pairs.join(whole(1), "f1").join(whole(2), "f2").select("f1", "f2", "s1", "s2").mapInArrow(lambda b: _verified(b, percent), "f1 long, f2 long")
 
 
 _ROW_BITS = 17
@@ -436,12 +478,13 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     counted = shared.written(docs.mapInArrow(lambda b: _sketch(b, n), "doc_id long, n int, fp long, part int, form int, blob binary"), "counted")
     rows = counted.where("n IS NOT NULL").select("doc_id", "n", "fp")
     held = spark.sparkContext.broadcast(frequency_classes(counted.where("part IS NOT NULL").select("part", "form", "blob")))
-    met = docs.mapInArrow(lambda b: _postings(b, held.value, n, percent, buckets), "bucket int, grp long, fp long, blob binary").repartition(buckets, "bucket").mapInArrow(lambda b: _meet(b, percent, short), "g1 long, g2 long, fp long, list array<struct<g:long,size:int,pos:int>>")
+    met = docs.mapInArrow(lambda b: _postings(b, held.value, n, percent, buckets), "bucket int, grp long, fp long, blob binary").repartition(buckets, "bucket").mapInArrow(lambda b: _meet(b, percent, short), "g1 long, g2 long, fp long, bits binary, list array<struct<g:long,size:int,pos:int>>")
     met = shared.written(met, "candidates")
     no_id = F.lit(1 << 62) + F.shiftrightunsigned("fp", 3)
-    groups = met.where("fp IS NOT NULL").select("fp", F.col("g1").alias("grp"))
+    groups = met.where("fp IS NOT NULL").select("fp", F.col("g1").alias("grp"), "bits")
     nodes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("_d"), F.min("n").alias("n")).join(groups, "fp")
-    nodes = shared.written(nodes.select("fp", F.coalesce("_d", no_id).alias("rep"), "grp", "n"), "nodes")
+    nodes = shared.written(nodes.select("fp", F.coalesce("_d", no_id).alias("rep"), "grp", "n", "bits"), "nodes")
+    unnamed = nodes.where(F.col("rep") >= (1 << 62)).limit(1).count() > 0
 
     # Groups of one set are the rule; a larger group is a list of its own, and so is a pair that holds one.
     large = shared.written(nodes.groupBy("grp").agg(F.count("*").alias("k"), F.min("fp").alias("first")).where("k > 1"), "groups")
@@ -455,7 +498,7 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         .unionByName(large.select(F.xxhash64("grp").alias("list"), "grp", F.lit(0).alias("pos")))
         .unionByName(with_large.select(F.xxhash64("g1", "g2").alias("list"), F.explode(F.array("g1", "g2")).alias("grp"), F.lit(0).alias("pos")))
     )
-    tried = shared.written(first.unionByName(inside).select(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2")).distinct(), "pairs")
+    tried = shared.written(possible(first.unionByName(inside).select(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2")).distinct(), nodes, percent), "pairs")
 
     name = nodes.select("fp", "rep")
 
@@ -464,32 +507,37 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         reps = nodes.join(fps, "fp", "left_semi").select(F.when(F.col("rep") < (1 << 62), F.col("rep")).alias("doc_id")).distinct()
         known = reps.where("doc_id IS NOT NULL")
         texts = _may_hold(docs, known).join(known, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
-        if reps.where("doc_id IS NULL").limit(1).count():
+        if unnamed:
             texts = texts.unionByName(docs.where("doc_id IS NULL").select("text").distinct())
-        return shared.written(texts.mapInArrow(lambda b: _sets(b, n), "fp long, n int, bits binary, set binary"), "sets")
+        return shared.written(texts.mapInArrow(lambda b: _sets(b, n), "fp long, set binary"), "sets")
 
-    def roots_of(good: DataFrame) -> DataFrame:
+    def roots_of(good: DataFrame, rounds: int | None = None) -> DataFrame:
         edges = good.join(name.select(F.col("fp").alias("f1"), F.col("rep").alias("a")), "f1").join(name.select(F.col("fp").alias("f2"), F.col("rep").alias("b")), "f2").select("a", "b")
-        return components(edges)
+        return components(edges, rounds)
 
     links = shared.written(linked(tried, sets_of(tried), percent), "verified")
+    # Lists whose members still lie in several components: first one partner for each
+    # member, then, in what is still split, every possible pair.
+    for sparse in (True, False):
+        roots = roots_of(links, 1)
+        named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "grp", "n", "bits", F.coalesce("root", "rep").alias("root"))
+        member = lists.join(named.select("grp", "fp", "root"), "grp")
+        split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("list", F.ceil(F.col("k") / PIECE).alias("pieces"))
+        part = F.pmod(F.xxhash64("fp"), F.col("pieces"))
+        open_ = lists.join(split, "list").join(named, "grp").groupBy("list", part.alias("part")).agg(F.collect_set(F.struct("fp", F.col("n").alias("size"), "pos", "root", "bits")).alias("l"))
+        open_ = shared.written(open_, "open")
+        inside_part = open_.select(F.col("l").alias("l1"), F.lit(None).cast(open_.schema["l"].dataType).alias("l2"))
+        x, y = (open_.select("list", F.col("part").alias(f"p{i}"), F.col("l").alias(f"l{i}")) for i in (1, 2))
+        between = x.join(y, "list").where("p1 < p2").select("l1", "l2")
+        more = inside_part.unionByName(between).mapInArrow(lambda b, sparse=sparse: _across(b, percent, sparse), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti")
+        more = shared.written(more, "pairs")
+        if not more.limit(1).count():
+            if sparse:
+                continue
+            break
+        links = links.unionByName(shared.written(linked(more, sets_of(more), percent), "verified"))
+        tried = tried.unionByName(more)
     roots = roots_of(links)
-    # Second round: lists whose members still lie in several components.
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "grp", "n", F.coalesce("root", "rep").alias("root"))
-    member = lists.join(named, "grp")
-    split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("list", F.ceil(F.col("k") / PIECE).alias("pieces"))
-    part = F.pmod(F.xxhash64("fp"), F.col("pieces"))
-    open_ = member.join(split, "list").groupBy("list", part.alias("part")).agg(F.collect_set(F.struct("fp", F.col("n").alias("size"), "pos", "root")).alias("l"))
-    open_ = shared.written(open_, "open")
-    inside_part = open_.select(F.col("l").alias("l1"), F.lit(None).cast(open_.schema["l"].dataType).alias("l2"))
-    x, y = (open_.select("list", F.col("part").alias(f"p{i}"), F.col("l").alias(f"l{i}")) for i in (1, 2))
-    between = x.join(y, "list").where("p1 < p2").select("l1", "l2")
-    more = inside_part.unionByName(between).mapInArrow(lambda b: _across(b, percent), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti")
-    more = shared.written(more, "pairs")
-    if more.limit(1).count():
-        found = shared.written(linked(more, sets_of(more), percent), "verified")
-        if found.limit(1).count():
-            roots = roots_of(links.unionByName(found))
     named = nodes.join(roots, nodes.rep == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("root"))
     last = rows.join(named, F.when(F.col("n") > 0, F.col("fp")) == F.col("_fp"), "left")
     return last.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root") < (1 << 62), F.col("root")).when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
