@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import decontaminate, html_extract, quality_classifier, toxicity, warc
+from ledgerloom.llm import decontaminate, html_extract, quality_classifier, textkernel as tk, toxicity, warc
 
 
 def _table(spark, n=240):
@@ -99,6 +100,32 @@ def test_decontamination(spark):
     assert decontaminate.held(d, b.where("false")).count() == 0 and decontaminate.held(d.where("false"), b).count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 1500])
+def test_decontamination_of_many_items_on_one_passage(spark, block):
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda k: [f"own{k}x{i}" for i in range(6)]
+    items = [(k, " ".join(passage[:30] + own(k) + passage[30:])) for k in range(20)]
+    docs = [(1, " ".join(passage)), (2, " ".join(passage[:30] + ["edited"] * 6 + passage[30:])), (3, " ".join(passage[:8] + ["other"] * 90))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x[0], x[1]) for x in decontaminate.held(d, b, block_bytes=block).select("doc_id", "item_id").collect()}
+    assert got == {(i, k) for i in (1, 2) for k in range(20)}
+    assert [x[0] for x in decontaminate.without(d, b, block_bytes=block).collect()] == [3]
+
+
+def test_decontamination_in_small_groups_of_hits(monkeypatch):
+    r = random.Random(5)
+    items = [(k, " ".join(f"v{r.randrange(6)}" for _ in range(12))) for k in range(9)]
+    docs = pa.array([" ".join(f"v{r.randrange(6)}" for _ in range(n)) for n in (300, 5, 80, 40)], pa.large_string())
+    idx = decontaminate.index(items)
+
+    def found():
+        return sorted(x for _, _, data, offs in tk.slices(docs) for x in decontaminate.held_items(tk.Words(data, offs), idx, decontaminate._tables(idx), 0.45))
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "HITS_AT_ONCE", 7)
+    assert found() == whole and len(whole) > 5
+
+
 def test_warc_round_trip(spark, tmp_path):
     records = [
         {"record_id": "<urn:1>", "type": "response", "url": "http://www.A.org/x/?b=2&a=1#f", "date": "2024-01-01T00:00:00Z", "status": 200, "headers": {"ETag": '"e"', "Content-Type": "text/html", "Age": "1"}, "payload": b"<p>\r\n\r\nbody</p>", "refers_to": None, "profile": None},
