@@ -4,7 +4,7 @@ Base candidates are found by three expressions (assign, access, hex); a weaker s
 (long tokens of mixed classes) is a candidate too.  Every candidate value is hashed
 and counted over the whole corpus by distinct repositories and owners.  A value held
 by at most LIVE_OWNERS owners is live-looking; a value held by more is a widely
-copied example.  Weak candidates become spans (kind `live`) only when they are
+copied example, in however many repositories.  Weak candidates become spans (kind `live`) only when they are
 live-looking; base spans always stay and carry their class.
 
 Positions come from SQL alone: the lengths of the pieces that split() leaves between
@@ -34,7 +34,6 @@ HEX = r"[0-9a-f]{32,}"
 WEAK = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}"
 ASSIGN_LEAST = 8
 LIVE_OWNERS = 2
-LIVE_REPOSITORIES = 50
 KINDS = ("assign", "access", "hex", "live")
 
 _SPAN = "array<struct<start:int,rank:int,end:int,hash:bigint>>"
@@ -94,7 +93,7 @@ def ownership(found: DataFrame) -> DataFrame:
         each.groupBy("hash", "_owner", "_repo").agg(F.lit(1).alias("_one"))
         .groupBy("hash", "_owner").agg(F.count("*").alias("_repos"))
         .groupBy("hash").agg(F.sum("_repos").alias("n_repositories"), F.count("*").alias("n_owners"))
-        .withColumn("live", (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repositories") <= LIVE_REPOSITORIES))
+        .withColumn("live", F.col("n_owners") <= LIVE_OWNERS)
     )
 
 

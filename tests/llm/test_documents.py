@@ -171,6 +171,15 @@ def test_ownership_separates_examples_from_live_ones(spark):
     assert clean[10] == "[SECRET] x [SECRET]" and clean[0] == rows[0][1]
 
 
+def test_ownership_counts_owners_not_repositories(spark):
+    rows = [(i, "password=only4me77 x sk_Live9aB3dE6fG7hJ8kL0mN", "s0") for i in range(60)] + [(100 + i, 'password = "common0example"', f"s{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r[0]: r[1] for r in secret_scan.scan(df).select("repository", "spans").collect()}
+    assert all([s["rank"] for s in got[i]] == [0, 3] and all(s["live"] for s in got[i]) for i in range(60)) and not any(got[100 + i][0]["live"] for i in range(60))
+    clean = {r[0]: r[1] for r in secret_scan.redact(df).select("doc_id", "text").collect()}
+    assert all(clean[i] == "[SECRET] x [SECRET]" and clean[100 + i] == rows[60 + i][1] for i in range(60))
+
+
 def test_quality_rules(docs, empty):
     out = quality_rules.rules(docs)
     assert len(set(out.columns)) == len(out.columns)
