@@ -4,11 +4,16 @@ A page is read once, tag by tag, into lines: every block-level tag and line brea
 a line, inline tags do not.  Markup, scripts, styles, comments and hidden parts leave
 nothing; lines inside navigation, page headers, footers, asides, forms and elements
 whose class, id or role names such a part carry no weight, and neither does link
-text.  The weights are summed over sliding windows of WINDOW lines: text surges
-where a window passes SURGE after quiet lines and dives where a whole window is
-empty; the weighted lines between are kept, with the headings that lead into them.
-Where the page marks its article, the distribution runs inside it, and there any
-weight at all is a surge, so that one-word paragraphs stay.
+text.  The weights are summed over sliding windows of WINDOW lines with text: text
+surges where a window passes SURGE after quiet lines and dives where a whole window
+is of links; the lines between are kept, with the headings that lead into them.
+Where the page marks its article, the distribution runs inside it; there link text
+weighs like any other and any weight at all is a surge, so that one-word paragraphs
+stay.
+
+A marked article speaks inside a form and inside wrappers whose names only contain a
+part's name (has-sidebar).  Inside a part proper (aside, class "comments") it is taken
+for a comment or a teaser, unless the page marks no other text.  Hidden stays hidden.
 
 Character references are decoded, white space inside a line becomes one space,
 and lines are joined by one newline.  Nothing is cut off.
@@ -30,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WINDOW, SURGE = 3, 60
+LOOSE, PROPER, HIDDEN = 1, 2, 3
 
 # HTML's elements by role, and names of page parts.
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -49,30 +55,31 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\
 _WORD = re.compile(r"[a-z]+")
 
 
-def _part(tag: str, attributes: str, inside: bool) -> bool:
-    """Does this element begin a part of the page that is not its text?"""
+def _part(tag: str, attributes: str, inside: bool) -> int:
+    """Does this element begin a part of the page that is not its text?  LOOSE, PROPER or HIDDEN if so, else 0."""
+    named = 0
+    if attributes and tag not in ("html", "body", "article", "main"):
+        if _HIDDEN.search(attributes):
+            return HIDDEN
+        for m in _NAMED.finditer(attributes):
+            for token in (m[1] or m[2] or m[3] or "").lower().split():
+                for name in _WORD.findall(token):
+                    if name in NAMES and not (name == "header" and inside):
+                        named = max(named, PROPER if name == token else LOOSE)
     if tag in PARTS or (tag == "header" and not inside):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        for name in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-            if name in NAMES and not (name == "header" and inside):
-                return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, weight, heading, marked) of every line; marked: inside the article that the page names.
-
-    Lines of other page parts are empty, so that they count as quiet.
+        return max(named, LOOSE if tag in ("form", "fieldset") else PROPER)
+    return named
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, weight, heading, marked) of every line; marked: 2 inside the article that the page names, 1 if that is inside another part.
+
+    Lines of other page parts are empty.
     """
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    linked = other = quiet = inside = 0
+    stack: list[tuple[str, int, int, int]] = []  # tag, article, and `quiet` and `marked` outside it
+    linked = other = quiet = inside = marked = 0
     heading = False
     raw_until, at = "", 0
     in_link = 0
@@ -82,10 +89,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         joined = " ".join(_html.unescape("".join(text)).split()) if text else ""
         weight = 0
         if joined:
-            weight = len(joined) if not linked else max(0, len(joined) - linked)
+            weight = len(joined) if not linked or inside else max(0, len(joined) - linked)
             if linked > other and not inside:
                 weight = 0
-        out.append((joined, weight, heading, inside > 0))
+        out.append((joined, weight, heading, marked))
         text.clear()
         linked = other = 0
 
@@ -125,17 +132,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in STACKED:
             if not ends:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    quiet -= stack.pop()[1]
+                    _, _, quiet, marked = stack.pop()
                 flag = _part(tag, m[3], inside > 0)
                 article = tag in ("article", "main")
                 if not m[3].endswith("/"):
-                    stack.append((tag, flag, article))
-                    quiet += flag
+                    stack.append((tag, article, quiet, marked))
                     inside += article
+                    if article and quiet < HIDDEN:
+                        marked = 1 if quiet == PROPER or marked == 1 else 2
+                        quiet = 0
+                    quiet = max(quiet, flag)
             elif any(s[0] == tag for s in stack):
                 while True:
-                    name, flag, article = stack.pop()
-                    quiet -= flag
+                    name, article, quiet, marked = stack.pop()
                     inside -= article
                     if name == tag:
                         break
@@ -151,27 +160,29 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    if any(x[3] and x[1] for x in lines):
-        lines = [x if x[3] else ("", 0, False, False) for x in lines]
+    most = max((x[3] for x in lines if x[1]), default=0)
+    if most:
+        lines = [x if x[3] == most else ("", 0, False, 0) for x in lines]
         least = 1
     else:
         least = SURGE
     weights = [x[1] for x in lines]
     n = len(lines)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    full = [k for k in range(n) if lines[k][0]]  # the empty lines between tags are no part of a window
+    sums = [sum(weights[k] for k in full[i : i + WINDOW]) for i in range(len(full))]
     kept = [False] * n
     i = 0
-    while i < n:
-        if sums[i] < least or not weights[i]:
+    while i < len(full):
+        if sums[i] < least or not weights[full[i]]:
             i += 1
             continue
-        end = i  # the surge; it ends where a whole window is empty
-        while end < n and sums[end]:
+        end = i  # the surge; it ends where a whole window is quiet
+        while end < len(full) and sums[end]:
             end += 1
-        start = i
+        start = full[i]
         while start and lines[start - 1][0] and (lines[start - 1][2] or weights[start - 1]):
             start -= 1
-        for k in range(start, end):
+        for k in range(start, full[end - 1] + 1):
             kept[k] = True
         i = end + 1
     if least == SURGE and not any(kept):

@@ -67,6 +67,23 @@ def test_extraction_edges(spark):
     assert html_extract.texts(df.where("false")).count() == 0
 
 
+LONG = "<p>This first paragraph is long enough to be the beginning of the text of the page.</p>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<body><div class='layout has-sidebar'><article>{ARTICLE}</article></div></body>", TEXT),
+    (f"<body><form action=/><nav><a href=/>Home</a></nav><article>{ARTICLE}</article></form></body>", TEXT),
+    (f"<main><div class='no-comments'><article>{ARTICLE}</article></div><div class=comments><article>A comment.</article></div></main>", TEXT),
+    (f"<aside class=sidebar><article>{ARTICLE}</article></aside>", TEXT),
+    (f"<div hidden><article>Not shown.</article></div><article>{ARTICLE}</article>", TEXT),
+    ("<article><p>One.</p><p><a href=a>A linked paragraph</a></p><ul><li><a href=b>An item</a></li></ul><p>Two.</p></article>", "One.\nA linked paragraph\nAn item\nTwo."),
+    (f"{LONG}<div class=ad>Buy <p>this</p> now.</div><p>The end.</p>", LONG[3:-4] + "\nThe end."),
+    (f"{LONG}<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><p>Far off.</p>", LONG[3:-4]),
+])
+def test_extraction_loses_no_article_text(page, text):
+    assert html_extract.extract(page) == text
+
+
 def _smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
