@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.functions import names as N
 
-# Fields a run writes about itself, and the limits of one call.
+# Fields a run writes about itself, the most records given for a value, and the length of title pieces.
 PROVENANCE = ("source", "evidence_quote", "confidence", "gaps")
-MOST_VALUES, MOST_HITS = 64, 10
+MOST_HITS, PIECE = 10, 6
 
 
 def probes(type_fields: DataFrame, slug: str, named: list[str] | None = None) -> DataFrame:
@@ -25,6 +25,8 @@ def probes(type_fields: DataFrame, slug: str, named: list[str] | None = None) ->
 def find_records(values: DataFrame, probed: DataFrame, stored: DataFrame, actors: DataFrame, most: int = MOST_HITS) -> DataFrame:
     """JN07: (value, verdict, matched_by, records, similar): the first probe and candidate with hits wins, then the title.
 
+    `similar` holds the titles that contain a value which no field found; it is null where there are none.
+
     `stored` is (actor_id, field_id, value), `actors` (id, ref, title, listing).  One
     equi-join on (field, value); only what it leaves over is compared by title.
     """
@@ -40,15 +42,27 @@ def find_records(values: DataFrame, probed: DataFrame, stored: DataFrame, actors
     titled = actors.withColumn("_t", N.folded_title(F.col("title")))
     exact = rest.withColumn("_t", N.folded_title(F.col("value"))).join(titled, "_t").groupBy("value").agg(F.lit("title").alias("matched_by"), F.slice(F.sort_array(F.collect_list(F.struct("listing", "id", "ref", "title"))), 1, most).alias("records"))
     found = by_field.unionByName(exact)
-    return v.join(found, "value", "left").select("value", F.when(F.col("matched_by").isNotNull(), "FOUND").otherwise("not found").alias("verdict"), "matched_by", "records")
+    alike = similar_titles(rest, actors, most).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("listing", "id", "ref", "title"))).alias("similar"))
+    return v.join(found, "value", "left").join(alike, "value", "left").select("value", F.when(F.col("matched_by").isNotNull(), "FOUND").otherwise("not found").alias("verdict"), "matched_by", "records", "similar")
 
 
 def similar_titles(values: DataFrame, actors: DataFrame, most: int = MOST_HITS) -> DataFrame:
-    """Titles that contain a value without equalling it; `values` is one call's stated query set."""
-    v = values.select("value").distinct().limit(MOST_VALUES).withColumn("_v", N.folded_title(F.col("value")))
-    hits = actors.withColumn("_t", N.folded_title(F.col("title"))).join(F.broadcast(v), F.col("_t").contains(F.col("_v")) & (F.col("_t") != F.col("_v")))
+    """(value, listing, id, ref, title): titles that contain a value without equalling it, the first `most` of each value.
+
+    All values are taken.  A value meets only the titles that have its rarest piece of
+    at most PIECE characters, by an equi-join.
+    """
+    v = values.select("value").distinct().withColumn("_v", N.folded_title(F.col("value"))).where("_v IS NOT NULL")
+    titled = actors.select("listing", "id", "ref", "title", N.folded_title(F.col("title")).alias("_t")).where("_t IS NOT NULL")
+    cut = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
+    every = F.concat(F.array(F.lit("")), *(cut(F.col("_t"), F.lit(n)) for n in range(1, PIECE + 1)))
+    pieces = titled.withColumn("_piece", F.explode(F.array_distinct(every)))
+    count = pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
+    own = v.withColumn("_piece", F.explode(F.array_distinct(cut(F.col("_v"), F.least(F.length("_v"), F.lit(PIECE))))))
+    rarest = own.join(count, "_piece").groupBy("value", "_v").agg(F.min(F.struct("_n", "_piece")).alias("_r")).select("value", "_v", F.col("_r._piece").alias("_piece"))
+    hits = rarest.join(pieces, "_piece").where(F.col("_t").contains(F.col("_v")) & (F.col("_t") != F.col("_v")))
     few = F.row_number().over(Window.partitionBy("value").orderBy("listing")) <= most
-    return hits.withColumn("_k", few).where("_k").select("value", "id", "title")
+    return hits.withColumn("_k", few).where("_k").select("value", "listing", "id", "ref", "title")
 
 
 def tally(found: DataFrame) -> DataFrame:

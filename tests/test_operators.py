@@ -239,3 +239,18 @@ def test_readers(spark, tmp_path):
     got = {os.path.basename(x["file"]): (x["text"], x["error"] is None) for x in files.documents(spark, str(tmp_path)).collect()}
     assert got["d.docx"][0].startswith("Head") and got["x.xlsx"] == ("# One\ntext\t\t3\tTRUE", True)
     assert [(x["line_no"], x["raw"]) for x in files.lines(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()][0] == (1, "12 ab")
+
+
+def test_find_records_gives_similar_titles_of_all_values(spark):
+    titles = [f"Company {i} Ltd" for i in range(300)] + ["Été  SA Paris", "ab", "", None]
+    actors = spark.createDataFrame([(i, f"r{i}", t, i) for i, t in enumerate(titles)], "id long, ref string, title string, listing long")
+    values = [f"company {i}" for i in range(300)] + ["été sa", "a", "ab", "AB", "", "nothing like it", "ltd", "company 7 ltd", None]
+    probed = spark.createDataFrame([(1, "f1", "key")], "rank int, field_id string, name string")
+    stored = spark.createDataFrame([(5, "f1", "company 5")], "actor_id long, field_id string, value string")
+    rows = lookup.find_records(spark.createDataFrame([(v,) for v in values], "value string"), probed, stored, actors).collect()
+    fold = lambda t: " ".join(t.split()).lower()
+    like = lambda v: [i for i, t in enumerate(titles) if t is not None and fold(v) in fold(t) and fold(v) != fold(t)][:10]
+    got = {r["value"]: r for r in rows}
+    assert len(rows) == len(values) and got["company 5"]["matched_by"] == "key" and got["company 5"]["similar"] is None
+    assert {v: [x["id"] for x in r["similar"] or []] for v, r in got.items() if v is not None and v != "company 5"} == {v: like(v) for v in values if v is not None and v != "company 5"}
+    assert got["company 7 ltd"]["matched_by"] == "title" and got["ltd"]["verdict"] == "not found"
