@@ -5,7 +5,8 @@ n-grams of the benchmark items, however many items share them (an item with fewe
 words seeds with its whole sequence).  Whole documents are searched for seeds; hits of
 one item near one diagonal make a window, and the window is aligned with the item
 (match +2, mismatch -1, gap -1) unless too few of its words occur in the item for the
-score asked.  A document holds an item when the best alignment scores at least `least`
+score asked; where no window is a full copy, windows as wide as the gaps that the score
+allows are aligned, so words put into a copy do not hide it.  A document holds an item when the best alignment scores at least `least`
 of the score of a full copy.
 
 The benchmark is a stated query set: it is taken in blocks of at most BLOCK_BYTES
@@ -176,19 +177,53 @@ def held_items(words: tk.Words, idx: dict, tables: dict[int, np.ndarray], least:
         fresh = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > PAD)]
         begin = np.flatnonzero(fresh)
         end = np.r_[begin[1:], len(doc)] - 1
-        for c in range(0, len(begin), 512):
-            part = begin[c : c + 512]
-            own = [idx["words"][k] for k in item[part]]
-            size = np.array([len(x) for x in own])
-            lo = np.maximum(words.first[doc[part]], diagonal[part] - PAD)
-            hi = np.minimum(words.first[doc[part] + 1], diagonal[end[c : c + 512]] + size + PAD)
-            near = [h[x:y] for x, y in zip(lo, hi)]
-            able = np.flatnonzero(np.minimum(_shared(own, near), size) >= least * size)
-            score = align([own[i] for i in able], [near[i] for i in able]) / (MATCH * size[able])
-            for i, s in zip(able, score):
+        low, high = diagonal[begin] - PAD, diagonal[end] + PAD
+        scores = np.zeros(len(begin))
+        for at_once in _batches(low, high):
+            for i, *row, s in _aligned(words, h, idx, doc[begin], item[begin], low, high, at_once, least):
+                scores[i] = s
                 if s >= least:
-                    d = int(doc[part[i]])
-                    yield d, int(item[part[i]]), float(s), int(lo[i] - words.first[d]), int(hi[i] - words.first[d])
+                    yield int(doc[begin[i]]), int(item[begin[i]]), s, *row
+        # A copy with words put between lies on several diagonals, or on one with parts too short to seed: windows as
+        # wide as the gaps that still leave `least` may cost, neighbours together, where the windows alone fall short of a full copy.
+        size = np.array([len(x) for x in idx["words"]])[item[begin]]
+        reach = np.floor((MATCH * size * (1 - least)) / -GAP).astype(np.int64)
+        low, high = diagonal[begin] - reach, diagonal[end] + reach
+        apart = np.r_[True, (doc[begin[1:]] != doc[begin[:-1]]) | (item[begin[1:]] != item[begin[:-1]]) | (low[1:] > high[:-1])]
+        first = np.flatnonzero(apart)
+        last = np.r_[first[1:], len(begin)] - 1
+        best = np.maximum.reduceat(scores, first)
+        low, high, mine = low[first], high[last], begin[first]
+        short = np.flatnonzero(best < 1)
+        for at_once in _batches(low[short], high[short]):
+            for i, *row, s in _aligned(words, h, idx, doc[mine], item[mine], low, high, short[at_once], least):
+                if s >= least:
+                    yield int(doc[mine[i]]), int(item[mine[i]]), s, *row
+
+
+def _batches(low: np.ndarray, high: np.ndarray) -> Iterator[np.ndarray]:
+    """Windows to align at once: 512 at most, of like width, fewer where they are wide."""
+    order = np.argsort(high - low, kind="stable")
+    a = 0
+    while a < len(order):
+        b = min(len(order), a + 512)
+        while b > a + 1 and (b - a) * int((high - low)[order[b - 1]]) > 1 << 18:
+            b = a + (b - a) // 2
+        yield order[a:b]
+        a = b
+
+
+def _aligned(words: tk.Words, h: np.ndarray, idx: dict, doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, which: np.ndarray, least: float) -> list[tuple]:
+    """(window, first word, last word, share of the full score) of those windows that can reach `least`; low, high: diagonals."""
+    own = [idx["words"][k] for k in item[which]]
+    size = np.array([len(x) for x in own])
+    start = words.first[doc[which]]
+    lo = np.maximum(start, low[which])
+    hi = np.minimum(words.first[doc[which] + 1], high[which] + size)
+    near = [h[x:y] for x, y in zip(lo, hi)]
+    able = np.flatnonzero(np.minimum(_shared(own, near), size) >= least * size)
+    score = align([own[i] for i in able], [near[i] for i in able]) / (MATCH * size[able])
+    return [(int(which[i]), int(lo[i] - start[i]), int(hi[i] - start[i]), float(s)) for i, s in zip(able, score)]
 
 
 def _scan(docs: DataFrame, idx: dict, least: float) -> DataFrame:

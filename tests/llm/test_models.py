@@ -129,6 +129,15 @@ def test_decontamination_of_many_items_on_one_passage(spark, block):
     assert [x[0] for x in decontaminate.without(d, b, block_bytes=block).collect()] == [3]
 
 
+def test_decontamination_of_copies_with_insertions():
+    w = [f"p{i}" for i in range(60)]
+    put = lambda n, gap: " ".join(x for i in range(0, 60, n) for x in [*w[i : i + n], *(f"x{i}y{j}" for j in range(gap))])
+    docs = pa.array([put(15, 20), put(15, 30), put(5, 4), "a b " * 50 + put(20, 15)], pa.large_string())
+    idx = decontaminate.index([(7, " ".join(w))])
+    found = {d: round(s, 3) for _, _, data, offs in tk.slices(docs) for d, _, s, *_ in decontaminate.held_items(tk.Words(data, offs), idx, decontaminate._tables(idx), 0.45)}
+    assert found == {0: 0.5, 2: 0.633, 3: 0.75}
+
+
 def test_decontamination_in_small_groups_of_hits(monkeypatch):
     r = random.Random(5)
     items = [(k, " ".join(f"v{r.randrange(6)}" for _ in range(12))) for k in range(9)]
