@@ -7,24 +7,29 @@
 2.  Documents with identical prefixes and size fall into one group.  Every group is
     posted under its prefix shingles; postings meet by shingle.
 3.  In a short posting list all group pairs that pass the size and position filters
-    become candidates.  In a long one each group is paired with one anchor, which
-    suffices when the list turns out to be one component; after the first
-    verification, lists that still hold several components emit all pairs between
-    different components.  So copies are never expanded into all pairs, and no link
-    between different components is lost.
+    become candidates.  In a long one each group is first paired with one anchor.
 4.  Candidates are expanded to the distinct sets of the two groups and verified, first
     against an exact bound by parity bitmaps, then on the whole sets: 100 *
     intersection >= percent * union.
-5.  Components by alternating large-star and small-star steps over verified links.
+5.  Long lists, large groups and pairs of groups that still hold several components
+    are worked through in pieces, twice.  First every member gets its nearest partner by
+    bitmap in another component.  Then the members that still have a possible partner
+    in another component are gathered into clumps, the components of what the bitmaps
+    leave possible, and each clump is verified on whole sets, piece against piece,
+    joining components as it goes and giving only the links that join two.  So
+    neither copies nor near copies are ever expanded into rows of pairs, and no link
+    between different components is lost.
+6.  Components by alternating large-star and small-star steps over verified links.
 
 Texts are read by three narrow passes; only postings, candidate texts and ids are
-shuffled.  Documents with equal sets are one node, named by the smallest doc_id.
+shuffled.  Documents with equal sets are one node, named by the set's fingerprint.
 
 Edge cases: a text without words (null, empty, blank) has the empty set, n_shingles 0
 and links with nothing; a text of 1 to n-1 words is one shingle; rows that share a
-doc_id are one node for links; a null doc_id is kept in its row and its text still
-links other rows, but never names a component while an id is there; an empty table
-gives no rows; other columns are ignored, whatever their names.
+doc_id are linked; a null doc_id is kept in its row and its text still links other
+rows, but never names a component: component_id is null only where no row of the
+component has an id; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +48,10 @@ N, PERCENT = 5, 80
 SLOT_BITS = 22
 PARTS = 64
 SHORT_LIST = 64
+LONG_LIST = 4096
 PIECE = 2048
+#: Shingles in a piece of a clump: at least, at most, and pieces before they grow.
+CLUMP_LEAST, CLUMP_MOST, CLUMP_PIECES = 1 << 17, 1 << 21, 64
 
 
 def _least(size, percent: int):
@@ -247,6 +255,7 @@ def group_pairs(token: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.
 
     In a long list every group is paired with the smallest-named group that passes
     with it: as many pairs as groups, and enough when the list is one component.
+    Beyond LONG_LIST the partner is the neighbour by size, so a list takes linear time.
     """
     size, pos = size.astype(np.int64), pos.astype(np.int64)
     order = np.lexsort((group, size, token))
@@ -270,18 +279,22 @@ def group_pairs(token: np.ndarray, group: np.ndarray, size: np.ndarray, pos: np.
         right.append(group[i[ok] + step])
     for f, m in zip(first[length > short], length[length > short]):
         g, z, p = group[f : f + m], size[f : f + m], pos[f : f + m]
+        if m > LONG_LIST:  # neighbours by size, in time linear in the list
+            i = np.flatnonzero(_passes(z[:-1], z[1:], p[:-1], p[1:], percent))
+            left.append(g[i])
+            right.append(g[i + 1])
+            if (z[:-1] * 100 >= z[1:] * percent).any():
+                lists.append((g, z, p))
+            continue
         anchor = np.arange(m)
+        name = np.argsort(np.argsort(g))
         some = False
         for i, j in passing(z, p, percent):
             some |= bool(len(i))
-            for x, y in ((i, j), (j, i)):
-                # The smallest name among the partners seen so far.
-                best = np.full(m, np.iinfo(np.uint64).max, np.uint64)
-                np.minimum.at(best, x, g[y])
-                less = best < g[anchor]
-                if less.any():
-                    name = np.searchsorted(np.sort(g), best[less])
-                    anchor[less] = np.argsort(g)[name]
+            best = np.full(m, m)
+            np.minimum.at(best, i, name[j])
+            np.minimum.at(best, j, name[i])
+            anchor = np.where(best < name[anchor], np.argsort(name)[np.minimum(best, m - 1)], anchor)
         own = np.flatnonzero(anchor != np.arange(m))
         left.append(g[own])
         right.append(g[anchor[own]])
@@ -325,36 +338,57 @@ def _meet(batches: Iterator[pa.RecordBatch], percent: int, short: int) -> Iterat
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.uint64()).view(pa.int64()), *none(1, pa.int64(), pa.int64(), pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(g)], pa.int32()), row)], names)
 
 
-def _near(bits: list[bytes], size: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of a list the bitmaps leave possible; many at once, as _possible()."""
-    length = np.array([len(b) for b in bits])
-    keep = np.zeros(len(i), bool)
-    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for n in np.unique(length):
-        at = np.flatnonzero(length >= n)
-        rows = np.zeros((len(at), n), np.uint8)
-        for r, k in enumerate(at.tolist()):
-            x = np.frombuffer(bits[k], np.uint8)
-            while len(x) > n:
-                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-            rows[r] = x
-        where = np.zeros(len(bits), np.int64)
-        where[at] = np.arange(len(at))
-        folded[int(n)] = (rows, where)
-    least = np.minimum(length[i], length[j])
-    for n, (rows, where) in folded.items():
-        mine = np.flatnonzero(least == n)
-        for c in range(0, len(mine), 20_000):
-            k = mine[c : c + 20_000]
-            differ = np.bitwise_count(rows[where[i[k]]] ^ rows[where[j[k]]]).sum(axis=1, dtype=np.int64)
-            keep[k] = differ <= size[i[k]] + size[j[k]] - 2 * _need(size[i[k]], size[j[k]], percent)
-    return keep
-
-
-def _across(batches: Iterator[pa.RecordBatch], percent: int, sparse: bool) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of different components, of two pieces (l1, l2) of a list; a null l2 pairs l1 with itself.
-
-    With `sparse`, of each member's partners only the smallest-named.
+class _Bitmaps:
+    """Bitmaps of sets in order of size, folded to each length that occurs."""
+
+    def __init__(self, bits: list[bytes]):
+        self.length = np.array([len(b) for b in bits], np.int64)
+        self.first, self.rows = {}, {}
+        for n in np.unique(self.length).tolist():
+            first = int(np.searchsorted(self.length, n))
+            rows = np.zeros((len(bits) - first, n), np.uint8)
+            for r, b in enumerate(bits[first:]):
+                x = np.frombuffer(b, np.uint8)
+                while len(x) > n:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                rows[r] = x
+            self.first[n], self.rows[n] = first, rows.view(np.uint64)
+
+    def differ(self, i: int, j: np.ndarray) -> np.ndarray:
+        """At least so many elements are in one of the sets i and j alone; j: later rows."""
+        n = int(self.length[i])
+        rows, first = self.rows[n], self.first[n]
+        return np.bitwise_count(rows[j - first] ^ rows[i - first]).sum(axis=1, dtype=np.int64)
+
+
+def _partners(size: np.ndarray, pos: np.ndarray | None, root: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, later rows, differences) of sets in order of size: possible partners in other components by size, position and bitmap.
+
+    `root` may change between rows.  Rows of one side are not compared if there are two.
+    """
+    m, maps = len(size), _Bitmaps(bits)
+    two = m > 0 and side.min() != side.max()
+    ends = np.searchsorted(size * percent, size * 100, "right")
+    for i in range(m - 1):
+        ok = root[i + 1 : ends[i]] != root[i]
+        if two:
+            ok &= side[i + 1 : ends[i]] != side[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j) and pos is not None:
+            j = j[_passes(size[i], size[j], pos[i], pos[j], percent)]
+        if not len(j):
+            continue
+        differ = maps.differ(i, j)
+        keep = differ <= size[i] + size[j] - 2 * _need(size[i], size[j], percent)
+        if keep.any():
+            yield i, j[keep], differ[keep]
+
+
+def _across(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of possible partners in different components, of two pieces (l1, l2) of a list; a null l2 pairs l1 with itself.
+
+    With `nearest`, each member with the one that differs least.  Else as many pairs
+    as span what is possible: whoever has a possible partner is in one of them.
     """
     for batch in batches:
         for one, two in zip(batch.column(0), batch.column(1)):
@@ -362,28 +396,64 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, sparse: bool) -> It
             fp, size, pos, root = (np.concatenate([np.asarray(p.field(k)) for p in parts]) for k in range(4))
             bits = [b for p in parts for b in p.field(4).to_pylist()]
             side = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-            order = np.argsort(size, kind="stable")
+            order = np.lexsort((fp, size))
             fp, size, pos, root, side = fp[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], side[order]
             bits = [bits[k] for k in order.tolist()]
-            best = np.full(len(fp), np.iinfo(np.int64).max)
-            for i, j in passing(size, pos, percent, root):
-                keep = side[i] != side[j] if len(parts) == 2 else np.ones(len(i), bool)
-                keep[keep] = _near(bits, size, i[keep], j[keep], percent)
-                i, j = i[keep], j[keep]
-                if sparse:
-                    np.minimum.at(best, i, fp[j])
-                    np.minimum.at(best, j, fp[i])
-                elif len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[i], fp[j])), pa.array(np.maximum(fp[i], fp[j]))], ["f1", "f2"])
-            own = np.flatnonzero(best < np.iinfo(np.int64).max)
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[own], best[own])), pa.array(np.maximum(fp[own], best[own]))], ["f1", "f2"])
+            m = len(fp)
+            best = np.full(m, np.iinfo(np.int64).max)
+            clump = np.arange(m)
+            left, right = [], []
+            for i, j, differ in _partners(size, pos, root, side, bits, percent):
+                if nearest:
+                    far = (differ << 16) // (size[i] + size[j]) << 24
+                    best[j] = np.minimum(best[j], far | i)
+                    best[i] = min(best[i], int((far | j).min()))
+                    continue
+                for k in j[clump[j] != clump[i]].tolist():
+                    if clump[k] != clump[i]:
+                        clump[clump == clump[k]] = clump[i]
+                        left.append(i)
+                        right.append(k)
+            if nearest:
+                left = np.flatnonzero(best < np.iinfo(np.int64).max)
+                right = best[left] & 0xFFFFFF
+            if len(left):
+                x, y = fp[left], fp[right]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["f1", "f2"])
+
+
+def _clump(table: pa.Table, percent: int) -> pa.Table:
+    """Links (f1, f2) that join the components of a clump's members (part, fp, root, bits, set), verified on whole sets."""
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+    size = np.array([len(x) for x in sets], np.int64)
+    fp, root, part = (table.column(c).to_numpy() for c in ("fp", "root", "part"))
+    order = np.lexsort((fp, size))
+    bits, sets = table.column("bits").to_pylist(), [sets[k] for k in order.tolist()]
+    bits = [bits[k] for k in order.tolist()]
+    fp, size = fp[order], size[order]
+    root = np.unique(root[order], return_inverse=True)[1]
+    left, right = [], []
+    for i, js, _ in _partners(size, None, root, part[order], bits, percent):
+        for a in range(0, len(js), 1024):
+            j = js[a : a + 1024]
+            j = j[root[j] != root[i]]
+            if not len(j):
+                continue
+            every = np.concatenate([sets[k] for k in j.tolist()])
+            at = np.minimum(np.searchsorted(sets[i], every), size[i] - 1)
+            common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum(size[j]) - size[j])
+            for k in j[100 * common >= percent * (size[i] + size[j] - common)].tolist():
+                if root[k] != root[i]:
+                    root[root == root[k]] = root[i]
+                    left.append(i)
+                    right.append(k)
+    return pa.table([pa.array(fp[left], pa.int64()), pa.array(fp[right], pa.int64())], ["f1", "f2"])
 
 
 def parity(values: np.ndarray) -> bytes:
-    """A bitmap of a set, a power of two near its size long: each bit is the parity of the elements that fall on it."""
+    """A bitmap of a set, a power of two of at least twice its size long: each bit is the parity of the elements that fall on it."""
     bits = 64
-    while bits < len(values):
+    while bits < 2 * len(values):
         bits *= 2
     count = np.bincount((values >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -480,11 +550,8 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     held = spark.sparkContext.broadcast(frequency_classes(counted.where("part IS NOT NULL").select("part", "form", "blob")))
     met = docs.mapInArrow(lambda b: _postings(b, held.value, n, percent, buckets), "bucket int, grp long, fp long, blob binary").repartition(buckets, "bucket").mapInArrow(lambda b: _meet(b, percent, short), "g1 long, g2 long, fp long, bits binary, list array<struct<g:long,size:int,pos:int>>")
     met = shared.written(met, "candidates")
-    no_id = F.lit(1 << 62) + F.shiftrightunsigned("fp", 3)
     groups = met.where("fp IS NOT NULL").select("fp", F.col("g1").alias("grp"), "bits")
-    nodes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("_d"), F.min("n").alias("n")).join(groups, "fp")
-    nodes = shared.written(nodes.select("fp", F.coalesce("_d", no_id).alias("rep"), "grp", "n", "bits"), "nodes")
-    unnamed = nodes.where(F.col("rep") >= (1 << 62)).limit(1).count() > 0
+    nodes = shared.written(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).join(groups, "fp"), "nodes")
 
     # Groups of one set are the rule; a larger group is a list of its own, and so is a pair that holds one.
     large = shared.written(nodes.groupBy("grp").agg(F.count("*").alias("k"), F.min("fp").alias("first")).where("k > 1"), "groups")
@@ -500,47 +567,67 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     )
     tried = shared.written(possible(first.unionByName(inside).select(F.least("f1", "f2").alias("f1"), F.greatest("f1", "f2").alias("f2")).distinct(), nodes, percent), "pairs")
 
-    name = nodes.select("fp", "rep")
-
-    def sets_of(these: DataFrame) -> DataFrame:
-        fps = these.select(F.explode(F.array("f1", "f2")).alias("fp")).distinct()
-        reps = nodes.join(fps, "fp", "left_semi").select(F.when(F.col("rep") < (1 << 62), F.col("rep")).alias("doc_id")).distinct()
-        known = reps.where("doc_id IS NOT NULL")
+    def sets_of(fps: DataFrame) -> DataFrame:
+        """(fp, set) of those fingerprints, each read from one row, and of some others."""
+        reps = nodes.join(fps.distinct(), "fp", "left_semi").select("fp", F.col("rep").alias("doc_id"))
+        known = reps.where("doc_id IS NOT NULL").select("doc_id").distinct()
         texts = _may_hold(docs, known).join(known, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
-        if unnamed:
+        if reps.where("doc_id IS NULL").limit(1).count():
             texts = texts.unionByName(docs.where("doc_id IS NULL").select("text").distinct())
-        return shared.written(texts.mapInArrow(lambda b: _sets(b, n), "fp long, set binary"), "sets")
-
-    def roots_of(good: DataFrame, rounds: int | None = None) -> DataFrame:
-        edges = good.join(name.select(F.col("fp").alias("f1"), F.col("rep").alias("a")), "f1").join(name.select(F.col("fp").alias("f2"), F.col("rep").alias("b")), "f2").select("a", "b")
-        return components(edges, rounds)
-
-    links = shared.written(linked(tried, sets_of(tried), percent), "verified")
-    # Lists whose members still lie in several components: first one partner for each
-    # member, then, in what is still split, every possible pair.
-    for sparse in (True, False):
-        roots = roots_of(links, 1)
-        named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", "grp", "n", "bits", F.coalesce("root", "rep").alias("root"))
+        return shared.written(texts.mapInArrow(lambda b: _sets(b, n), "fp long, set binary").dropDuplicates(["fp"]), "sets")
+
+    ends = lambda these: these.select(F.explode(F.array("f1", "f2")).alias("fp"))
+    edges = lambda these: these.select(F.col("f1").alias("a"), F.col("f2").alias("b"))
+
+    def split(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The sets with the roots that the links give so far, and the pairs of pieces (l1, l2) of the lists that hold several."""
+        roots = components(edges(links), 1)
+        named = shared.written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "grp", "n", "bits", F.coalesce("root", "fp").alias("root")), "named")
         member = lists.join(named.select("grp", "fp", "root"), "grp")
-        split = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("list", F.ceil(F.col("k") / PIECE).alias("pieces"))
+        several = member.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("list", F.ceil(F.col("k") / PIECE).alias("pieces"))
         part = F.pmod(F.xxhash64("fp"), F.col("pieces"))
-        open_ = lists.join(split, "list").join(named, "grp").groupBy("list", part.alias("part")).agg(F.collect_set(F.struct("fp", F.col("n").alias("size"), "pos", "root", "bits")).alias("l"))
+        open_ = lists.join(several, "list").join(named, "grp").groupBy("list", part.alias("part")).agg(F.collect_set(F.struct("fp", F.col("n").alias("size"), "pos", "root", "bits")).alias("l"))
         open_ = shared.written(open_, "open")
-        inside_part = open_.select(F.col("l").alias("l1"), F.lit(None).cast(open_.schema["l"].dataType).alias("l2"))
+        alone = open_.select(F.col("l").alias("l1"), F.lit(None).cast(open_.schema["l"].dataType).alias("l2"))
         x, y = (open_.select("list", F.col("part").alias(f"p{i}"), F.col("l").alias(f"l{i}")) for i in (1, 2))
         between = x.join(y, "list").where("p1 < p2").select("l1", "l2")
-        more = inside_part.unionByName(between).mapInArrow(lambda b, sparse=sparse: _across(b, percent, sparse), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti")
-        more = shared.written(more, "pairs")
-        if not more.limit(1).count():
-            if sparse:
-                continue
-            break
-        links = links.unionByName(shared.written(linked(more, sets_of(more), percent), "verified"))
-        tried = tried.unionByName(more)
-    roots = roots_of(links)
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("root"))
+        return named, alone.unionByName(between)
+
+    links = shared.written(linked(tried, sets_of(ends(tried)), percent), "verified")
+    same_id = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("f1"), F.max("fp").alias("_f")).where("f1 < _f").select("doc_id", "f1")
+    same_id = rows.where("n > 0").join(same_id, "doc_id").where("fp <> f1").select("f1", F.col("fp").alias("f2"))
+    links = shared.written(links.unionByName(same_id), "verified")
+    # Lists whose members still lie in several components: first the nearest partner of each.
+    _, pieces = split(links)
+    more = shared.written(pieces.mapInArrow(lambda b: _across(b, percent, True), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        links = links.unionByName(shared.written(linked(more, sets_of(ends(more)), percent), "verified"))
+        # What is still apart and possible, clump by clump.
+        named, pieces = split(links)
+        may = shared.written(pieces.mapInArrow(lambda b: _across(b, percent, False), "f1 long, f2 long").distinct(), "possible")
+        if may.limit(1).count():
+            links = links.unionByName(shared.written(_clumped(may, named, sets_of(ends(may)), percent), "verified"))
+    roots = components(edges(links))
+    named = shared.written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     last = rows.join(named, F.when(F.col("n") > 0, F.col("fp")) == F.col("_fp"), "left")
-    return last.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("root") < (1 << 62), F.col("root")).when(F.col("n") == 0, F.col("doc_id")).alias("component_id"))
+    return last.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _clumped(may: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (f1, f2) among the sets of each clump of possible pairs `may` that join different roots."""
+    clumps = components(may.select(F.col("f1").alias("a"), F.col("f2").alias("b")))
+    member = clumps.select(F.col("node").alias("fp"), F.col("root").alias("clump")).unionByName(clumps.select(F.col("root").alias("fp"), F.col("root").alias("clump")).distinct())
+    member = shared.written(member.join(named.select("fp", "n", "root"), "fp"), "clumps")
+    shingles = F.least(F.greatest(F.col("_n") / CLUMP_PIECES, F.lit(CLUMP_LEAST)), F.lit(CLUMP_MOST))
+    pieces = member.groupBy("clump").agg(F.sum("n").alias("_n")).select("clump", F.ceil(F.col("_n") / shingles).cast("int").alias("pieces"))
+    dealt = member.join(pieces, "clump").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
+    # A piece meets itself and every other one.
+    pair = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("p1"), F.greatest(k, F.col("part")).alias("p2")))
+    dealt = dealt.select("clump", "fp", "root", "part", F.explode(pair).alias("p")).select("clump", "p.*", "part", "fp", "root")
+    whole = dealt.join(named.select("fp", "bits").join(sets, "fp"), "fp")
+    return whole.groupBy("clump", "p1", "p2").applyInArrow(lambda t: _clump(t, percent), "f1 long, f2 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
