@@ -45,7 +45,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     number of `rounds` the roots may still be finer than the components.
     """
     done = 0
-    edges = shared.written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long").distinct(), "links")
+    edges = shared.written(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(shared.lean(_forest), "a long, b long").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

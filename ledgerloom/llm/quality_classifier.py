@@ -9,7 +9,9 @@ output) is fitted by Adam; its logits are divided by a temperature chosen on a
 validation part so that the outputs are probabilities.
 
 Scoring reads whole texts, needs no shuffle and broadcasts tables of a fixed size
-(WORDS + SHAPES rows of DIM half floats, about 10 MB), whatever the corpus.
+(WORDS + SHAPES rows of DIM half floats, about 10 MB), whatever the corpus.  Word
+vectors are gathered CHUNK words at a time, so memory does not grow with a text or
+with the sample.
 
 Edge cases: a null or empty text has the zero vector and gets that vector's score;
 repeated rows are scored alike; an empty table gives no rows; without usable labels
@@ -25,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm import labelled, textkernel as tk
+from ledgerloom.llm import labelled, shared, textkernel as tk
 
 WORDS, SHAPES, DIM, HIDDEN = 1 << 16, 1 << 14, 64, 24
 MOST_PER_CLASS = 3000
+CHUNK = 1 << 16
 THRESHOLD = 0.7
 
 #: Bits of a word's shape by byte.
@@ -73,21 +76,16 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Random indexing over the sample: neighbours' index vectors, summed for each word and shape."""
+def word_vectors(streams: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """Random indexing over the sample: neighbours' index vectors, summed for each word and shape, CHUNK words at a time."""
     index = index_vectors()
     total = np.zeros((WORDS + SHAPES, DIM), np.float32)
-    for first in range(0, len(docs), 400):
-        part = docs[first : first + 400]
-        for stream in (0, 1):
-            ids = np.concatenate([d[stream] for d in part])
-            own = np.repeat(np.arange(len(part)), [len(d[stream]) for d in part])
+    for ids in streams:
+        for first in range(0, len(ids), CHUNK):
             for step in (1, 2):
-                if len(ids) <= step:
-                    continue
-                near = own[step:] == own[:-step]
-                a, b = ids[:-step][near], ids[step:][near]
-                for x, y in ((a, b), (b, a)):
+                a = np.arange(first, min(first + CHUNK, len(ids) - step))
+                a = a[doc[a] == doc[a + step]]
+                for x, y in ((ids[a], ids[a + step]), (ids[a + step], ids[a])):
                     if len(x):
                         order = np.argsort(x, kind="stable")
                         x, y = x[order], y[order]
@@ -98,25 +96,36 @@ def word_vectors(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def pooled(ids: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of the ids of each document; zeros for none."""
+    """Mean vector of the ids of each document, CHUNK words at a time; zeros for none."""
     count = np.diff(first)
     out = np.zeros((len(count), DIM), np.float32)
-    full = np.flatnonzero(count)
-    if len(full):
-        out[full] = np.add.reduceat(vectors[ids], first[:-1][full], axis=0) / count[full, None]
-    return out
+    doc = np.repeat(np.arange(len(count)), count)
+    for a in range(0, len(ids), CHUNK):
+        own = doc[a : a + CHUNK]
+        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[cut]] += np.add.reduceat(vectors[ids[a : a + CHUNK]].astype(np.float32, copy=False), cut, axis=0)
+    return out / np.maximum(count, 1)[:, None]
+
+
+def _packed(**arrays) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, **arrays)
+    return out.getvalue()
 
 
-def _fit(rows: list[dict]) -> dict[str, np.ndarray]:
-    y = np.array([r["label"] for r in rows], np.float32)
-    weight = np.array([r["weight"] for r in rows], np.float32)
+def _fit(y: np.ndarray, weight: np.ndarray, texts: list[str]) -> bytes:
     if len(y) < 4 or y.min() == y.max():
-        share = float((y * weight).sum() / weight.sum()) if len(y) else 0.5
-        return {"share": np.array(share)}
-    docs = [(np.frombuffer(r["words"], np.int32).astype(np.int64), np.frombuffer(r["shapes"], np.int32).astype(np.int64)) for r in rows]
-    vectors = word_vectors(docs)
-    table = vectors.astype(np.float32)
-    x = np.concatenate([pooled(np.concatenate([d[s] for d in docs]), np.cumsum([0, *(len(d[s]) for d in docs)]), table) for s in (0, 1)], axis=1)
+        return _packed(share=np.array(float((y * weight).sum() / weight.sum()) if len(y) else 0.5))
+    y, weight = y.astype(np.float32), weight.astype(np.float32)
+    ids, shapes, count = [], [], []
+    for _, _, data, offs in tk.slices(pa.array(texts, pa.large_string())):
+        words = tk.Words(data, offs)
+        for out, part in zip((ids, shapes), tokens(words)):
+            out.append(part.astype(np.int32))
+        count.append(words.count)
+    streams, count = (np.concatenate(ids), np.concatenate(shapes)), np.concatenate(count)
+    vectors = word_vectors(streams, np.repeat(np.arange(len(count), dtype=np.int32), count))
+    x = np.concatenate([pooled(s, np.r_[0, np.cumsum(count)], vectors) for s in streams], axis=1)
     mean, sd = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / sd
     r = np.random.default_rng(5)
@@ -146,55 +155,31 @@ def _fit(rows: list[dict]) -> dict[str, np.ndarray]:
     for temperature in np.geomspace(0.25, 8, 41):
         z = logit / temperature
         loss[temperature] = float((weight[valid] * (np.logaddexp(0, z) - y[valid] * z)).sum())
-    return {"vectors": vectors, "mean": mean, "sd": sd, "a": a, "b": b, "c": c, "d": d, "temperature": np.array(min(loss, key=loss.get))}
+    return _packed(vectors=vectors, mean=mean, sd=sd, a=a, b=b, c=c, d=d, temperature=np.array(min(loss, key=loss.get)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held_out: int = 2, most_per_class: int = MOST_PER_CLASS) -> bytes:
-    """Fits the model in one task on at most 2 * most_per_class labelled documents."""
+    """Fits the model in one task on at most 2 * most_per_class labelled documents of labelled.MOST_BYTES together."""
+    return labelled.fitted(labelled.sample(docs, labels, label, modulus, held_out, most_per_class), _fit)
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, j, data, offs in tk.slices(batch.column("text")):
-                words = tk.Words(data, offs)
-                ids, shapes = tokens(words)
-                out += [(ids[a:b].astype(np.int32).tobytes(), shapes[a:b].astype(np.int32).tobytes()) for a, b in zip(words.first[:-1], words.first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("weight"), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["label", "weight", "words", "shapes"])
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: (r["label"], r["words"], r["shapes"]))
-        out = io.BytesIO()
-        np.savez_compressed(out, **_fit(rows))
-        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
-
-    rows = labelled.sample(docs, labels, label, modulus, held_out, most_per_class)
-    made = rows.mapInArrow(features, "label int, weight double, words binary, shapes binary").repartition(1).mapInArrow(fit, "model binary").collect()
-    return bytes(made[0][0]) if made else b""
-
-
-def score(docs: DataFrame, model: bytes, out: str = "score") -> DataFrame:
-    """Appends the probability of label 1; all columns of `docs` stay (a column named `out` is replaced)."""
-    spark, keep = docs.sparkSession, [c for c in docs.columns if c != out]
-    held = spark.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out), f"`{out}` double"])
+
+def score(docs: DataFrame, model: bytes, out: str = "score", text: str = "text") -> DataFrame:
+    """Appends the probability of label 1; all columns of `docs` stay (a column named `out` is replaced, `text` too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = dict(np.load(io.BytesIO(held.value))) if held.value else {"share": np.array(0.5)}
-        table = m["vectors"].astype(np.float32) if "vectors" in m else None
         for batch in batches:
             scores = np.full(batch.num_rows, float(m.get("share", 0.5)))
-            if table is not None:
-                for i, j, data, offs in tk.slices(batch.column(batch.schema.get_field_index("text")), 1 << 19):
+            if "vectors" in m:
+                for i, j, data, offs in tk.slices(batch.column(batch.num_columns - 1), 1 << 19):
                     words = tk.Words(data, offs)
-                    ids, shapes = tokens(words)
-                    x = np.concatenate([pooled(ids, words.first, table), pooled(shapes, words.first, table)], axis=1)
+                    x = np.concatenate([pooled(s, words.first, m["vectors"]) for s in tokens(words)], axis=1)
                     z = np.tanh((x - m["mean"]) / m["sd"] @ m["a"] + m["b"]) @ m["c"] + m["d"]
                     scores[i:j] = 1 / (1 + np.exp(-np.clip(z / m["temperature"], -40, 40)))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*keep, out])
+            yield shared.appended(batch, pa.array(scores), out)
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return shared.with_text(docs, text, out).mapInArrow(shared.lean(run), shared.schema_with(docs, out, "double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,22 +27,25 @@ SHINGLE_WEIGHT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+KEPT = (1 << 20) + 1
 _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, kept for the largest n asked for so far."""
+    """BASE**i and BASE**-i for i < n; up to KEPT of them are kept for the next call."""
     global _power, _inverse
-    if len(_power) < n:
-        size = 1 << (n - 1).bit_length()
-        out = []
-        for base in (BASE, BASE_INVERSE):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
+    if len(_power) >= n:
+        return _power, _inverse
+    size = n if n > KEPT else min(KEPT, 1 << (n - 1).bit_length())
+    out = []
+    for base in (BASE, BASE_INVERSE):
+        p = np.full(size, base, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    if size <= KEPT:
         _power, _inverse = out
-    return _power, _inverse
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
