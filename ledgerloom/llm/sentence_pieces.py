@@ -13,7 +13,8 @@ Decoding concatenates the bytes of the pieces and drops the space in front; ever
 comes back exactly, including a literal U+2581 (as bytes), tabs and line ends.
 
 Narrow: no shuffle; the broadcast is the vocabulary alone, of at most MOST_BYTES.
-Words are remembered within a Python worker up to REMEMBERED, then forgotten.
+A task builds the automaton of its vocabulary; words are remembered up to REMEMBERED
+characters of words and ids, transitions up to TRANSITIONS, and nothing beyond the task.
 
 Edge cases: a null or empty text has no pieces and decodes to an empty text; repeated
 rows are encoded alike; very long words are searched in time linear in their length;
@@ -31,11 +32,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm import shared
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "\uffff"  # stands before a marker that is the text's own
 MOST_BYTES = 64 << 20
-REMEMBERED = 300_000
+REMEMBERED = 6_000_000
+TRANSITIONS = 200_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -47,8 +51,7 @@ class Vocabulary:
 
         model = pb.ModelProto()
         model.ParseFromString(data)
-        self.root: dict = {}
-        self.start: list | None = None
+        pieces: list[tuple[str, float, int]] = []
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
         self.unknown = 0
@@ -56,10 +59,7 @@ class Vocabulary:
         chars: set[str] = set()
         for k, p in enumerate(model.pieces):
             if p.type in (1, 4):  # normal, user defined
-                node = self.root
-                for c in p.piece:
-                    node = node.setdefault(c, {})
-                node[""] = (float(p.score), k)
+                pieces.append((p.piece, float(p.score), k))
                 chars.update(p.piece)
                 scores.append(float(p.score))
                 self.bytes_of.append(p.piece.replace(MARK, " ").encode())
@@ -84,39 +84,59 @@ class Vocabulary:
         self.is_byte = np.zeros(len(size), bool)
         if self.has_bytes:
             self.is_byte[self.byte_ids] = True
+        self._automaton(pieces)
 
     def other(self, text: str) -> list[int]:
         """Ids of characters without a piece."""
         return [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if self.has_bytes else [self.unknown]
 
-    def _automaton(self) -> list:
-        """The trie with failure links: a node is [next by character, failure, pieces that end here].
+    def _automaton(self, pieces: list[tuple[str, float, int]]) -> None:
+        """The trie with failure links, by number of state: `next` by state and character, `failure`, and `ends`.
 
-        Pieces are (length, score, id), longest first.  Transitions that go through
-        failure links are remembered in the node they start from.
+        `ends` are the pieces that end in a state, longest first, as (length, score,
+        id).  Flat tables instead of a node for each state keep a worker small.
         """
-        top: list = [{}, None, ()]
-        queue = []
-        for c, node in self.root.items():
-            top[0][c] = child = [{}, top, ((1, *node[""]),) if "" in node else ()]
-            queue.append((child, node, 1))
-        for state, node, depth in queue:
-            for c, below in node.items():
-                if c:
-                    back = state[1]
-                    while back is not None and c not in back[0]:
-                        back = back[1]
-                    back = back[0][c] if back is not None else top
-                    state[0][c] = child = [{}, back, (((depth + 1, *below[""]),) if "" in below else ()) + back[2]]
-                    queue.append((child, below, depth + 1))
-        return top
+        self.next: dict[int, int] = {}
+        depth, own, order = [0], [None], []
+        for piece, score, k in pieces:
+            state = 0
+            for c in piece:
+                key = state << 21 | ord(c)
+                after = self.next.get(key)
+                if after is None:
+                    after = self.next[key] = len(depth)
+                    order.append((depth[state] + 1, state, ord(c), after))
+                    depth.append(depth[state] + 1)
+                    own.append(None)
+                state = after
+            own[state] = (len(piece), score, k)
+        self.failure = array("i", [-1]) * len(depth)
+        self.ends: dict[int, tuple] = {}
+        for _, state, c, after in sorted(order):
+            back = self.failure[state]
+            while back >= 0 and (back << 21 | c) not in self.next:
+                back = self.failure[back]
+            back = self.next[back << 21 | c] if back >= 0 else 0
+            self.failure[after] = back
+            ends = ((own[after],) if own[after] else ()) + self.ends.get(back, ())
+            if ends:
+                self.ends[after] = ends
+        self.through: dict[int, int] = {}  # transitions through failure links, remembered
+
+    def _step(self, key: int) -> int:
+        """The state that a state and a character without a transition of their own lead to."""
+        c, link = key & 0x1FFFFF, self.failure[key >> 21]
+        while link >= 0 and (link << 21 | c) not in self.next:
+            link = self.failure[link]
+        if len(self.through) >= TRANSITIONS:
+            self.through.clear()
+        after = self.through[key] = self.next[link << 21 | c] if link >= 0 else 0
+        return after
 
     def search(self, words: list[str]) -> list[bytes]:
         """Little-endian int32 ids of sorted words, depth first: the state of a shared prefix is computed once."""
-        if self.start is None:
-            self.start = self._automaton()
-        start, out, before = self.start, [], ""
-        best, back, states = [0.0], [(0, -1)], [start]
+        out, before, following, through, ends_of = [], "", self.next, self.through, self.ends
+        best, back, states = [0.0], [(0, -1)], [0]
         for word in words:
             shared = 0
             for x, y in zip(before, word):
@@ -126,18 +146,15 @@ class Vocabulary:
             del best[shared + 1 :], back[shared + 1 :], states[shared + 1 :]
             state, j = states[shared], shared
             for c in word[shared:] if shared else word:
-                after = state[0].get(c)
-                if after is None:
-                    link = state[1]
-                    while link is not None:
-                        after = link[0].get(c)
-                        if after is not None:
-                            break
-                        link = link[1]
-                    state[0][c] = after = after or start
+                key = state << 21 | ord(c)
+                state = following.get(key)
+                if state is None:
+                    state = through.get(key)
+                    if state is None:
+                        state = self._step(key)
                 j += 1
                 top, step, n = -1e300, None, 0
-                for n, piece, k in after[2]:
+                for n, piece, k in ends_of.get(state, ()):
                     score = best[j - n] + piece
                     if score > top:
                         top, step = score, (n, k)
@@ -147,8 +164,7 @@ class Vocabulary:
                         top, step = score, (1, -1)
                 best.append(top)
                 back.append(step)
-                states.append(after)
-                state = after
+                states.append(state)
             ids = array("i")
             while j:
                 n, k = back[j]
@@ -178,24 +194,31 @@ class Vocabulary:
 
 
 class Encoder:
-    """A vocabulary with the words of this worker."""
+    """A vocabulary with the words of a task."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.known = vocabulary, {LITERAL + MARK: np.array(vocabulary.other(MARK), np.int32).tobytes()}
+        self.vocabulary = vocabulary
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the remembered words."""
+        self.known, self.size = {LITERAL + MARK: np.array(self.vocabulary.other(MARK), np.int32).tobytes()}, 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian int32 ids of every text."""
         words = [self.vocabulary.words(t) for t in texts]
+        if self.size > REMEMBERED:
+            self.forget()
         fresh = sorted({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {LITERAL + MARK: self.known[LITERAL + MARK]}
-            fresh = sorted({w for ws in words for w in ws if w not in self.known})
-        self.known.update(zip(fresh, self.vocabulary.search(fresh)))
+        coded = self.vocabulary.search(fresh)
+        self.known.update(zip(fresh, coded))
         known = self.known
         out = [b"".join([known[w] for w in ws]) for ws in words]
-        for w in fresh:
+        for w, x in zip(fresh, coded):
             if len(w) > 64:
                 del known[w]
+            else:
+                self.size += len(w) + len(x)
         return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
@@ -210,18 +233,6 @@ class Encoder:
         return [data[a + (data[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(cut[:-1], cut[1:])]
 
 
-_encoders: dict[bytes, Encoder] = {}
-
-
-def _encoder(data: bytes) -> Encoder:
-    """One encoder a worker process and vocabulary."""
-    key = hashlib.sha256(data).digest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(data))
-    return _encoders[key]
-
-
 def load(path: str = VOCABULARY) -> bytes:
     """The vocabulary file, on the driver; too large a file is refused rather than broadcast."""
     with open(path, "rb") as f:
@@ -246,36 +257,32 @@ def _pieces(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "pieces", vocabulary: bytes | None = None) -> DataFrame:
-    """Appends the ids (array<int>) of every text; all columns stay (one named `out` is replaced)."""
+    """Appends the ids (array<int>) of every text; all columns stay (one named `out` is replaced, `text` too)."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary or load())
-    keep = [c for c in docs.columns if c != out]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held.value)
+        encoder = Encoder(Vocabulary(held.value))
         for batch in batches:
-            ids = [x for part in _pieces(batch.column(keep.index(text))) for x in encoder.encode(part)]
+            ids = [x for part in _pieces(batch.column(batch.num_columns - 1)) for x in encoder.encode(part)]
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*keep, out])
+            yield shared.appended(batch, pa.ListArray.from_arrays(pa.array(offsets), values), out)
 
-    return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(run, schema)
+    return shared.with_text(docs, text, out).mapInArrow(shared.lean(run), shared.schema_with(docs, out, "array<int>"))
 
 
 def decode(rows: DataFrame, pieces: str = "pieces", out: str = "text", vocabulary: bytes | None = None) -> DataFrame:
-    """Appends the text of the ids; null ids give an empty text."""
+    """Appends the text of the ids (a column named `out` is replaced, `pieces` too); null ids give an empty text."""
     held = rows.sparkSession.sparkContext.broadcast(vocabulary or load())
-    keep = [c for c in rows.columns if c != out]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), f"`{out}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held.value)
+        encoder = Encoder(Vocabulary(held.value))
         for batch in batches:
-            ids = [np.array(x.as_py() or [], np.int32).tobytes() for x in batch.column(keep.index(pieces))]
+            ids = [np.array(x.as_py() or [], np.int32).tobytes() for x in batch.column(batch.num_columns - 1)]
             texts = [t.decode("utf-8", "replace") for t in encoder.decode(ids)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, out])
+            yield shared.appended(batch, pa.array(texts, pa.string()), out)
 
-    return rows.select(*(f"`{c}`" for c in keep)).mapInArrow(run, schema)
+    return shared.with_text(rows, pieces, out).mapInArrow(shared.lean(run), shared.schema_with(rows, out, "string"))
 
 
 def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: bytes | None = None) -> DataFrame:
@@ -286,7 +293,7 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", voca
     held = docs.sparkSession.sparkContext.broadcast(vocabulary or load())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held.value)
+        encoder = Encoder(Vocabulary(held.value))
         for batch in batches:
             rows = []
             for part in _pieces(batch.column(1)):
@@ -297,7 +304,7 @@ def round_trip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", voca
             columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", "n_pieces", "n_byte_pieces", "pieces_sha256", "exact"])
 
-    return docs.select(f"`{doc_id}`", f"`{text}`").mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, pieces_sha256 string, exact boolean")
+    return docs.select(f"`{doc_id}`", f"`{text}`").mapInArrow(shared.lean(run), "doc_id long, n_pieces long, n_byte_pieces long, pieces_sha256 string, exact boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
