@@ -136,7 +136,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_classes(counters: DataFrame) -> np.ndarray:
     """One byte a slot from (part, form, blob): 0 for ordinary shingles, else the base-2 order of a frequent one's count."""
-    rows = counters.repartition(min(PARTS, shared.partitions(counters.sparkSession)), "part").mapInArrow(_merged, "part int, total double, log binary").collect()  # PARTS rows of a fixed size, 4 MB together
+    rows = counters.repartition(min(PARTS, shared.partitions(counters.sparkSession)), "part").mapInArrow(shared.lean(_merged), "part int, total double, log binary").collect()  # PARTS rows of a fixed size, 4 MB together
     per = (1 << SLOT_BITS) // PARTS
     out, count = np.zeros(1 << SLOT_BITS, np.uint8), 0.0
     for r in rows:
@@ -497,13 +497,13 @@ def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (f1, f2) that the bitmaps of their sets leave possible."""
     bits = lambda k: nodes.select(F.col("fp").alias(f"f{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
-    return pairs.join(bits(1), "f1").join(bits(2), "f2").select("f1", "f2", "n1", "b1", "n2", "b2").mapInArrow(lambda b: _possible(b, percent), "f1 long, f2 long")
+    return pairs.join(bits(1), "f1").join(bits(2), "f2").select("f1", "f2", "n1", "b1", "n2", "b2").mapInArrow(shared.lean(lambda b: _possible(b, percent)), "f1 long, f2 long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs (f1, f2) whose whole sets link."""
     whole = lambda k: sets.select(F.col("fp").alias(f"f{k}"), F.col("set").alias(f"s{k}")).join(pairs.select(f"f{k}").distinct(), f"f{k}", "left_semi")
-    return pairs.join(whole(1), "f1").join(whole(2), "f2").select("f1", "f2", "s1", "s2").mapInArrow(lambda b: _verified(b, percent), "f1 long, f2 long")
+    return pairs.join(whole(1), "f1").join(whole(2), "f2").select("f1", "f2", "s1", "s2").mapInArrow(shared.lean(lambda b: _verified(b, percent)), "f1 long, f2 long")
 
 
 _ROW_BITS = 17
@@ -527,7 +527,7 @@ def _may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     every = np.zeros(1 << 24 - _ROW_BITS, object)
     every[:] = bytes((1 << _ROW_BITS) // 8)
-    for r in rows.mapInArrow(pack, "r int, b binary").collect():
+    for r in rows.mapInArrow(shared.lean(pack), "r int, b binary").collect():
         every[r["r"]] = bytes(r["b"])
     held = docs.sparkSession.sparkContext.broadcast(b"".join(every))
 
@@ -537,18 +537,56 @@ def _may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
             s = batch.column(2).to_numpy()
             yield batch.filter(pa.array((bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool))).select(["doc_id", "text"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("_slot")).mapInArrow(keep, "doc_id long, text string")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot("doc_id").alias("_slot")).mapInArrow(shared.lean(keep), "doc_id long, text string")
 
 
 def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT, short: int = SHORT_LIST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of `docs`."""
+    return _classes(docs, text, doc_id, n, percent, short).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row of every component, with all columns: one with the smallest doc_id, any of several such rows.
+
+    Rows without words link with nothing and stay.  Of a component without any id one
+    row stays.
+    """
+    classes = shared.written(_classes(docs, text, doc_id, n, percent), "classes")
+    mark = shared.fresh(docs, "_class")
+    key, wordy = F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    linked_ids = classes.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    gone = linked_ids.where("component_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct()
+    held = docs.join(gone, (key.cast("long") == F.col(mark)) & wordy, "left_anti")
+    # Several rows of the id that stays, and rows without an id: rare, so looked for first.
+    again = linked_ids.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(mark))
+    if again.limit(1).count():
+        again = shared.written(again, "again")
+        several = docs.join(again, (key.cast("long") == F.col(mark)) & wordy, "left_semi").groupBy(key.cast("long")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias(mark))
+        held = held.join(again, (key.cast("long") == F.col(mark)) & wordy, "left_anti").unionByName(several.select(f"{mark}.*"))
+    if classes.where("n_shingles > 0 AND doc_id IS NULL").limit(1).count():
+        one = classes.where("n_shingles > 0 AND doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("fp").alias(mark)).select(mark)
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fps = [tk.fingerprint(s) for _, _, data, offs in tk.slices(batch.column(batch.num_columns - 1)) for s in tk.shingle_sets(tk.Words(data, offs), n)]
+                yield shared.appended(batch, pa.array(np.array(fps, np.uint64).view(np.int64)), fp)
+
+        fp = shared.fresh(docs, "_fp")
+        bare = shared.with_text(docs.where(key.isNull() & wordy), text, fp).mapInArrow(shared.lean(named), shared.schema_with(docs, fp, "long"))
+        bare = bare.join(one, F.col(fp) == F.col(mark), "left_semi").groupBy(fp).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias(mark))
+        held = held.where(key.isNotNull() | ~wordy).unionByName(bare.select(f"{mark}.*"))
+    return held
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, n: int, percent: int, short: int = SHORT_LIST) -> DataFrame:
+    """similarity_classes() with the set (fp) and the component (root) of every row."""
     spark = docs.sparkSession
     buckets = shared.partitions(spark)
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counted = shared.written(docs.mapInArrow(lambda b: _sketch(b, n), "doc_id long, n int, fp long, part int, form int, blob binary"), "counted")
+    counted = shared.written(docs.mapInArrow(shared.lean(lambda b: _sketch(b, n)), "doc_id long, n int, fp long, part int, form int, blob binary"), "counted")
     rows = counted.where("n IS NOT NULL").select("doc_id", "n", "fp")
     held = spark.sparkContext.broadcast(frequency_classes(counted.where("part IS NOT NULL").select("part", "form", "blob")))
-    met = docs.mapInArrow(lambda b: _postings(b, held.value, n, percent, buckets), "bucket int, grp long, fp long, blob binary").repartition(buckets, "bucket").mapInArrow(lambda b: _meet(b, percent, short), "g1 long, g2 long, fp long, bits binary, list array<struct<g:long,size:int,pos:int>>")
+    met = docs.mapInArrow(shared.lean(lambda b: _postings(b, held.value, n, percent, buckets)), "bucket int, grp long, fp long, blob binary").repartition(buckets, "bucket").mapInArrow(shared.lean(lambda b: _meet(b, percent, short)), "g1 long, g2 long, fp long, bits binary, list array<struct<g:long,size:int,pos:int>>")
     met = shared.written(met, "candidates")
     groups = met.where("fp IS NOT NULL").select("fp", F.col("g1").alias("grp"), "bits")
     nodes = shared.written(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")).join(groups, "fp"), "nodes")
@@ -574,7 +612,7 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
         texts = _may_hold(docs, known).join(known, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
         if reps.where("doc_id IS NULL").limit(1).count():
             texts = texts.unionByName(docs.where("doc_id IS NULL").select("text").distinct())
-        return shared.written(texts.mapInArrow(lambda b: _sets(b, n), "fp long, set binary").dropDuplicates(["fp"]), "sets")
+        return shared.written(texts.mapInArrow(shared.lean(lambda b: _sets(b, n)), "fp long, set binary").dropDuplicates(["fp"]), "sets")
 
     ends = lambda these: these.select(F.explode(F.array("f1", "f2")).alias("fp"))
     edges = lambda these: these.select(F.col("f1").alias("a"), F.col("f2").alias("b"))
@@ -599,20 +637,20 @@ def similarity_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     links = shared.written(links.unionByName(same_id), "verified")
     # Lists whose members still lie in several components: first the nearest partner of each.
     _, pieces = split(links)
-    more = shared.written(pieces.mapInArrow(lambda b: _across(b, percent, True), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti"), "pairs")
+    more = shared.written(pieces.mapInArrow(shared.lean(lambda b: _across(b, percent, True)), "f1 long, f2 long").distinct().join(tried, ["f1", "f2"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = links.unionByName(shared.written(linked(more, sets_of(ends(more)), percent), "verified"))
         # What is still apart and possible, clump by clump.
         named, pieces = split(links)
-        may = shared.written(pieces.mapInArrow(lambda b: _across(b, percent, False), "f1 long, f2 long").distinct(), "possible")
+        may = shared.written(pieces.mapInArrow(shared.lean(lambda b: _across(b, percent, False)), "f1 long, f2 long").distinct(), "possible")
         if may.limit(1).count():
             links = links.unionByName(shared.written(_clumped(may, named, sets_of(ends(may)), percent), "verified"))
     roots = components(edges(links))
     named = shared.written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    named = named.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
     last = rows.join(named, F.when(F.col("n") > 0, F.col("fp")) == F.col("_fp"), "left")
-    return last.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return last.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp", "root")
 
 
 def _clumped(may: DataFrame, named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -627,7 +665,7 @@ def _clumped(may: DataFrame, named: DataFrame, sets: DataFrame, percent: int) ->
     pair = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("p1"), F.greatest(k, F.col("part")).alias("p2")))
     dealt = dealt.select("clump", "fp", "root", "part", F.explode(pair).alias("p")).select("clump", "p.*", "part", "fp", "root")
     whole = dealt.join(named.select("fp", "bits").join(sets, "fp"), "fp")
-    return whole.groupBy("clump", "p1", "p2").applyInArrow(lambda t: _clump(t, percent), "f1 long, f2 long")
+    return whole.groupBy("clump", "p1", "p2").applyInArrow(shared.lean_table(lambda t: _clump(t, percent)), "f1 long, f2 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
