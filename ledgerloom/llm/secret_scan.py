@@ -10,9 +10,10 @@ live-looking; base spans always stay and carry their class.
 Positions come from SQL alone: the lengths of the pieces that split() leaves between
 matches and of the matches themselves add up to code-point offsets.
 
-Shuffles carry hashes and ids, never texts.  Counts are pre-aggregated by (value,
-owner, repository) before the per-value count, so one value in a third of all rows
-is not gathered in one task.
+The scan shuffles hashes and ids, never texts; redact() moves texts too where the
+live values are too many to be broadcast.  Counts are pre-aggregated by (value, owner,
+repository) before the per-value count, and live values meet their repositories in
+SALTS parts each, so one value in a third of all rows is not gathered in one task.
 
 Edge cases: a null text is empty; a null repository or owner counts as one of its
 own; rows with the same id keep separate results; empty tables give empty results;
@@ -34,6 +35,7 @@ HEX = r"[0-9a-f]{32,}"
 WEAK = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}"
 ASSIGN_LEAST = 8
 LIVE_OWNERS = 2
+SALTS = 16
 KINDS = ("assign", "access", "hex", "live")
 
 _SPAN = "array<struct<start:int,rank:int,end:int,hash:bigint>>"
@@ -101,10 +103,10 @@ def _live_of(found: DataFrame) -> DataFrame:
     """(_key, _live): the live-looking hashes of every repository that has a candidate."""
     return (
         found.where((F.size("_base") > 0) | (F.size("_weak") > 0))
-        .select("_repo", F.explode(F.array_distinct(F.concat("_base", "_weak")["hash"])).alias("hash"))
-        .join(ownership(found), "hash")
+        .select("_repo", F.pmod(F.xxhash64("_repo"), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(F.array_distinct(F.concat("_base", "_weak")["hash"])).alias("hash"))
+        .join(ownership(found).where("live").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")), ["hash", "_salt"])
         .groupBy("_repo")
-        .agg(F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("_live"))
+        .agg(F.collect_set("hash").alias("_live"))
         .withColumnRenamed("_repo", "_key")
     )
 
@@ -116,11 +118,12 @@ def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owne
     that share an id are each redacted rightly.
     """
     found = shared.written(candidates(docs, text, repository, owner), "secrets")
-    live = _live_of(found).where(F.size("_live") > 0)
-    rows = docs.join(live, F.col(f"`{repository}`").eqNullSafe(F.col("_key")), "left")
+    key, held = shared.fresh(docs, "_key"), shared.fresh(docs, "_live")
+    live = _live_of(found).select(F.col("_key").alias(key), F.col("_live").alias(held))
+    rows = docs.join(live, F.col(f"`{repository}`").eqNullSafe(F.col(key)), "left")
     t = F.col(f"`{text}`")
-    spans = F.sort_array(F.filter(F.concat(*_all_spans(t)), lambda x: F.array_contains("_live", x["hash"])))
-    cleaned = F.when(F.col("_live").isNotNull() & t.isNotNull(), redacted(t, spans, mark)).otherwise(t)
+    spans = F.sort_array(F.filter(F.concat(*_all_spans(t)), lambda x: F.array_contains(held, x["hash"])))
+    cleaned = F.when(F.col(held).isNotNull() & t.isNotNull(), redacted(t, spans, mark)).otherwise(t)
     return rows.select(*(cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
