@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm import textkernel as tk
+from ledgerloom.llm import shared, textkernel as tk
 from ledgerloom.llm.quality_classifier import _CLASS
 
 SEED = 4
@@ -39,7 +39,26 @@ PAD = 8
 HITS_AT_ONCE = 1 << 18
 _BITS = 22
 _ALNUM = np.where((_CLASS & 7) > 0, tk.FOLDED_VALUE, np.uint64(0)).astype(np.uint64)
-_ALNUM[0x80:0x9F] = _ALNUM[0xA0:0xBF]  # the last byte of accented capitals counts as that of small letters
+
+# Two-byte UTF-8 capitals (lead byte, first and last second byte) and their small letters (lead byte, first second byte).
+CAPITALS = (
+    (0xC3, 0x80, 0x96, 0xC3, 0xA0), (0xC3, 0x98, 0x9E, 0xC3, 0xB8),  # Latin
+    (0xCE, 0x91, 0x9F, 0xCE, 0xB1), (0xCE, 0xA0, 0xA9, 0xCF, 0x80),  # Greek
+    (0xD0, 0x80, 0x8F, 0xD1, 0x90), (0xD0, 0x90, 0x9F, 0xD0, 0xB0), (0xD0, 0xA0, 0xAF, 0xD1, 0x80),  # Cyrillic
+)
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with capitals of CAPITALS made small, in as many bytes; A-Z are folded by their hash."""
+    at = np.flatnonzero(np.isin(data[:-1], [c[0] for c in CAPITALS])) if len(data) else []
+    if not len(at):
+        return data
+    lead, second, out = data[at], data[at + 1], data.copy()
+    for capital, first, last, small, begin in CAPITALS:
+        mine = (lead == capital) & (second >= first) & (second <= last)
+        out[at[mine]] = small
+        out[at[mine] + 1] = second[mine] - first + begin
+    return out
 
 
 def index(items: list[tuple[int, str | None]], seed: int = SEED) -> dict:
@@ -48,7 +67,7 @@ def index(items: list[tuple[int, str | None]], seed: int = SEED) -> dict:
     texts = pa.array([t for _, t in items], pa.large_string())
     hashes: list[np.ndarray] = []
     for _, _, data, offs in tk.slices(texts):
-        w = tk.Words(data, offs)
+        w = tk.Words(folded(data), offs)
         h = w.hashes(_ALNUM)
         hashes += [h[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
     seeds: dict[int, list[tuple[int, int, int]]] = {}
@@ -236,7 +255,7 @@ def _scan(docs: DataFrame, idx: dict, least: float) -> DataFrame:
             rows = []
             for i, _, data, offs in tk.slices(batch.column(1)):
                 best: dict[tuple[int, int], tuple] = {}
-                for d, k, s, x, y in held_items(tk.Words(data, offs), mine, tables, least):
+                for d, k, s, x, y in held_items(tk.Words(folded(data), offs), mine, tables, least):
                     if s > best.get((d, k), (-1.0,))[0]:
                         best[d, k] = (s, x, y)
                 rows += [(i + d, mine["ids"][k], *v) for (d, k), v in sorted(best.items())]
@@ -244,7 +263,7 @@ def _scan(docs: DataFrame, idx: dict, least: float) -> DataFrame:
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows], t) for c, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+    return docs.mapInArrow(shared.lean(run), "doc_id long, item_id long, score double, first_word long, last_word long")
 
 
 def held(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -280,11 +299,11 @@ def without(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, data, offs in tk.slices(batch.column(at)):
-                    for d, *_rest in held_items(tk.Words(data, offs), mine, tables, least):
+                    for d, *_rest in held_items(tk.Words(folded(data), offs), mine, tables, least):
                         clean[i + d] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(shared.lean(run), docs.schema)
     return docs
 
 
