@@ -11,9 +11,11 @@ Where the page marks its article, the distribution runs inside it; there link te
 weighs like any other and any weight at all is a surge, so that one-word paragraphs
 stay.
 
-A marked article speaks inside a form and inside wrappers whose names only contain a
-part's name (has-sidebar).  Inside a part proper (aside, class "comments") it is taken
-for a comment or a teaser, unless the page marks no other text.  Hidden stays hidden.
+A name that only states something of a wrapper (has-sidebar, comments-open) names no
+part, and neither does a compound name or a form around WRAPPER_PERCENT of the text that
+stands outside parts proper.  A marked article speaks inside a form and inside wrappers
+with compound names.  Inside a part proper (aside, class "comments") it is taken for a
+comment or a teaser, unless the page marks no other text.  Hidden stays hidden.
 
 Character references are decoded, white space inside a line becomes one space,
 and lines are joined by one newline.  Nothing is cut off.
@@ -34,12 +36,19 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.llm import shared
+
 WINDOW, SURGE = 3, 60
+WRAPPER_PERCENT = 80
 LOOSE, PROPER, HIDDEN = 1, 2, 3
 
 # HTML's elements by role, and names of page parts.
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-RAW = frozenset("script style noscript template svg iframe object canvas head textarea math title".split())
+RAW = frozenset("script style noscript iframe textarea title".split())
+SKIPPED = frozenset("template svg object canvas math".split())
+HEAD = frozenset("head html base basefont bgsound link meta title script style noscript noframes template".split())
+#: A name with one of these words states how a wrapper is, not what part it is.
+STATES = frozenset("has with without no is are open opened closed enabled disabled allowed visible hidden on off".split())
 STACKED = frozenset("html body article main div section nav header footer aside form ul ol dl menu table tbody thead tfoot tr td th figure fieldset select button dialog details label span p li blockquote".split())
 PARTS = frozenset("nav aside footer form menu select button dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -49,7 +58,7 @@ NAMES = frozenset(
     "notice notices alert alerts warning popup modal overlay toast newsletter subscribe subscription signup signin login register search comment comments reply "
     "replies respond disqus discussion pagination pager tags copyright legal disclaimer toolbar complementary contentinfo skip".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$|(?=<))", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s\"'<>][^\s<>]*)|[^<>=]|=)*+)(?:>|$|(?=<))", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -63,29 +72,43 @@ def _part(tag: str, attributes: str, inside: bool) -> int:
             return HIDDEN
         for m in _NAMED.finditer(attributes):
             for token in (m[1] or m[2] or m[3] or "").lower().split():
-                for name in _WORD.findall(token):
-                    if name in NAMES and not (name == "header" and inside):
+                words = _WORD.findall(token)
+                for name in words:
+                    if name in NAMES and not (name == "header" and inside) and not STATES.intersection(words):
                         named = max(named, PROPER if name == token else LOOSE)
     if tag in PARTS or (tag == "header" and not inside):
         return max(named, LOOSE if tag in ("form", "fieldset") else PROPER)
     return named
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, weight, heading, marked) of every line; marked: 2 inside the article that the page names, 1 if that is inside another part.
+def _past(page: str, tag: str, at: int) -> int:
+    """Where the raw text or the skipped element `tag` that begins at `at` has ended."""
+    if tag in RAW:
+        m = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
+        return m.end() if m else len(page)
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*(?:>|$)", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return len(page)
 
-    Lines of other page parts are empty.
+
+def _read(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, int]], int]:
+    """The lines of a page; place and characters of each LOOSE part, without what other parts in it hold; those of the page.
+
+    The elements at the places `wrappers` are no parts.
     """
     out: list[tuple[str, int, bool, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, article, and `quiet` and `marked` outside it
-    linked = other = quiet = inside = marked = 0
-    heading = False
-    raw_until, at = "", 0
-    in_link = 0
+    stack: list[tuple[str, int, int, int, int, int]] = []  # tag, article, `quiet` and `marked` outside it, and for a loose part its place and `seen` before it
+    loose: list[tuple[int, int]] = []
+    linked = other = quiet = inside = marked = seen = 0
+    heading = in_link = head = False
+    at, size = 0, len(page)
 
     def close() -> None:
-        nonlocal linked, other, heading
+        nonlocal linked, other
         joined = " ".join(_html.unescape("".join(text)).split()) if text else ""
         weight = 0
         if joined:
@@ -96,63 +119,79 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         text.clear()
         linked = other = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not raw_until:
-            if not quiet:
-                piece = page[at : m.start()]
+    def leave() -> str:
+        nonlocal quiet, marked, inside
+        name, article, quiet, marked, place, before = stack.pop()
+        inside -= article
+        if place >= 0:
+            loose.append((place, seen - before))
+        return name
+
+    while at < size:
+        m = _TOKEN.search(page, at)
+        piece = page[at : m.start()] if m else page[at:]
+        if piece:
+            long = len(piece.strip())
+            if long and head:
+                head = False
+            if quiet < PROPER and not head:
+                seen += long
+            if not quiet and not head:
                 text.append(piece)
                 if in_link:
                     linked += len(piece)
                 else:
                     other += len(piece)
+        if not m:
+            break
         at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m[2]:
             continue
-        tag = tag.lower()
-        ends = m[1] == "/"
-        if raw_until:
-            if ends and tag == raw_until:
-                raw_until = ""
-            elif raw_until == "head" and tag in ("body", "article", "main", "div", "p", "h1"):
-                raw_until = ""
-            else:
-                continue
-        if tag in RAW:
-            if not ends and not m[3].rstrip().endswith("/"):
-                raw_until = tag
-            if tag == "title":
-                close()
+        tag, ends = m[2].lower(), m[1] == "/"
+        if tag == "head":
+            head = not ends
+        elif head and tag not in HEAD:
+            head = False
+        if tag in RAW or tag in SKIPPED:
+            if not ends and (tag in RAW or not m[3].rstrip().endswith("/")):
+                at = _past(page, tag, at)
             continue
         if tag in BLOCK:
             close()
             heading = tag in HEADINGS and not ends
         if tag == "a":
-            in_link = 0 if ends else 1
+            in_link = not ends
         if tag in STACKED:
             if not ends:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    _, _, quiet, marked = stack.pop()
-                flag = _part(tag, m[3], inside > 0)
+                    leave()
+                flag = 0 if m.start() in wrappers else _part(tag, m[3], inside > 0)
                 article = tag in ("article", "main")
                 if not m[3].endswith("/"):
-                    stack.append((tag, article, quiet, marked))
+                    stack.append((tag, article, quiet, marked, m.start() if flag == LOOSE else -1, seen))
                     inside += article
                     if article and quiet < HIDDEN:
                         marked = 1 if quiet == PROPER or marked == 1 else 2
                         quiet = 0
                     quiet = max(quiet, flag)
             elif any(s[0] == tag for s in stack):
-                while True:
-                    name, article, quiet, marked = stack.pop()
-                    inside -= article
-                    if name == tag:
-                        break
-    if at < len(page) and not raw_until and not quiet:
-        text.append(page[at:])
-        other += len(page) - at
+                while leave() != tag:
+                    pass
     close()
-    return out
+    while stack:
+        leave()
+    return out, loose, seen
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, weight, heading, marked) of every line; marked: 2 inside the article that the page names, 1 if that is inside another part.
+
+    Lines of other page parts are empty.  An element that is named like a part, but holds
+    nearly all text that the page has outside parts proper, is the page's wrapper.
+    """
+    lines, loose, seen = _read(page, frozenset())
+    wrappers = frozenset(place for place, held in loose if held and held * 100 >= seen * WRAPPER_PERCENT)
+    return _read(page, wrappers)[0] if wrappers else lines
 
 
 def extract(page: str | None) -> str:
@@ -204,7 +243,7 @@ def texts(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
             pages = batch.column(len(keep))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([extract(p.as_py()) for p in pages], pa.string())], [*keep, out])
 
-    return pages.select(*(f"`{c}`" for c in keep), f"`{html}`").mapInArrow(run, schema)
+    return pages.select(*(f"`{c}`" for c in keep), f"`{html}`").mapInArrow(shared.lean(run), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
