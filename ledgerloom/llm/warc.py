@@ -3,7 +3,8 @@
 resolve() is an as-of join: every revisit gets the latest strictly earlier full
 response of its canonical URL.  The join is a running last-value over (URL, time
 block), then over the blocks of a URL, so a URL with a third of all captures is
-spread over its time blocks and only one row a block meets in the second step.
+spread over its time blocks and only one row a block meets in the second step.  Blocks
+hold about equally many captures, in whatever unit time is given.
 Payloads never move: the result names the response, and with_payload() fetches
 bytes by id when they are wanted.
 
@@ -16,21 +17,26 @@ body that was not sent or the connection).
 Edge cases: a null or empty URL is never resolved (`no_url`); captures at the same
 instant are not earlier; responses that tie in time are ordered by id, the largest
 winning; repeated rows give repeated results; an empty table gives no rows; null
-headers are empty maps; extra columns are ignored.
+headers are empty maps; of headers whose names differ in case only the last one counts;
+extra columns are ignored.  In files, a record cut off by the end of the file or of its
+gzip member is dropped, a record without a valid length is skipped, and repeated header
+fields are joined by commas.
 """
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ledgerloom.llm import shared
+
 # Headers of a 304 that never update the stored response.
 NOT_UPDATED = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=|$)"
-BLOCK = 4096
+BLOCKS, COARSE = 1024, 32
 SCHEMA = "record_id string, type string, url string, date string, status int, headers map<string,string>, payload binary, refers_to string, profile string"
 
 
@@ -44,7 +50,26 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def resolve(captures: DataFrame, block: int = BLOCK) -> DataFrame:
+def _small(headers: Column) -> Column:
+    """Header names in small letters; of equal ones the last counts."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
+
+
+def _block(captures: DataFrame, blocks: int) -> Column:
+    """The time block of `ts`: between quantiles of all captures, found in two steps."""
+    cuts = captures.agg(F.percentile_approx(F.col("ts").cast("long"), [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
+    cuts = sorted(set(cuts or []))
+    if not cuts:
+        return F.lit(0)
+    below = lambda limits: F.size(F.filter(limits, lambda x: x <= F.col("ts")))
+    parts = [cuts[k : k + COARSE] for k in range(0, len(cuts), COARSE)]
+    coarse = F.greatest(below(F.lit([p[0] for p in parts])), F.lit(1))
+    return (coarse - 1) * COARSE + below(F.element_at(F.array(*(F.lit(p) for p in parts)), coarse))
+
+
+def resolve(captures: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """One row for each revisit: id, url, key, ts, response_id, verdict, headers.
 
     `captures`: id, url, ts (long), kind ('response' or 'revisit'), etag, last_modified,
@@ -53,10 +78,10 @@ def resolve(captures: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = captures.where(F.col("kind").isin("response", "revisit")).select(
         "id", "url", F.col("ts").cast("long").alias("ts"), (F.col("kind") == "revisit").cast("int").alias("_again"), canonical_url(F.col("url")).alias("key"),
         F.regexp_replace(F.col("etag"), "^W/", "").alias("etag"), "last_modified", "digest",
-        F.coalesce(F.transform_keys("headers", lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>")).alias("headers"),
+        _small(F.col("headers")).alias("headers"),
     )
     response = F.when(F.col("_again") == 0, F.struct("ts", "id", "etag", "last_modified", "digest", "headers"))
-    rows = rows.withColumns({"_block": F.floor(F.col("ts") / block), "_r": response})
+    rows = rows.withColumns({"_block": _block(captures, blocks), "_r": response})
     good = rows.where("key IS NOT NULL AND ts IS NOT NULL")
     # At one instant revisits come first, so that a response then is not earlier.
     within = Window.partitionBy("key", "_block").orderBy("ts", F.desc("_again"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -119,15 +144,36 @@ def _fields(block: bytes) -> tuple[str, dict[str, str]]:
             out[name] += " " + line.strip()
         elif ":" in line:
             name, _, value = line.partition(":")
-            name = name.strip().lower()
-            out[name] = value.strip()
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
     return first, out
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The members of a gzipped file, one at a time, or the whole of a plain one; a damaged one as far as it goes."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    at = 0
+    while data[at : at + 2] == b"\x1f\x8b":
+        out, open_ = [], zlib.decompressobj(31)
+        try:
+            while not open_.eof and at < len(data):
+                out.append(open_.decompress(data[at : at + 65536]))
+                at += 65536
+        except zlib.error:
+            at = len(data)
+        at = min(at, len(data)) - len(open_.unused_data)
+        yield b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or gzipped by record; a cut-off last record is dropped."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+    """The records of a WARC file, plain or gzipped by record; a cut-off record is dropped, one without a length skipped."""
+    for member in _members(data):
+        yield from _records(member)
+
+
+def _records(data: bytes) -> Iterator[dict]:
     at = 0
     while True:
         at = data.find(b"WARC/", at)
@@ -135,7 +181,11 @@ def parse(data: bytes) -> Iterator[dict]:
         if at < 0 or end < 0:
             return
         _, fields = _fields(data[at:end])
-        size = int(fields.get("content-length", "0"))
+        length = fields.get("content-length", "0").split(",")[0].strip()
+        if not (length.isascii() and length.isdigit()):
+            at = end + 4
+            continue
+        size = int(length)
         body = data[end + 4 : end + 4 + size]
         if len(body) < size:
             return
@@ -145,7 +195,7 @@ def parse(data: bytes) -> Iterator[dict]:
             head, _, payload = body.partition(b"\r\n\r\n")
             line, headers = _fields(head)
             parts = line.split()
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
+            status = int(parts[1]) if len(parts) > 1 and len(parts[1]) < 6 and parts[1].isascii() and parts[1].isdigit() else None
         yield {"record_id": fields.get("warc-record-id"), "type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "status": status, "headers": headers, "payload": payload, "refers_to": fields.get("warc-refers-to"), "profile": fields.get("warc-profile")}
 
 
@@ -167,7 +217,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if part:
                     yield pa.RecordBatch.from_pylist(part, schema=_ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(shared.lean(run), SCHEMA)
 
 
 def captures(records: DataFrame) -> DataFrame:
