@@ -17,8 +17,12 @@ are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.llm import shared
+
 # The words and limits of the rules.
 SPACE = r"[\x20\x09-\x0D]"
 WORDY = r"[^\x20\x09-\x0D]"
@@ -29,17 +33,20 @@ MOST_LOST_PERCENT = 50
 SHORT_LINE_WORDS = 6
 NAVIGATION = r"([|»›·•].*){3}"
 BOILERPLATE = r"(?i)(all rights reserved|copyright ©|cookie policy|privacy policy|terms of (use|service)|enable javascript|licensed under|released under the|is licensed under|sign up for|subscribe to our|click here)"
+#: A text without one of these, in small letters, has no boilerplate line.
+BOILERPLATE_MARKS = ("rights reserved", "copyright ©", "policy", "terms of ", "javascript", "licensed under", "released under", "sign up for", "subscribe to", "click here")
 CLOSED = "[.!?:;…\"'»”’)\\]]" + r"[\x20\x09-\x0D]*$"
 SYMBOL_RUN = r"[#*$%&|<>]{2}"
 
 
-def _line_fails(line: Column) -> Column:
-    words = F.size(F.split(F.trim(line), r"[\x20\x09-\x0D]+"))
+def _line_fails(line: Column, boilerplate: Column) -> Column:
+    """`boilerplate`: may a line of the text be of that kind?"""
+    words = F.regexp_count(line, F.lit(WORDY + "+"))
     return (
-        line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
+        ((words < SHORT_LINE_WORDS) & ~line.rlike(CLOSED))
+        | (boilerplate & line.rlike(BOILERPLATE))
+        | line.rlike(NAVIGATION)
         | ((F.regexp_count(line, F.lit(SYMBOL_RUN)) * 100) > words * 30)
-        | ((words < SHORT_LINE_WORDS) & ~line.rlike(CLOSED))
         | ~line.rlike(r"[\p{L}\p{N}]")
     )
 
@@ -47,10 +54,13 @@ def _line_fails(line: Column) -> Column:
 def rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """Appends the statistics, `base_failed`, `clean_text`, `n_lines_removed` and `kept`."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_lines_removed", "kept"]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    keep = [c for c in docs.columns if c not in own]
+    left = shared.fresh(docs, "_left")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    step = docs.select(*keep, t.alias("_t"))
-    step = step.select(*keep, "_t", F.array_remove(F.split("_t", SPACE + "+"), "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORDY)).alias("_l"))
+    # What passes through is one column, so that its names meet none of the steps'.
+    passed = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
+    step = docs.select(passed.alias("_row"), t.alias("_t"))
+    step = step.select("_row", "_t", reduce(lambda a, w: a | F.lower("_t").contains(w), BOILERPLATE_MARKS, F.lit(False)).alias("_b"), F.array_remove(F.split("_t", SPACE + "+"), "").alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORDY)).alias("_l"))
     n = F.size("_w")
     window = lambda i: F.xxhash64(F.element_at("_w", i), F.element_at("_w", i + 1), F.element_at("_w", i + 2))
     step = step.withColumn("_h", F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), window)).otherwise(F.array().cast("array<bigint>")))
@@ -67,9 +77,9 @@ def rules(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")),
         lambda a: a["n"],
     )
-    step = step.withColumn("_k", F.filter("_l", lambda x: ~_line_fails(x)))
+    step = step.withColumn("_k", F.filter("_l", lambda x: ~_line_fails(x, F.col("_b"))))
     step = step.select(
-        *keep,
+        *(F.col("_row").getField(c).alias(c) for c in keep),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -77,11 +87,11 @@ def rules(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array_join("_k", "\n").alias("clean_text"),
         (F.size("_l") - F.size("_k")).cast("long").alias("n_lines_removed"),
-        F.length(F.array_join(F.split(F.array_join("_k", "\n"), SPACE + "+"), "")).alias("_left"),
+        F.length(F.array_join(F.split(F.array_join("_k", "\n"), SPACE + "+"), "")).alias(left),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
-    enough = F.col("_left") * 100 >= F.col("word_chars") * (100 - MOST_LOST_PERCENT)
-    return step.withColumns({"base_failed": failed, "kept": ~failed & enough}).drop("_left")
+    enough = F.col(left) * 100 >= F.col("word_chars") * (100 - MOST_LOST_PERCENT)
+    return step.withColumns({"base_failed": failed, "kept": ~failed & enough}).drop(left)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -99,8 +109,8 @@ d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM
 n AS (SELECT r, count(DISTINCT i + k) AS n FROM d, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 k AS (SELECT r, list_filter(l, lambda x: NOT (regexp_matches(x, '([|»›·•].*){3}')
         OR regexp_matches(x, '(?i)(all rights reserved|copyright ©|cookie policy|privacy policy|terms of (use|service)|enable javascript|licensed under|released under the|is licensed under|sign up for|subscribe to our|click here)')
-        OR len(regexp_extract_all(x, '[#*$%&|<>]{2}')) * 100 > len(string_split_regex(trim(x), '[\x20\x09-\x0D]+')) * 30
-        OR (len(string_split_regex(trim(x), '[\x20\x09-\x0D]+')) < 6 AND NOT regexp_matches(x, '[.!?:;…"''»”’)\]][\x20\x09-\x0D]*$'))
+        OR len(regexp_extract_all(x, '[#*$%&|<>]{2}')) * 100 > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) * 30
+        OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) < 6 AND NOT regexp_matches(x, '[.!?:;…"''»”’)\]][\x20\x09-\x0D]*$'))
         OR NOT regexp_matches(x, '[\p{L}\p{N}]'))) AS k FROM w),
 s AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
