@@ -456,12 +456,12 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     buckets = shared.partitions(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(4 * buckets)).cast("int").alias("block"), "doc_id", "text")
-    several = rows.mapInArrow(lambda b: _anchors(b, length, gram, buckets), "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(_several, "block int, bucket int, blob binary")
+    several = rows.mapInArrow(shared.lean(lambda b: _anchors(b, length, gram, buckets)), "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(shared.lean(_several), "block int, bucket int, blob binary")
     by_block = rows.groupBy("block")
-    cut = by_block.cogroup(several.groupBy("block")).applyInArrow(lambda x, y: _cut_out(x, y, length, gram, buckets), "bucket int, block int, blob binary")
-    judged = cut.repartition(buckets, "bucket").mapInArrow(lambda b: _judge(b, length), "block int, blob binary")
+    cut = by_block.cogroup(several.groupBy("block")).applyInArrow(shared.lean_pair(lambda x, y: _cut_out(x, y, length, gram, buckets)), "bucket int, block int, blob binary")
+    judged = cut.repartition(buckets, "bucket").mapInArrow(shared.lean(lambda b: _judge(b, length)), "block int, blob binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return by_block.cogroup(judged.groupBy("block")).applyInArrow(lambda x, y: _removed(x, y, length, with_text), schema)
+    return by_block.cogroup(judged.groupBy("block")).applyInArrow(shared.lean_pair(lambda x, y: _removed(x, y, length, with_text)), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

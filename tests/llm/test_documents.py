@@ -52,9 +52,9 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
 
-@pytest.mark.parametrize("short", [2, 64])
-def test_jaccard_classes(docs, empty, short):
-    rows = [(r[0], shingles(r[1])) for r in corpus()]
+def components(rows):
+    """The rows' sets and, for each row, the rows of its component; rows without words are alone."""
+    rows = [(i, shingles(t)) for i, t in rows]
     up = list(range(len(rows)))
 
     def root(x):
@@ -65,21 +65,75 @@ def test_jaccard_classes(docs, empty, short):
     for a in range(len(rows)):
         for b in range(a):
             x, y = rows[a][1], rows[b][1]
-            if (x and y and 100 * len(x & y) >= 80 * len(x | y)) or (rows[a][0] is not None and rows[a][0] == rows[b][0]):
+            if x and y and (100 * len(x & y) >= 80 * len(x | y) or (rows[a][0] is not None and rows[a][0] == rows[b][0])):
                 up[root(a)] = root(b)
-    least = defaultdict(list)
+    members = defaultdict(list)
+    for k in range(len(rows)):
+        members[root(k)].append(k)
+    return [s for _, s in rows], [members[root(k)] for k in range(len(rows))]
+
+
+def classes(rows):
+    sets, members = components(rows)
+    out = Counter()
     for k, (i, _) in enumerate(rows):
-        least[root(k)].append(i)
-    expected = Counter()
-    for k, (i, s) in enumerate(rows):
-        ids = [x for x in least[root(k)] if x is not None]
-        expected[i, len(s), (min(ids) if ids else None) if s else i] += 1
+        ids = [rows[x][0] for x in members[k] if rows[x][0] is not None]
+        out[i, len(sets[k]), (min(ids) if ids else None) if sets[k] else i] += 1
+    return out
+
+
+@pytest.mark.parametrize("short", [2, 64])
+def test_jaccard_classes(docs, empty, short):
     got = Counter(tuple(r) for r in jaccard_join.similarity_classes(docs, short=short).collect())
-    assert got == expected
+    assert got == classes([r[:2] for r in corpus()])
     if short == 2:
         assert jaccard_join.similarity_classes(empty).count() == 0
 
 
+def near_group(r, n=90, length=90, edits=3):
+    """Texts that differ from one another at up to twice `edits` places: links, near links and none."""
+    words = [f"term{i}" for i in range(200)]
+    base = [r.choice(words) for _ in range(length)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(length)] = r.choice(words)
+        out.append(" ".join(w[r.randint(0, 2) :]))
+    return out
+
+
+def test_jaccard_classes_of_near_copies(spark, monkeypatch):
+    """Long lists in several pieces, and clumps in several pieces."""
+    monkeypatch.setattr(jaccard_join, "PIECE", 25)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 30)
+    for name, value in (("CLUMP_LEAST", 1500), ("CLUMP_MOST", 1500)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = [(2**62 + 5 * k, t) for k, t in enumerate(near_group(random.Random(9)))] + [(None, t) for t in near_group(random.Random(10), 40, 60, 4)]
+    rows += [(2**63 - 1, rows[3][1]), (7, rows[-1][1]), (7, "another text of the same id without any link to it")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard_join.similarity_classes(table, short=4).collect()) == classes(rows)
+
+
+def test_one_of_each(docs, empty):
+    rows = [r[:2] for r in corpus()] + [(None, "no id here at all"), (None, "the same words once again without id")]
+    table = docs.unionByName(docs.sparkSession.createDataFrame([(i, t, "s", 0.5, 7, "x", "en") for i, t in rows[-2:]], SCHEMA))
+    got = Counter(tuple(r) for r in jaccard_join.one_of_each(table).select("doc_id", "text").collect())
+    sets, members = components(rows)
+    kept = Counter()
+    for k, (i, t) in enumerate(rows):
+        if not sets[k]:
+            kept[i, t] += 1
+    for one in {tuple(m) for k, m in enumerate(members) if sets[k]}:
+        ids = [rows[x][0] for x in one if rows[x][0] is not None]
+        able = {rows[x] for x in one if rows[x][0] == (min(ids) if ids else None)}
+        found = [x for x in able if got[x]]
+        assert len(found) == 1 and got[found[0]] == 1
+        kept[found[0]] += 1
+    assert got == kept
+    assert jaccard_join.one_of_each(empty).count() == 0
+
+
 def test_group_pairs_keep_every_passing_pair():
     r = np.random.default_rng(1)
     n = 150
@@ -162,6 +216,12 @@ def test_secret_spans(docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_redaction_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "password=livekey99 end", "a", 3, "k"), (None, "token: alsolive77", "a", 4, "x")], "doc_id long, text string, source string, _live int, _key string")
+    got = {r["doc_id"]: r for r in secret_scan.redact(rows).collect()}
+    assert got[1]["text"] == "[SECRET] end" and got[None]["text"] == "[SECRET]" and got[1]["_live"] == 3 and got[None]["_key"] == "x"
+
+
 def test_ownership_separates_examples_from_live_ones(spark):
     rows = [(i, 'password = "common0example"', f"s{i}") for i in range(5)] + [(10, "password=only4me77 x sk_Live9aB3dE6fG7hJ8kL0mN", "s0"), (11, "password=only4me77", "s0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -204,6 +264,15 @@ def test_line_rules(spark):
     assert not got[3]["kept"] and not got[3]["base_failed"]
 
 
+def test_line_ends_and_clashing_names(spark):
+    lines = ["one two three four five six", "one two three four five", "\tone two three four five", "one two three four five."]
+    rows = [(1, "\n".join(lines), 5, "a"), (2, "\r\n".join(lines), 6, "b")]
+    got = {r["doc_id"]: r for r in quality_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, _t int, _row string")).collect()}
+    assert got[1]["n_lines_removed"] == got[2]["n_lines_removed"] == 2 and got[2]["_t"] == 6 and got[1]["_row"] == "a"
+    bare = quality_rules.rules(spark.createDataFrame([(1,)], "n_words long").withColumn("text", F.lit("x")).select("text"))
+    assert bare.columns[0] == "text" and bare.count() == 1
+
+
 def test_pieces_round_trip(docs, empty):
     rows = sentence_pieces.round_trip(docs).collect()
     assert len(rows) == len(corpus()) and all(r["exact"] for r in rows)
@@ -213,6 +282,13 @@ def test_pieces_round_trip(docs, empty):
     assert sentence_pieces.round_trip(empty).count() == 0
 
 
+def test_pieces_in_place_of_the_text(docs):
+    coded = sentence_pieces.encode(docs.select("doc_id", "text", "lang"), out="text")
+    assert coded.columns == ["doc_id", "lang", "text"] and dict(coded.dtypes)["text"] == "array<int>"
+    again = sentence_pieces.decode(coded, pieces="text", out="text")
+    assert {(r[0], r[2]) for r in again.collect()} == {(r[0], r[1] or "") for r in corpus()}
+
+
 def test_pieces_equal_the_library():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb

@@ -1,5 +1,6 @@
 """Classifiers, extraction, decontamination, WARC and the pipeline on small tables."""
 
+import gzip
 import random
 
 import numpy as np
@@ -78,6 +79,16 @@ LONG = "<p>This first paragraph is long enough to be the beginning of the text o
     (f"<div hidden><article>Not shown.</article></div><article>{ARTICLE}</article>", TEXT),
     ("<article><p>One.</p><p><a href=a>A linked paragraph</a></p><ul><li><a href=b>An item</a></li></ul><p>Two.</p></article>", "One.\nA linked paragraph\nAn item\nTwo."),
     (f"{LONG}<div class=ad>Buy <p>this</p> now.</div><p>The end.</p>", LONG[3:-4] + "\nThe end."),
+    (f"<body><div class='layout has-sidebar'>{ARTICLE}</div><div class=sidebar>Other pages.</div></body>", TEXT),
+    (f"<body><div class='comments-open'>{ARTICLE}<div class=comments>One comment.</div></div></body>", TEXT),
+    (f"<article><div class='post-comments-enabled'>{ARTICLE}</div></article>", TEXT),
+    (f"<body class=x><div id=sidebar-layout>{ARTICLE}</div><footer>The end of a page with a footer.</footer></body>", TEXT),
+    (f"<form><nav><a href=/>Home</a></nav>{ARTICLE}</form>", TEXT),
+    (f"{ARTICLE}<div class='post-comments'>{'A long comment of a reader on it. ' * 12}</div>", TEXT),
+    (f"<div title=Bob's class='a>b'>{ARTICLE.replace('<p>', '<p title=Bob&#39;s data-x=it' + chr(39) + 's>')}</div>", TEXT),
+    (f"<html><head><script>var t = '<p>not text</p>'; if (a<b) u = \"it's\";</script><meta name=a><title>T</title></head><body>{ARTICLE}</body>", TEXT),
+    (f"<head><style>p > a {{}}</style>{ARTICLE}", TEXT),
+    (f"<article><svg><svg></svg><text>x</text></svg>{ARTICLE}<template><p>t</p></template><iframe><p>f</p></iframe></article>", TEXT),
     (f"{LONG}<ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul><p>Far off.</p>", LONG[3:-4]),
 ])
 def test_extraction_loses_no_article_text(page, text):
@@ -138,6 +149,14 @@ def test_decontamination_of_copies_with_insertions():
     assert found == {0: 0.5, 2: 0.633, 3: 0.75}
 
 
+def test_folding_of_capitals():
+    text = "ÀÖØÞ×÷ΑΟΠΩ ЁЯПр 一丠 Straße É"
+    made = bytes(decontaminate.folded(np.frombuffer(text.encode(), np.uint8))).decode()
+    assert made == "àöøþ×÷αοπω ёяпр 一丠 Straße é" and not len(decontaminate.folded(np.zeros(0, np.uint8)))
+    words = lambda t: tk.Words(decontaminate.folded(np.frombuffer(t.encode(), np.uint8)), np.array([0, len(t.encode())])).hashes(decontaminate._ALNUM)
+    assert words("ПРИВЕТ, Één")[0] == words("привет één")[0] and words("一")[0] != words("丠")[0]
+
+
 def test_decontamination_in_small_groups_of_hits(monkeypatch):
     r = random.Random(5)
     items = [(k, " ".join(f"v{r.randrange(6)}" for _ in range(12))) for k in range(9)]
@@ -169,7 +188,29 @@ def test_warc_round_trip(spark, tmp_path):
     assert got["<urn:3>"]["verdict"] == "no_earlier_response"
 
 
-def test_revisits_equal_brute_force(spark):
+def test_damaged_records(spark, tmp_path):
+    good = {"record_id": "<urn:1>", "type": "response", "url": "http://a.org/", "date": "2024-01-01T00:00:00Z", "status": 200, "headers": {"ETag": "e"}, "payload": b"body", "refers_to": None, "profile": None}
+    one, two = warc.render(good), warc.render(good | {"record_id": "<urn:2>"})
+    ids = lambda data: [r["record_id"] for r in warc.parse(data)]
+    assert ids(gzip.compress(one) + gzip.compress(two)) == ["<urn:1>", "<urn:2>"] == ids(gzip.compress(one + two))
+    assert ids(gzip.compress(one) + gzip.compress(two)[:-20]) == ["<urn:1>"] and ids(gzip.compress(one)[:15]) == [] == ids(b"")
+    bad = b"WARC/1.1\r\nWARC-Record-ID: <urn:9>\r\nContent-Length: many\r\n\r\n"
+    assert ids(bad + one) == ["<urn:1>"] and ids(bad.replace(b"many", b"-1") + two) == ["<urn:2>"]
+    assert warc._fields(b"HTTP/1.1 200 OK\r\nVia: a\r\nvia: b")[1] == {"via": "a, b"}
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two)[:-40])
+    assert warc.read(spark, str(tmp_path / "a.warc.gz")).count() == 1
+
+
+def test_headers_that_differ_in_case(spark):
+    rows = [(1, "http://a.org", 5, "response", "e", None, None, {"ETag": "x", "etag": "y", "Age": "1"}), (2, "http://a.org", 9, "revisit", "e", None, None, {"AGE": "2", "age": "3"}), (3, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
+    assert warc.resolve(df).first()["headers"] == {"etag": "y", "age": "3"}
+    nothing = df.select(*(F.lit(None).cast(t).alias(c) for c, t in df.dtypes))
+    assert warc.resolve(nothing).count() == 0 == warc.resolve(df.where("false")).count()
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 300])
+def test_revisits_equal_brute_force(spark, blocks):
     r = random.Random(6)
     rows = []
     for i in range(400):
@@ -177,7 +218,7 @@ def test_revisits_equal_brute_force(spark):
         url = r.choice(["http://hot.org/", "http://hot.org/", f"http://a.org/{r.randrange(5)}", None, ""])
         rows.append((i, url, r.choice([None, *range(0, 9000, 7)]), kind, r.choice([None, "a", "W/a", "b"]), r.choice([None, "x", "y"]), None, r.choice([None, {"A": "1"}]), "extra"))
     df = spark.createDataFrame(rows, "id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, key string")
-    got = {x["id"]: (x["verdict"], x["response_id"]) for x in warc.resolve(df, block=100).collect()}
+    got = {x["id"]: (x["verdict"], x["response_id"]) for x in warc.resolve(df, blocks).collect()}
     bare = lambda e: e.removeprefix("W/") if e else e
     for i, url, ts, kind, etag, lm, *_ in rows:
         if kind == "revisit":
