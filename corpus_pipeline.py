@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of `docs`; all but the
 last return the columns of documents.  run() writes each stage's rows to the shared
-folder and reads them again, so a lost executor never repeats earlier stages.
+folder and reads them again, so a lost executor never repeats earlier stages; what a
+stage wrote on its way goes once its rows are written.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id, once if its row is repeated.
 
-    Texts without words and rows without an id link with nothing and stay.
+    Texts without words link with nothing and stay; of a group without any id one stays.
     """
-    classes = jaccard_join.similarity_classes(docs)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.one_of_each(docs).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ STAGES = [
     ("sentence_pieces", pieces),
 ]
 
-#: SQL can express neither the classifier nor the piece search: see tests/llm/test_pipeline.py.
+#: SQL can express neither the classifier nor the piece search: see test_pipeline in tests/llm/test_models.py.
 ORACLE_SQL = None
 
 
@@ -64,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), name)
+        with shared.passing(spark):
+            docs = shared.keeping(stage(spark, docs, sf_dir), name)
     return docs
