@@ -17,8 +17,8 @@ body that was not sent or the connection).
 Edge cases: a null or empty URL is never resolved (`no_url`); captures at the same
 instant are not earlier; responses that tie in time are ordered by id, the largest
 winning; repeated rows give repeated results; an empty table gives no rows; null
-headers are empty maps; of headers whose names differ in case only the last one counts;
-extra columns are ignored.  In files, a record cut off by the end of the file or of its
+headers are empty maps; of headers whose names differ in case only the one that
+sorts last counts; extra columns are ignored.  In files, a record cut off by the end of the file or of its
 gzip member is dropped, a record without a valid length is skipped, and repeated header
 fields are joined by commas.
 """
@@ -51,8 +51,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _small(headers: Column) -> Column:
-    """Header names in small letters; of equal ones the last counts."""
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    """Header names in small letters; of equal ones that counts which sorts last as it was written."""
+    entries = F.transform(F.sort_array(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
