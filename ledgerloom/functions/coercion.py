@@ -6,6 +6,7 @@ Values arrive as JSON text, since a record's fields are dynamic.
 from __future__ import annotations
 
 import json
+import math
 import re
 from datetime import datetime
 
@@ -51,8 +52,10 @@ def coerce(kind: str, raw) -> tuple[object, str | None]:
     if kind == "number":
         if not isinstance(raw, bool):
             try:
-                return float(raw), None
-            except (TypeError, ValueError):
+                value = float(raw)
+                if math.isfinite(value):
+                    return value, None
+            except (TypeError, ValueError, OverflowError):
                 pass
         return None, f"{render_value(raw)!r} is not a number"
     if kind == "bool":
@@ -66,15 +69,17 @@ def coerce(kind: str, raw) -> tuple[object, str | None]:
         return None, f"{render_value(raw)!r} is not a bool"
     if kind == "date":
         text = str(raw).strip()
-        for layout in ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S"):
+        if re.match(r"\d{4}-\d{2}-\d{2}(?:[T ]|$)", text):
             try:
-                return datetime.strptime(text, layout).strftime("%Y-%m-%d"), None
+                return datetime.fromisoformat(text).strftime("%Y-%m-%d"), None
             except ValueError:
-                continue
+                pass
         return None, f"{text!r} is not a date"
     if kind.startswith("enum["):
         options, value = [o.strip() for o in kind[5:].rstrip("]").split(",")], render_value(raw)
         return (value, None) if value in options else (None, f"{value!r} is none of {', '.join(options)}")
+    if kind.startswith("ref("):  # the address of the record that is meant; planning looks it up
+        return (raw.strip(), None) if isinstance(raw, str) else (None, f"a {kind} takes the path of its target")
     if isinstance(raw, (list, dict)):
         return None, "a list or map does not fit a text field"
     return render_value(raw) if not isinstance(raw, str) else raw, None

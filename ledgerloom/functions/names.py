@@ -65,24 +65,41 @@ def field_slug(field_id: Column, title: Column) -> Column:
     """A field's name: its id when that is an identifier of its own, else its title's first four words, else the id."""
     own = field_id.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & ~field_id.startswith("item_")
     words = slug(F.array_join(F.slice(F.split(stripped(title), r"\s+"), 1, 4), " "))
-    return F.when(own, F.lower(field_id)).when(words != "", words).otherwise(slug(field_id))
+    return F.when(own, field_id).when(words != "", words).otherwise(slug(field_id))
+
+
+# Widget classes and declared types of form fields.
+BOOL_WIDGETS = ("check", "checkbox", "switch", "toggle")
+DATE_WIDGETS = ("calendar", "date", "datetime", "datepicker")
+CHOICE_WIDGETS = ("select", "radio", "multiselect", "dropdown")
+LINK_WIDGETS = ("actor", "actorlink", "link", "reference")
+INT_TYPES, NUMBER_TYPES = ("int", "integer"), ("float", "double", "number", "decimal")
 
 
 def field_type(widget: Column, kind: Column, multiline: Column, form: Column, options: Column) -> Column:
-    """The type name of a form field from its widget class and declared type."""
-    choice = F.size(options) > 0
+    """The type name of a form field from its widget class and declared type, in any case of letters.
+
+    A choice is an enum of its options; a link to a form is ref:<form> until
+    resolve_refs() names the form's type.
+    """
+    w, k = F.lower(widget), F.lower(kind)
     return (
-        F.when(widget.isin("check", "checkbox", "switch", "toggle"), "bool")
-        .when(widget.isin("calendar", "date"), "date")
-        .when(widget.isin("select", "radio", "multiSelect") & form.isNotNull(), F.concat(F.lit("ref:"), form.cast("string")))
-        .when(widget.isin("select", "radio", "multiSelect") & choice, F.concat(F.lit("enum["), F.array_join(options, ", "), F.lit("]")))
-        .when(kind.isin("int", "integer"), "int")
-        .when(kind.isin("float", "number", "double"), "number")
+        F.when(w.isin(*BOOL_WIDGETS), "bool")
+        .when(w.isin(*DATE_WIDGETS), "date")
+        .when(w.isin(*CHOICE_WIDGETS), F.when(F.size(options) > 0, F.concat(F.lit("enum["), F.array_join(options, ", "), F.lit("]"))).otherwise("string"))
+        .when(w.isin(*LINK_WIDGETS), F.when(form > 0, F.concat(F.lit("ref:"), form.cast("string"))).otherwise("string"))
+        .when(k.isin(*INT_TYPES), "int")
+        .when(k.isin(*NUMBER_TYPES), "number")
         .when(multiline, "text")
         .otherwise("string")
     )
 
 
+def ref_target(kind: Column) -> Column:
+    """The type that a ref(<type>) field names, else null."""
+    return F.nullif(F.regexp_extract(kind, r"^ref\(([^()]*)\)$", 1), F.lit(""))
+
+
 def option_values(options: Column) -> Column:
     """Values of options (struct<title,value>), titles where there is none; those that a list cannot hold are left out."""
     return F.filter(F.transform(options, lambda o: F.coalesce(F.nullif(o["value"], F.lit("")), o["title"])), lambda v: v.isNotNull() & (v != "") & ~v.rlike(r"[,\]]"))
@@ -151,9 +168,10 @@ def cut_at_line(text: Column, limit: int) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """'0.4s', '12s', '3m 05s'."""
-    s = F.round(seconds).cast("long")
-    return F.when(seconds < 10, F.concat(F.round(seconds, 1).cast("string"), F.lit("s"))).when(s < 60, F.concat(s.cast("string"), F.lit("s"))).otherwise(F.format_string("%dm %02ds", (s / 60).cast("long"), F.pmod(s, F.lit(60))))
+    """'400ms', '12.5s', '3m5.25s': milliseconds under a second, else seconds without closing zeros."""
+    ms = F.round(seconds * 1000).cast("long")
+    plain = lambda n: F.regexp_replace((n / 1000).cast("decimal(18,3)").cast("string"), r"\.?0+$", "")
+    return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60000, F.concat(plain(ms), F.lit("s"))).otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m"), plain(F.pmod(ms, F.lit(60000))), F.lit("s")))
 
 
 def page_address(url: Column, source: Column) -> Column:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import names as N
+from ledgerloom.operators import lineage
 
 MARK = "@"
 
@@ -41,99 +42,114 @@ def edge_warnings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def labels(siblings: DataFrame, keys: list[str]) -> DataFrame:
     """WN08: siblings of one title carry the shortest hex prefix, of four digits and more, that tells the whole group apart.
 
-    `siblings` has `keys`, id and title.  One aggregation counts the distinct prefixes
-    of all lengths at once.
+    `siblings` has `keys`, id and title.  In order of the hex digits only neighbours
+    must be told apart, so one window gives each pair's length and the group's largest.
     """
-    hexed = F.replace(F.col("id"), F.lit("-"), F.lit(""))
-    lengths = range(4, 33)
-    counts = siblings.withColumn("_h", hexed).groupBy(*keys, "title").agg(F.countDistinct("id").alias("_n"), *(F.countDistinct(F.left("_h", F.lit(k))).alias(f"_c{k}") for k in lengths))
-    pick = F.lit(32)
-    for k in reversed(lengths):
-        pick = F.when(F.col(f"_c{k}") == F.col("_n"), k).otherwise(pick)
-    counts = counts.select(*keys, F.col("title").alias("_title"), "_n", pick.alias("_k"))
-    on = [siblings[k].eqNullSafe(counts[k]) for k in keys] + [siblings["title"].eqNullSafe(counts["_title"])]
-    joined = siblings.join(counts, on).drop(*(counts[k] for k in keys))
-    return joined.withColumn("label", F.when(F.col("_n") == 1, F.col("title")).otherwise(F.concat("title", F.lit(MARK), F.substring(F.replace(F.col("id"), F.lit("-"), F.lit("")), F.lit(1), F.col("_k"))))).drop("_title", "_n", "_k")
+    group = Window.partitionBy(*keys, "title")
+    before = F.lag("_h").over(group.orderBy("_h"))
+    apart = F.array_min(F.filter(F.sequence(F.lit(4), F.lit(31)), lambda k: F.left(F.col("_h"), k) != F.left(F.col("_b"), k)))
+    s = siblings.withColumn("_h", F.replace(F.col("id"), F.lit("-"), F.lit(""))).withColumn("_b", before)
+    s = s.withColumn("_k", F.when(F.col("_b").isNotNull() & (F.col("_b") != F.col("_h")), F.coalesce(apart, F.lit(32))).otherwise(4))
+    s = s.withColumns({"_k": F.max("_k").over(group), "_n": F.count(F.lit(1)).over(group)})
+    return s.withColumn("label", F.when(F.col("_n") == 1, F.col("title")).otherwise(F.concat("title", F.lit(MARK), F.left(F.col("_h"), F.col("_k"))))).drop("_h", "_b", "_n", "_k")
+
+
+TREE = "layer string, id string, parent_id string, depth int, label string, path string, walk_key string"
 
 
 def forest(nodes: DataFrame, edges: DataFrame, cut=None) -> DataFrame:
-    """GR01: (layer, id, parent_id, depth, label, path, walk_key) of every node that a root reaches.
+    """GR01, GR02: (layer, id, parent_id, depth, label, path, walk_key) of every node.
 
+    What no root reaches, the residue of cycles, is promoted to further roots.
     `walk_key` sorts in depth-first order: zero-padded sibling ranks.  `cut` writes a
     frame and reads it again (lineage); without it the plan grows with the depth.
     """
-    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df)
+    cut = cut or lineage.cut
     parents = accepted_edges(nodes, edges).select("layer", F.col("target").alias("id"), F.col("source").alias("parent_id"))
     placed = nodes.join(parents, ["layer", "id"], "left").select("layer", "id", "title", "parent_id", "x", "y", "ord")
     rank = F.row_number().over(Window.partitionBy("layer", "parent_id").orderBy("y", "x", "ord"))
     placed = labels(placed.withColumn("_rank", rank), ["layer", "parent_id"])
-    placed = cut(placed.select("layer", "id", "parent_id", "label", F.format_string("%08d", "_rank").alias("_rank")))
+    placed = cut(placed.select("layer", "id", "title", "x", "y", "ord", "parent_id", "label", F.format_string("%08d", "_rank").alias("_rank")))
     level = placed.where("parent_id IS NULL").select("layer", "id", "parent_id", F.lit(0).alias("depth"), "label", F.col("label").alias("path"), F.col("_rank").alias("walk_key"))
     out = None
     while True:
         level = cut(level)
-        if not level.limit(1).count():
-            return disambiguated(out) if out is not None else disambiguated(level)
+        if out is not None and not level.limit(1).count():
+            break
         out = level if out is None else out.unionByName(level)
         up = level.select(F.col("layer"), F.col("id").alias("parent_id"), "depth", F.col("path").alias("_p"), F.col("walk_key").alias("_w"))
         below = placed.join(up, ["layer", "parent_id"])
         level = below.select("layer", "id", "parent_id", (F.col("depth") + 1).alias("depth"), "label", F.concat("_p", F.lit(N.SEPARATOR), "label").alias("path"), F.concat("_w", "_rank").alias("walk_key"))
+    residue = placed.join(out.select("layer", "id"), ["layer", "id"], "left_anti")
+    if residue.limit(1).count():
+        out = out.unionByName(residue.select("layer", "id", "title", "parent_id", "x", "y", "ord").groupBy("layer").applyInPandas(_walk_residue, TREE))
+    return disambiguated(out, cut)
 
 
-def disambiguated(tree: DataFrame) -> DataFrame:
-    """GR03: the second and later nodes of one path carry their full id."""
-    w = Window.partitionBy("layer", "path").orderBy("walk_key")
-    again = F.row_number().over(w) > 1
-    return tree.withColumn("path", F.when(again, F.concat("path", F.lit(MARK), "id")).otherwise(F.col("path")))
+def disambiguated(tree: DataFrame, cut=lambda df: df) -> DataFrame:
+    """GR03: the second and later nodes of one path, in walk order, carry their full id, and so do the paths below them.
+
+    Collisions are rare; as long as there are any, those that no colliding node stands
+    above are renamed with all that is below them.
+    """
+    again = F.row_number().over(Window.partitionBy("layer", "path").orderBy("walk_key")) > 1
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.col("depth") + 1), lambda k: F.left(F.col("walk_key"), k * 8))).alias("_k")
+    while True:
+        clash = cut(tree.withColumn("_again", again).where("_again").select("layer", F.col("walk_key").alias("_k")))
+        if not clash.limit(1).count():
+            return tree
+        below = tree.select("layer", "walk_key", above).join(clash, ["layer", "_k"]).where("_k <> walk_key").select("layer", "walk_key").distinct()
+        clear = tree.join(below, ["layer", "walk_key"], "left_anti")
+        named = clear.withColumn("_again", again).where("_again").select("layer", F.col("walk_key").alias("_k"), F.col("path").alias("_old"), F.concat("path", F.lit(MARK), "id").alias("_new"))
+        moved = tree.select("layer", "walk_key", above).join(named, ["layer", "_k"]).select("layer", "walk_key", "_old", "_new")
+        tree = tree.join(moved, ["layer", "walk_key"], "left").withColumn("path", F.when(F.col("_new").isNotNull(), F.concat("_new", F.substring(F.col("path"), F.length("_old") + 1, F.length("path")))).otherwise(F.col("path"))).drop("_old", "_new")
+        tree = cut(tree.select("layer", "id", "parent_id", "depth", "label", "path", "walk_key"))
 
 
-def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """GR02: the nodes of cycles that no root reaches, promoted in sibling order within their layer.
+def _walk_residue(frame: pd.DataFrame) -> pd.DataFrame:
+    """GR02: the nodes of a layer that no root reaches, each in sibling order a root unless an earlier one has led to it.
 
-    The residue of a layer is small and its rule is sequential, so each layer's is
-    walked in one grouped function.
+    The residue of a layer is small and its rule is sequential, so it is one function.
     """
-    tree = forest(nodes, edges)
-    left = nodes.join(tree.select("layer", "id"), ["layer", "id"], "left_anti")
-    kept = accepted_edges(nodes, edges)
-    rows = left.join(kept.select("layer", F.col("target").alias("id"), F.col("source").alias("parent_id")), ["layer", "id"], "left").select("layer", "id", "title", "parent_id", "x", "y", "ord")
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x", "ord"])
-        below: dict = {}
-        for r in frame.itertuples():
-            below.setdefault(r.parent_id, []).append(r.id)
-        title = dict(zip(frame.id, frame.title))
-        seen: set = set()
-        out: list = []
-
-        def named(ids: list) -> dict:
-            groups: dict = {}
-            for i in ids:
-                groups.setdefault(title[i], []).append(i)
-            got = {}
-            for t, members in groups.items():
-                k = 4
-                bare = {i: i.replace("-", "") for i in members}
-                while len(members) > 1 and len({b[:k] for b in bare.values()}) < len(members) and k < 32:
-                    k += 1
-                got |= {i: t if len(members) == 1 else f"{t}{MARK}{bare[i][:k]}" for i in members}
-            return got
-
-        todo = [(i, None, lab) for ids in [list(frame.id)] for i, lab in ((i, named(ids)[i]) for i in ids)]
-        todo.reverse()
-        while todo:
-            i, parent, path = todo.pop()
-            if i in seen:
-                continue
-            seen.add(i)
-            out.append((frame.layer.iloc[0], i, parent, path, len(out)))
-            kids = below.get(i, [])
-            lab = named(kids)
-            todo += [(k, i, f"{path}{N.SEPARATOR}{lab[k]}") for k in reversed(kids)]
-        return pd.DataFrame(out, columns=["layer", "id", "parent_id", "path", "walk_no"])
-
-    return rows.groupBy("layer").applyInPandas(walk, "layer string, id string, parent_id string, path string, walk_no long")
+    frame = frame.sort_values(["y", "x", "ord"])
+    below: dict = {}
+    for r in frame.itertuples():
+        below.setdefault(r.parent_id, []).append(r.id)
+    title = dict(zip(frame.id, frame.title))
+
+    def named(ids: list) -> dict:
+        groups: dict = {}
+        for i in ids:
+            groups.setdefault(title[i], []).append(i)
+        got = {}
+        for t, members in groups.items():
+            k = 4
+            bare = {i: i.replace("-", "") for i in members}
+            while len(members) > 1 and len({b[:k] for b in bare.values()}) < len(members) and k < 32:
+                k += 1
+            got |= {i: t if len(members) == 1 else f"{t}{MARK}{bare[i][:k]}" for i in members}
+        return got
+
+    seen: set = set()
+    out: list = []
+    label = named(list(frame.id))
+    todo = [(i, None, 0, label[i], label[i], f"{90_000_000 + k:08d}") for k, i in reversed(list(enumerate(frame.id)))]
+    while todo:
+        i, parent, depth, name, path, key = todo.pop()
+        if i in seen:
+            continue
+        seen.add(i)
+        out.append((frame.layer.iloc[0], i, parent, depth, name, path, key))
+        kids = below.get(i, [])
+        label = named(kids)
+        todo += [(c, i, depth + 1, label[c], f"{path}{N.SEPARATOR}{label[c]}", f"{key}{k:08d}") for k, c in reversed(list(enumerate(kids, 1)))]
+    return pd.DataFrame(out, columns=["layer", "id", "parent_id", "depth", "label", "path", "walk_key"])
+
+
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """GR02: (layer, id, parent_id, path, walk_no) of the nodes that no root reaches, promoted in sibling order."""
+    residue = forest(nodes, edges).where("walk_key >= '9'")
+    return residue.select("layer", "id", "parent_id", "path", (F.row_number().over(Window.partitionBy("layer").orderBy("walk_key")) - 1).alias("walk_no"))
 
 
 def short_addresses(tree: DataFrame) -> DataFrame:
@@ -180,6 +196,33 @@ def types(forms: DataFrame, prefix: str = "") -> DataFrame:
     return forms.withColumn("_base", base).select("form_id", "form_title", F.when(again, F.concat("_base", F.lit("_"), "form_id")).otherwise(F.col("_base")).alias("slug"))
 
 
+def resolve_refs(fields: DataFrame, typed: DataFrame) -> DataFrame:
+    """JN13: fields (slug, ..., type) with ref:<form> named as ref(<slug>) of the layer's types, else string."""
+    form = F.regexp_extract("type", "^ref:([0-9]+)$", 1).try_cast("long")
+    known = typed.select(F.col("form_id").cast("long").alias("_form"), F.col("slug").alias("_target"))
+    named = fields.withColumn("_form", form).join(known, "_form", "left")
+    kind = F.when(F.col("_target").isNotNull(), F.concat(F.lit("ref("), "_target", F.lit(")"))).when(F.col("type").startswith("ref:"), "string").otherwise(F.col("type"))
+    return named.withColumn("type", kind).select(*fields.columns)
+
+
+def forms(actors: DataFrame) -> DataFrame:
+    """AG22: (form_id, form_title): the distinct forms of actors (form_id, form_title, ord), each with its first title that is not empty."""
+    said = F.when(F.trim(F.coalesce("form_title", F.lit(""))) != "", F.col("ord"))
+    return actors.where("form_id IS NOT NULL").groupBy("form_id").agg(F.coalesce(F.min_by("form_title", said), F.lit("")).alias("form_title"))
+
+
+def filtered(nodes: DataFrame, type_: str = "", under: str = "", empty: bool = False, filled: bool = False, no_picture: bool = False) -> DataFrame:
+    """PF12: nodes (slug, path, n_values, picture) of a type, under a part of a path in any case, without or with values, without a picture."""
+    out = nodes
+    if type_:
+        out = out.where(F.col("slug") == type_)
+    if under:
+        out = out.where(F.lower("path").contains(under.lower()))
+    if empty or filled:
+        out = out.where((F.col("n_values") == 0) if empty else (F.col("n_values") > 0))
+    return out.where(F.coalesce(F.trim("picture"), F.lit("")) == "") if no_picture else out
+
+
 def deduped_names(fields: DataFrame) -> DataFrame:
     """WN09: names of a type's fields made unique by _2, _3 ... against all names taken so far (sequential by nature)."""
 

@@ -73,8 +73,9 @@ def resolved(lines: DataFrame, options: PostOptions, values: DataFrame | None =
     options.validate()
     r = records(lines)
     if options.actor_field and values is not None:
+        # Rows without a key need no lookup, and would all meet in one task.
         found = resolve_keys(r, values, field_id or options.actor_field).withColumnRenamed("actor_id", "_found")
-        r = r.join(found, "key", "left")
+        r = r.where("key <> ''").join(found, "key", "left").unionByName(r.where("key = ''").withColumn("_found", F.lit(None).cast(found.schema["_found"].dataType)))
     else:
         r = r.withColumn("_found", F.lit(None).cast("string"))
     default = F.nullif(F.lit(options.actor_id.strip()), F.lit(""))
@@ -121,11 +122,38 @@ def outcomes(new: DataFrame, posted: DataFrame | None = None) -> DataFrame:
     return n.join(there, n.ref == there._ref, "left").withColumn("outcome", F.when((F.col("_n") == 1) & F.col("_ref").isNull(), "posted").otherwise("duplicate")).drop("_n", "_ref")
 
 
+def posting(rows: DataFrame, options: PostOptions, posted: DataFrame | None = None) -> DataFrame:
+    """LP01, LP04: every entry with its outcome: posted or duplicate, or `would post` for every one of a dry run.
+
+    A dry run counts the sides that are not zero and posts nothing.
+    """
+    new = entries(good_rows(rows), options)
+    return new.withColumn("outcome", F.lit("would post")) if options.dry_run else outcomes(new, posted)
+
+
+def job_counts(rows: DataFrame, outcome: DataFrame) -> DataFrame:
+    """(file, records, posted, duplicate, skipped, actors, error) of every job; a failed one has only its error."""
+    failed = failed_files(rows)
+    read = rows.groupBy("file").agg(F.count("*").alias("records"), F.count("skipped").alias("skipped"))
+    done = outcome.groupBy("file").agg(F.count_if(F.col("outcome").isin("posted", "would post")).alias("posted"), F.count_if(F.col("outcome") == "duplicate").alias("duplicate"))
+    actors = rows.where("skipped IS NULL").groupBy("file").agg(F.countDistinct("actor_id").alias("actors"))
+    j = read.join(failed, "file", "left").join(done, "file", "left").join(actors, "file", "left")
+    if_good = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).alias(c)
+    return j.select("file", *map(if_good, ("records", "posted", "duplicate", "skipped", "actors")), "error").orderBy("file")
+
+
+def batch_counts(rows: DataFrame, outcome: DataFrame) -> DataFrame:
+    """AG02, AG24, ST01: one row: jobs, failed jobs, records, posted, duplicate, skipped, and actors counted once over all jobs."""
+    per = job_counts(rows, outcome)
+    sums = per.agg(F.count("*").alias("jobs"), F.count("error").alias("failed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "posted", "duplicate", "skipped")))
+    return sums.crossJoin(good_rows(rows).agg(F.countDistinct("actor_id").alias("actors")))
+
+
 def batch_totals(tally: DataFrame) -> DataFrame:
-    """AG02: per (file, actor, currency), per currency and overall, from one grouping-sets aggregation."""
+    """AG02, TK01: per (file, actor, currency), per currency and overall, from one grouping-sets aggregation, by currency and actor."""
     sets = [["file", "actor_id", "currency"], ["currency"], []]
     total = lambda c: F.sum(c).cast("decimal(38,2)").alias(c)
-    return tally.groupingSets([[F.col(c) for c in g] for g in sets], "file", "actor_id", "currency").agg(F.sum("rows").alias("rows"), total("debit"), total("credit"))
+    return tally.groupingSets([[F.col(c) for c in g] for g in sets], "file", "actor_id", "currency").agg(F.sum("rows").alias("rows"), total("debit"), total("credit")).orderBy("currency", "actor_id", "file")
 
 
 def sides(accounts: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Declarative updates as a diff against stored state, applied and tallied (F6).
 
 Ops are (n, id, at, type, ref, set map<string,string> of JSON values, rename, describe,
-picture); actors are the stored records.  A plan is joins and expressions over all
+picture), and may have a layer and the shapes that are not carried out (under, create,
+append), which are refused; actors are the stored records.  A plan is joins and expressions over all
 ops at once: resolve, read state, diff, classify.
 """
 
@@ -11,15 +12,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import names as N
 from ledgerloom.functions.coercion import coerced, rendered
+from ledgerloom.operators import lineage
 from ledgerloom.operators.graph import resolve_addresses
 
 
-def op_errors() -> Column:
-    """PF19: the first rule an op breaks, null when it is sound."""
+def op_errors(columns: list[str] = ()) -> Column:
+    """PF19: the first rule an op breaks, null when it is sound; `columns` are those that ops have."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     nothing = (F.size(F.coalesce(F.col("set"), F.create_map().cast("map<string,string>"))) == 0) & blank("rename") & blank("describe") & blank("picture")
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != "" if c in columns else F.lit(False)
     return (
-        F.when(~blank("at") & ~blank("type"), "at and type exclude each other")
+        F.when(given("under") | given("create"), "under and create are not supported")
+        .when(given("append"), "append is not supported: set the whole value")
+        .when(~blank("at") & ~blank("type"), "at and type exclude each other")
         .when(blank("at") & blank("type") & blank("id"), "no address")
         .when(~blank("type") & blank("ref") & blank("id"), "a record needs a ref")
         .when(nothing, "the op does nothing")
@@ -33,29 +38,41 @@ def resolve_ops(ops: DataFrame, tree: DataFrame, actors: DataFrame) -> DataFrame
     A stamped id wins over the path; a path that misses is tried again with the name
     the op renames to; of several claims on one (type, ref) the first sound one holds.
     """
-    o = ops.withColumn("error", op_errors())
-    layer = tree.select("layer").limit(1)
-    asked = o.where("at IS NOT NULL").select(F.explode(F.array(F.col("at"), F.coalesce(N.renamed_path(F.col("at"), F.col("rename")), F.col("at")))).alias("addr")).distinct().crossJoin(layer)
-    found = resolve_addresses(asked, tree).select("addr", "verdict", F.col("id").alias("_id"))
-    o = o.join(found.withColumnsRenamed({"addr": "at", "verdict": "_v1", "_id": "_i1"}), "at", "left")
-    o = o.withColumn("_again", F.when(F.col("_v1") == "missing", N.renamed_path(F.col("at"), F.col("rename"))))
-    o = o.join(found.withColumnsRenamed({"addr": "_again", "verdict": "_v2", "_id": "_i2"}), "_again", "left")
-    claims = Window.partitionBy("type", "ref", F.col("error").isNull()).orderBy("n")
-    o = o.withColumn("_first", F.when(F.col("type").isNotNull() & F.col("ref").isNotNull() & F.col("error").isNull(), F.first("n").over(claims)))
+    o = ops.withColumn("error", op_errors(ops.columns))
+    if "layer" not in ops.columns:  # ops of one layer
+        one = tree.agg(F.min("layer").alias("layer"), F.max("layer").alias("_other"))
+        o = o.crossJoin(one.select(F.when(F.col("layer") == F.col("_other"), F.col("layer")).alias("layer")))
+    # Most ops have no address, or no record: only those that have one are joined, so no null key gathers the rest.
+    addressed = o.where("at IS NOT NULL").select("n", "layer", "at", N.renamed_path(F.col("at"), F.col("rename")).alias("_again"))
+    asked = addressed.select("layer", F.explode(F.array("at", F.coalesce("_again", "at"))).alias("addr")).distinct()
+    found = resolve_addresses(asked, tree).select("layer", "addr", "verdict", F.col("id").alias("_id"))
+    addressed = addressed.join(found.withColumnsRenamed({"addr": "at", "verdict": "_v1", "_id": "_i1"}), ["layer", "at"], "left")
+    addressed = addressed.withColumn("_again", F.coalesce(F.when(F.col("_v1") == "missing", F.col("_again")), "at"))
+    addressed = addressed.join(found.withColumnsRenamed({"addr": "_again", "verdict": "_v2", "_id": "_i2"}), ["layer", "_again"], "left")
+    missed = F.col("_v1") == "missing"
+    addressed = addressed.select("n", "_v1", "_i1", F.when(missed, F.col("_v2")).alias("_v2"), F.when(missed, F.col("_i2")).alias("_i2"))
+    claimed = o.where("type IS NOT NULL AND ref IS NOT NULL").select("n", "type", "ref", "error")
+    first = F.first("n").over(Window.partitionBy("type", "ref", F.col("error").isNull()).orderBy("n"))
     records = actors.where("ref IS NOT NULL AND ref <> ''").select(F.col("slug").alias("type"), "ref", F.col("id").alias("_i3"))
-    o = o.join(records, ["type", "ref"], "left")
+    claimed = claimed.withColumn("_first", F.when(F.col("error").isNull(), first)).join(records, ["type", "ref"], "left").select("n", "_first", "_i3")
+    o = o.join(addressed, "n", "left").join(claimed, "n", "left")
     o = o.withColumn("actor_id", F.coalesce("id", "_i1", "_i2", "_i3"))
     known = actors.select(F.col("id").alias("actor_id"), F.lit(True).alias("_there"))
     o = o.join(known, "actor_id", "left")
     address = F.when(F.col("_v1") == "ambiguous", "ambiguous address").when((F.col("_v1") == "missing") & (F.coalesce("_v2", F.lit("missing")) != "found"), "no node has the address")
     error = F.coalesce("error", F.when(F.col("_first") < F.col("n"), F.concat(F.lit("the record is claimed by op "), F.col("_first"))), F.when(F.col("id").isNull(), address), F.when(F.col("id").isNotNull() & F.col("_there").isNull(), "no node has the id"))
     creates = F.col("type").isNotNull() & F.col("actor_id").isNull()
-    return o.withColumns({"error": error, "creates": creates}).drop("_v1", "_i1", "_v2", "_i2", "_i3", "_again", "_first", "_there")
+    return o.withColumns({"error": error, "creates": creates}).drop("_v1", "_i1", "_v2", "_i2", "_i3", "_first", "_there")
 
 
-def field_changes(resolved: DataFrame, actors: DataFrame, type_fields: DataFrame) -> DataFrame:
-    """JN11, PL03, AG23: (n, field, ord, key, old, new, error) of every field an op sets, in the form's order."""
-    s = resolved.where("error IS NULL AND set IS NOT NULL").select("n", "actor_id", "type", F.explode("set").alias("field", "raw"))
+def field_changes(resolved: DataFrame, actors: DataFrame, type_fields: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """JN11, JN14, PL03, AG23: (n, field, ord, key, old, new, error) of every field an op sets, in the form's order.
+
+    A ref(type) value is the path of its target in `tree`; it is stored as the
+    target's id and title, and refused where the path hits no node of that type.  An
+    unknown field is named with the one that was most likely meant.
+    """
+    s = resolved.where("error IS NULL AND set IS NOT NULL").select("n", "layer", "actor_id", "type", F.explode("set").alias("field", "raw"))
     state = actors.select(F.col("id").alias("actor_id"), F.col("slug").alias("_slug"), "data")
     s = s.join(state, "actor_id", "left").withColumn("slug", F.coalesce("_slug", "type"))
     f = type_fields.select("slug", F.col("name").alias("field"), F.col("id").alias("field_id"), F.col("type").alias("kind"), "writable", "ord")
@@ -63,10 +80,30 @@ def field_changes(resolved: DataFrame, actors: DataFrame, type_fields: DataFrame
     data = F.coalesce("data", F.create_map().cast("map<string,string>"))
     s = s.withColumn("key", N.storage_key(F.map_keys(data), F.col("field_id")))
     s = s.withColumn("_c", coerced("kind", "raw")).withColumns({"old": rendered(F.try_element_at(data, F.col("key"))), "new": rendered("_c.value")})
-    error = F.when(F.col("field_id").isNull(), F.concat(F.lit("no field "), F.col("field"))).when(~F.col("writable"), F.concat(F.col("field"), F.lit(" is not writable"))).otherwise(F.col("_c.error"))
+    s = lineage.cut(s.withColumn("_want", N.ref_target(F.col("kind"))))
+    meant = nearest_fields(s.where("field_id IS NULL").select("slug", "field").distinct(), type_fields)
+    s = s.join(meant, ["slug", "field"], "left")
+    if tree is not None and type_fields.where(N.ref_target(F.col("type")).isNotNull()).limit(1).count():
+        refs = s.where("_want IS NOT NULL AND _c.error IS NULL").select("n", "layer", "field", F.get_json_object(F.concat(F.lit('{"v":'), "_c.value", F.lit("}")), "$.v").alias("addr"))
+        target = actors.select(F.col("id").alias("_target"), F.col("slug").alias("_got"), F.col("title").alias("_title"))
+        hit = resolve_addresses(refs.select("layer", "addr"), tree).select("layer", "addr", "verdict", F.col("id").alias("_target")).join(target, "_target", "left")
+        s = s.join(refs.join(hit, ["layer", "addr"]).select("n", "field", "addr", "verdict", "_target", "_got", "_title"), ["n", "field"], "left")
+        s = s.withColumn("new", F.when(F.col("_want").isNotNull(), F.to_json(F.struct(F.col("_target").alias("id"), F.col("_title").alias("title")))).otherwise(F.col("new")))
+        wrong = F.when(F.col("verdict") != "found", F.concat("field", F.lit(": "), "verdict", F.lit(" address "), "addr")).when(~F.col("_got").eqNullSafe(F.col("_want")), F.concat("field", F.lit(" takes a "), "_want", F.lit(", "), "addr", F.lit(" is a "), F.coalesce("_got", F.lit("node without a type"))))
+    else:
+        wrong = F.lit(None).cast("string")
+    suggestion = F.coalesce(F.concat(F.lit(", did you mean "), "suggestion"), F.lit(""))
+    error = F.when(F.col("field_id").isNull(), F.concat(F.lit("no field "), F.col("field"), suggestion)).when(~F.col("writable"), F.concat(F.col("field"), F.lit(" is not writable"))).otherwise(F.coalesce("_c.error", wrong))
     return s.select("n", "field", "ord", "key", "old", "new", error.alias("error"))
 
 
+def rename_collisions(planned: DataFrame, tree: DataFrame) -> DataFrame:
+    """JN23: (n, path): the renames of a plan whose new path another node has already."""
+    at = tree.select("layer", F.col("id").alias("actor_id"), "path")
+    renamed = planned.where("new_title IS NOT NULL AND mark IN ('+', '~')").join(at, "actor_id").select("n", "layer", "actor_id", N.renamed_path(F.col("path"), F.col("new_title")).alias("path"))
+    return renamed.join(at.withColumnRenamed("actor_id", "_other"), ["layer", "path"]).where("_other <> actor_id").select("n", "path").distinct()
+
+
 def nearest_fields(unknown: DataFrame, type_fields: DataFrame) -> DataFrame:
     """WN20: (slug, field, suggestion): the closest name within min(3, max(1, length/3)) edits, the first on ties."""
     pairs = unknown.join(type_fields.select("slug", "name", "ord"), "slug")
@@ -78,8 +115,8 @@ def nearest_fields(unknown: DataFrame, type_fields: DataFrame) -> DataFrame:
 
 def plan(ops: DataFrame, tree: DataFrame, actors: DataFrame, type_fields: DataFrame) -> DataFrame:
     """PL01-PL05: one row for each op: mark (* create, + fills a hole, ~ update, > satisfied), what is written, or the error."""
-    r = resolve_ops(ops, tree, actors)
-    c = field_changes(r, actors, type_fields)
+    r = lineage.cut(resolve_ops(ops, tree, actors))
+    c = field_changes(r, actors, type_fields, tree)
     per_op = c.groupBy("n").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct(F.coalesce("ord", F.lit(1 << 30)).alias("ord"), "field", "error")))), lambda x: x["error"]), "; ").alias("_problems"),
         F.sort_array(F.collect_list(F.when(F.col("error").isNull() & ~F.col("old").eqNullSafe(F.col("new")), F.struct("ord", "field", "key", "old", "new")))).alias("changes"),

@@ -14,6 +14,8 @@ def post_stream(lines: DataFrame, options: ledger.PostOptions, sink: str, checkp
     Each micro-batch anti-joins the sink's references and appends, so a batch that is
     retried after a failure finds its own rows and adds none.
     """
+    if options.dry_run:
+        raise ValueError("a dry run posts nothing: read ledger.posting() over the lines instead")
     spark = lines.sparkSession
 
     def write(batch: DataFrame, _: int) -> None:
