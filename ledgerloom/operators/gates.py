@@ -43,15 +43,21 @@ def violations(records: DataFrame) -> list[tuple[str, Column]]:
     ), strict=True))
 
 
-def gate_one(records: DataFrame) -> DataFrame:
-    """One row for each rule: failing rows, the first failing line and three samples; a single aggregation."""
+def gate_one(records: DataFrame, most: int = 3) -> DataFrame:
+    """One row for each rule: failing rows, the first failing line and the first `most` samples.
+
+    The counts are one aggregation over the rows; samples are the first rows of a rule,
+    of which each task sends only `most` on.
+    """
     f = fields(records)
-    rules = F.array(*(F.struct(F.lit(r).alias("rule"), c.alias("bad")) for r, c in violations(f)))
-    each = f.select("line_no", "raw", F.explode(rules).alias("r"))
-    return each.groupBy(F.col("r.rule").alias("rule")).agg(
-        F.count_if("r.bad").alias("n"), F.min(F.when(F.col("r.bad"), F.col("line_no"))).alias("first_line"),
-        F.slice(F.sort_array(F.collect_list(F.when(F.col("r.bad"), F.struct("line_no", F.left("raw", F.lit(120)).alias("raw"))))), 1, 3).alias("samples"),
-    )
+    bad = violations(f)
+    counted = f.agg(*(F.struct(F.lit(r).alias("rule"), F.count_if(c).alias("n"), F.min(F.when(c, F.col("line_no"))).alias("first_line")).alias(f"r{k}") for k, (r, c) in enumerate(bad)))
+    counted = counted.select(F.inline(F.array(*(F.col(f"r{k}") for k in range(len(bad))))))
+    broken = F.array_compact(F.array(*(F.when(c, F.lit(r)) for r, c in bad)))
+    each = f.select("line_no", F.left("raw", F.lit(120)).alias("raw"), F.explode(broken).alias("rule"))
+    few = each.withColumn("_n", F.row_number().over(Window.partitionBy("rule").orderBy("line_no"))).where(F.col("_n") <= most)
+    samples = few.groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("line_no", "raw"))).alias("samples"))
+    return counted.join(samples, "rule", "left").withColumn("samples", F.coalesce("samples", F.array().cast(samples.schema["samples"].dataType)))
 
 
 def profile(records: DataFrame) -> DataFrame:
@@ -71,7 +77,9 @@ def currencies(records: DataFrame) -> DataFrame:
 def unsorted(records: DataFrame, partition: str | None = None) -> DataFrame:
     """WN18: dates that are before the one on the line before, within each file."""
     f = fields(records)
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy("line_no")
+    # Without a file column the records are those of one file.
+    of = partition or ("file" if "file" in records.columns else None)
+    w = (Window.partitionBy(of) if of else Window.partitionBy(F.lit(0))).orderBy("line_no")
     return f.where(F.col("transaction_date").rlike(DATE)).withColumn("before", F.lag("transaction_date").over(w)).where("transaction_date < before")
 
 

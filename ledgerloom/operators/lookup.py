@@ -40,7 +40,7 @@ def find_records(values: DataFrame, probed: DataFrame, stored: DataFrame, actors
     by_field = hits.withColumn("_k", few).where("_k").groupBy("value").agg(F.first("name").alias("matched_by"), F.sort_array(F.collect_list(record)).alias("records"))
     rest = v.join(by_field.select("value"), "value", "left_anti")
     titled = actors.withColumn("_t", N.folded_title(F.col("title")))
-    exact = rest.withColumn("_t", N.folded_title(F.col("value"))).join(titled, "_t").groupBy("value").agg(F.lit("title").alias("matched_by"), F.slice(F.sort_array(F.collect_list(F.struct("listing", "id", "ref", "title"))), 1, most).alias("records"))
+    exact = rest.withColumn("_t", N.folded_title(F.col("value"))).join(titled, "_t").withColumn("_k", few).where("_k").groupBy("value").agg(F.lit("title").alias("matched_by"), F.sort_array(F.collect_list(F.struct("listing", "id", "ref", "title"))).alias("records"))
     found = by_field.unionByName(exact)
     alike = similar_titles(rest, actors, most).groupBy("value").agg(F.sort_array(F.collect_list(F.struct("listing", "id", "ref", "title"))).alias("similar"))
     return v.join(found, "value", "left").join(alike, "value", "left").select("value", F.when(F.col("matched_by").isNotNull(), "FOUND").otherwise("not found").alias("verdict"), "matched_by", "records", "similar")

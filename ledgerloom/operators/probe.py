@@ -72,7 +72,7 @@ def column_scores(tokens: DataFrame, keys: list[str], style: str, totals: DataFr
     if totals is None:
         return c.withColumn("confirmed", F.lit(False))
     near = lambda a: F.abs(F.abs(F.col("total")) - F.col(a)) < 0.01
-    hit = c.join(F.broadcast(totals), keys).where(near("positive") | near("negative")).select(*keys, "cluster").distinct().withColumn("confirmed", F.lit(True))
+    hit = c.join(totals, keys).where(near("positive") | near("negative")).select(*keys, "cluster").distinct().withColumn("confirmed", F.lit(True))
     return c.join(hit, [*keys, "cluster"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
@@ -85,7 +85,7 @@ def top_columns(clusters: DataFrame, keys: list[str], width: float, most: int =
 
 def nearest_headers(clusters: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
     """JN22: the header word whose right edge is nearest to each cluster's, not more than 120 to its left."""
-    j = clusters.join(F.broadcast(headers.select(*keys, F.col("x1").alias("_x"), "text")), keys).where(F.col("_x") >= F.col("lo") - 120)
+    j = clusters.join(headers.select(*keys, F.col("x1").alias("_x"), "text"), keys).where(F.col("_x") >= F.col("lo") - 120)
     return j.groupBy(*keys, "cluster", "lo", "hi", "n").agg(F.min_by("text", F.struct(F.abs(F.col("_x") - F.col("hi")), "_x", "text")).alias("header"))
 
 
