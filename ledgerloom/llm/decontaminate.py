@@ -48,9 +48,12 @@ CAPITALS = (
 )
 
 
+_LEAD = np.isin(np.arange(256), [c[0] for c in CAPITALS])
+
+
 def folded(data: np.ndarray) -> np.ndarray:
     """The bytes with capitals of CAPITALS made small, in as many bytes; A-Z are folded by their hash."""
-    at = np.flatnonzero(np.isin(data[:-1], [c[0] for c in CAPITALS])) if len(data) else []
+    at = np.flatnonzero(_LEAD[data[:-1]]) if len(data) else []
     if not len(at):
         return data
     lead, second, out = data[at], data[at + 1], data.copy()
