@@ -12,11 +12,12 @@ a smaller doc_id; everything is judged on the input texts.
     where they meet, keeping the smallest doc_id.
 3.  Stretches of one anchor in different contexts form shards by block of documents.
     Each shard's Burrows-Wheeler transform is interleaved with the others by
-    iterative refinement: round h orders all suffixes by their first h bytes by one
-    stable pass over the transforms, and marks where neighbours begin to differ,
-    which is their common prefix.  Suffixes of different shards are never compared
-    or sorted again.  After LENGTH rounds the runs without a mark are the repeated
-    intervals; each gets its smallest doc_id.
+    iterative refinement: a round deals the suffixes out in the order of the round
+    before, which doubles the bytes that they are ordered by, and marks where
+    neighbours begin to differ, which bounds their common prefix.  Suffixes of
+    different shards are never compared or sorted again.  Once LENGTH bytes are
+    read, the runs without a mark are the repeated intervals; each gets its smallest
+    doc_id.
 4.  The verdicts go back to the blocks, where covered bytes are counted and removed.
 
 Texts are shuffled once, by block; the other exchanges carry hashes, stretches and
@@ -247,56 +248,98 @@ def transform(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np
     word = np.zeros(n + depth + 8, U64)
     for k in range(8):
         word |= padded[k : k + len(word)] << U64(56 - 8 * k)
-    keys = []
+    # Ends have no bytes and come first, in the order of their strings; then suffixes by content,
+    # eight bytes at a time for those that are still equal.
+    order, tied, group = np.arange(n), np.arange(n), np.zeros(n, np.int64)
     for first in range(0, depth, 8):
-        key = word[first : first + n].copy()
-        rest = np.clip(left - first, 0, 8)  # bytes of this key that belong to the string
-        mask = np.where(rest > 0, ~U64(0) << (U64(8) * (8 - np.maximum(rest, 1)).astype(U64)), U64(0))
-        keys.append(key & mask)
-    # Ends come first, in the order of their strings; then suffixes by content.
-    order = np.lexsort((*reversed(keys), left > 0))
+        at = order[tied]
+        rest = np.clip(left[at] - first, 0, 8)  # bytes of this key that belong to the string
+        key = word[at + first] & np.where(rest > 0, ~U64(0) << (U64(8) * (8 - np.maximum(rest, 1)).astype(U64)), U64(0))
+        dealt = np.lexsort((key, group))
+        order[tied], key = at[dealt], key[dealt]
+        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
+        again = ~(new & np.r_[new[1:], True]) & (key > 0)
+        group = np.cumsum(new)[again]
+        tied = tied[again]
+        if not len(tied):
+            break
     before = np.r_[np.uint8(0), joined[:-1]]
     return before[order], order
 
 
 def interleave(transforms: list[np.ndarray], ends: list[int], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merges transforms: the suffixes (numbered shard by shard) in their common order, and each one's common prefix with the one before.
-
-    Round h reads all transforms once, in the order of round h - 1, and deals the
-    suffixes before them out by the byte read, which orders suffixes by h bytes; within
-    a shard the k-th of a byte is the k-th suffix that begins with it.  A position that
-    once begins a new prefix does so in all later rounds, so the rounds in which it
-    does not are its common prefix, `depth` at most.
+    """Merges transforms: the suffixes (numbered shard by shard) in their common order, and how far each agrees with the one before.
+
+    The first round reads all transforms once and deals the suffixes before them out by
+    the byte read, which orders suffixes by one byte; within a shard the k-th of a byte
+    is the k-th suffix that begins with it.  A further round reads the order by h bytes
+    and deals the suffixes h bytes longer out within their intervals, which orders them
+    by 2h bytes; 50 bytes take seven rounds.  An interval of one suffix is settled and
+    is dealt no more, so suffixes are never compared as strings or sorted again.  The
+    depth at which an interval divides is what its parts have in common, to the round:
+    at most their common prefix, and `depth` where they never divide.
     """
     total, head = sum(map(len, transforms)), int(sum(ends))
     every = np.concatenate(transforms)
-    before = np.zeros(total, np.int32)  # the suffix one byte longer
+    one = np.zeros(total, np.int32)  # the suffix one byte longer; -1 before a string's first
     ending = np.empty(head, np.int32)
     at = k = 0
     for t, n in zip(transforms, ends):
-        before[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
+        one[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t), dtype=np.int32)
         ending[k : k + n] = np.arange(at, at + n)
         at, k = at + len(t), k + n
+    one[every == 0] = -1
     body = np.ones(total, bool)
     body[ending] = False
     order = np.concatenate([ending, np.flatnonzero(body).astype(np.int32)])
-    lcp = np.zeros(total, np.uint8)
-    block = np.zeros(total, np.int32)  # no byte is known yet
-    new = np.empty(total, bool)
-    for _ in range(depth):
-        read = every[order]
-        dealt = np.argsort(read, kind="stable")[head:].astype(np.int32)  # the first `head` bytes end strings
-        order[head:] = before[order[dealt]]
-        c, b = read[dealt], block[dealt]
-        new[: head + 1] = True
-        np.logical_or(c[1:] != c[:-1], b[1:] != b[:-1], out=new[head + 1 :])
-        lcp += ~new
-        np.cumsum(new, dtype=np.int32, out=block)
-        if block[-1] == total:
-            break  # every suffix stands alone
+    read = every[order]
+    dealt = np.argsort(read, kind="stable")[head:]
+    order[head:] = one[order[dealt]]
+    read = read[dealt]
+    new = np.ones(total, bool)
+    new[head + 1 :] = read[1:] != read[:-1]
+    lcp = np.where(new, 0, depth).astype(np.uint8)
+    longer = {1: one}  # the suffix so many bytes longer
+    place, first = np.arange(total, dtype=np.int32), np.empty(total, np.int32)
+    known = 1
+    while known < depth:
+        start = np.maximum.accumulate(np.where(new, place, 0))
+        first[order] = start
+        many = ~(new & np.r_[new[1:], True])  # positions in intervals of several suffixes
+        if not many.any():
+            break
+        if known > 1:
+            longer[known] = _farther(longer[known // 2], longer[known // 2])
+        step = min(known, depth - known)
+        ahead = None
+        for power in longer:
+            if step & power:
+                ahead = longer[power] if ahead is None else _farther(ahead, longer[power])
+        unsettled = np.zeros(total + 1, bool)  # by suffix; the last for none
+        unsettled[order[many]] = True
+        x = ahead[order]
+        source = np.flatnonzero(unsettled[x])
+        x = x[source]
+        dealt = first[x].astype(np.int64) << 32 | source  # interval, then the order read
+        dealt.sort()
+        source = dealt & 0xFFFFFFFF
+        interval = start[source]
+        spot = np.flatnonzero(many)
+        fresh = spot[1:][(interval[1:] != interval[:-1]) & ~new[spot[1:]]]
+        order[spot] = ahead[order[source]]
+        new[fresh] = True
+        lcp[fresh] = known
+        known += step
     return order, lcp
 
 
+def _farther(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The steps of `a`, then those of `b`; -1 stays."""
+    out = b[a]
+    out[a < 0] = -1
+    return out
+
+
 def smallest_holders(shards: list[tuple[list[bytes], np.ndarray]], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every string, shard by shard: runs of its windows with the smallest id among the strings that hold each.
 
