@@ -48,13 +48,14 @@ _LOW = U64(0xFFFFFFFF)
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the `size` bytes from each position, by doubling."""
+    """A hash of the `size` bytes from each position: a weighted sum of them, by doubling, mixed at the end."""
     h, n = tk.BYTE_VALUE[data], 1
     while n < size:
         step = min(n, size - n)
-        h = tk.mix(h[: len(h) - step] * tk.SHINGLE_WEIGHT[n] + h[step:] * tk.SHINGLE_WEIGHT[n + 1])
-        n += step
-    return h
+        longer = h[: len(h) - step] * tk.SHINGLE_WEIGHT[n]
+        longer += h[step:]
+        h, n = longer, n + step
+    return tk.mix(h)
 
 
 def stretches(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
