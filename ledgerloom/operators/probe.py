@@ -93,3 +93,52 @@ def glued(loose: DataFrame, tight: DataFrame) -> DataFrame:
     """JN21: right edges at which a tighter tokenisation reads another text; the last text of an edge counts."""
     last = lambda df, name: df.groupBy("page", F.round("x1", 1).alias("edge")).agg(F.max_by("text", "ord").alias(name))
     return last(loose, "loose").join(last(tight, "tight"), ["page", "edge"]).where("loose <> tight")
+
+
+def best_header(rows: DataFrame, keys: list[str], words: list[str], cells: str = "cells", ord_: str = "ord") -> DataFrame:
+    """TK02: (keys, ord, score): the row of the best positive header score, the first of equal ones; groups without one have no row."""
+    s = rows.withColumn("score", header_score(F.col(cells), words)).where("score > 0")
+    return s.groupBy(*keys).agg(F.min_by(ord_, F.struct(-F.col("score"), ord_)).alias(ord_), F.max("score").alias("score"))
+
+
+def column_arithmetic(clusters: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """AG16: groups with exactly three big columns, by position, of which the first two have as many amounts as the third.
+
+    Big are columns with 3 amounts at least and 15 % of the fullest, in the right 45 %
+    of the page or, where it has none, on the whole page.
+    """
+    per = Window.partitionBy(*keys)
+    right = F.col("hi") >= width * 0.55
+    c = clusters.withColumn("_right", right).withColumn("_any", F.max("_right").over(per)).where("_right OR NOT _any")
+    c = c.withColumn("_top", F.max("n").over(per)).where(F.col("n") >= F.greatest(F.lit(3.0), F.col("_top") * 0.15))
+    c = c.withColumn("_k", F.row_number().over(per.orderBy("lo"))).withColumn("_many", F.count("*").over(per)).where("_many = 3")
+    n = [F.max(F.when(F.col("_k") == k, F.col("n"))).alias(f"n{k}") for k in (1, 2, 3)]
+    return c.groupBy(*keys).agg(*n).where("n1 + n2 = n3")
+
+
+def row_starts(rows: DataFrame, keys: list[str], cells: str = "cells") -> DataFrame:
+    """AG18: rows with money, rows that begin with a date, and `amount` where the latter are over 1.3 times the former."""
+    c = F.col(cells)
+    dated = F.coalesce(F.try_element_at(c, F.lit(1)).rlike(r"^[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}$"), F.lit(False))
+    g = rows.groupBy(*keys).agg(F.count_if(F.exists(c, lambda x: A.is_money_shaped(x))).alias("amount_rows"), F.count_if(dated).alias("date_rows"))
+    return g.withColumn("row_start", F.when(F.col("date_rows") * 10 > F.col("amount_rows") * 13, "amount"))
+
+
+def date_edges(edges: DataFrame, keys: list[str], x: str = "x", ord_: str = "ord") -> DataFrame:
+    """AG19: (keys, bucket, edge): the five-point bucket with most date edges, the first seen of equal ones, and the last edge within 6 of it."""
+    e = edges.withColumn("bucket", (F.bround(F.col(x) / 5) * 5).cast("int"))
+    b = e.groupBy(*keys, "bucket").agg(F.count("*").alias("_n"), F.min(ord_).alias("_first"))
+    b = b.groupBy(*keys).agg(F.min_by("bucket", F.struct(-F.col("_n"), "_first")).alias("bucket"))
+    return e.drop("bucket").join(b, keys).where(F.abs(F.col(x) - F.col("bucket")) <= 6).groupBy(*keys, "bucket").agg(F.max(x).alias("edge"))
+
+
+def tabular_preview(rows: DataFrame, keys: list[str], cells: str = "cells", row_no: str = "row_no", read: int = 31, shown: int = 25) -> tuple[DataFrame, DataFrame]:
+    """SC11: the first rows of a table as `column:text` of their filled cells, and the money-looking cells of each column among the rows read.
+
+    The preview is the feature; `row_no` counts from 1 within a file.
+    """
+    head = rows.where(F.col(row_no) <= read)
+    filled = F.filter(F.transform(cells, lambda c, i: F.when(c != "", F.concat(i.cast("string"), F.lit(":"), F.left(c, F.lit(22))))), lambda c: c.isNotNull())
+    lines = head.where(F.col(row_no) <= shown).select(*keys, row_no, F.array_join(filled, " | ").alias("line"))
+    each = head.select(*keys, F.posexplode(cells).alias("column", "_cell"))
+    return lines, each.where(A.stripped(F.col("_cell")).rlike(A.MONEY_SHAPE)).groupBy(*keys, "column").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import graph_queries, ledger_queries, rule_queries
+from ledgerloom.plans import evidence_queries, graph_queries, ledger_queries, rule_queries
 
-QUERIES = {**ledger_queries.QUERIES, **graph_queries.QUERIES, **rule_queries.QUERIES}
-ORACLES = {**ledger_queries.ORACLES, **graph_queries.ORACLES, **rule_queries.ORACLES}
+QUERIES = {**ledger_queries.QUERIES, **graph_queries.QUERIES, **rule_queries.QUERIES, **evidence_queries.QUERIES}
+ORACLES = {**ledger_queries.ORACLES, **graph_queries.ORACLES, **rule_queries.ORACLES, **evidence_queries.ORACLES}
