@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.functions import records
-from ledgerloom.operators import probe, regression
+from ledgerloom.operators import gates, probe, regression, statements
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,7 +109,106 @@ def suite_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.tally(_cases(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (header_choice, column_arithmetic, row_starts, date_edges, sheet_preview, sheet_money, node_records, listed_edges, form_records, case_verdicts, suite_tally)}
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("l_linenumber")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("cluster"), (line * 50.0).alias("lo"), (line * 50.0 + 30).alias("hi"), (F.col("l_orderkey") * line % 17).alias("n"))
+
+
+def big_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK03: the three fullest columns of the right part of each page."""
+    return probe.top_columns(_columns(spark, sf_dir), ["l_orderkey"], 200)
+
+
+def column_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN22: the header word nearest to each column's right edge."""
+    c = _columns(spark, sf_dir).where("cluster <= 5")
+    words = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(*(F.struct(F.lit(x).alias("x1"), F.lit(t).alias("text")) for x, t in ((95.0, "Date"), (130.0, "Debit"), (260.0, "Credit"))))).alias("w"))
+    return probe.nearest_headers(c, words.select("l_orderkey", "w.x1", "w.text"), ["l_orderkey"]).select("l_orderkey", "cluster", "header")
+
+
+def glued_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN21: edges whose text a tighter reading divides."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("page"), (F.col("event_id") % 7 * 10.04).alias("x1"), F.col("event_id").alias("ord"))
+    k = F.col("ord").cast("string")
+    return probe.glued(e.withColumn("text", k), e.withColumn("text", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("1"), k)).otherwise(k)))
+
+
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK01: transactions as JSON lines, optional keys left out."""
+    k = F.col("o_orderkey")
+    t = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("file"), k.alias("line_no"), F.lit("2024-01-02").alias("transaction_date"), F.when(k % 2 == 0, "10:00").when(k % 4 == 1, "").alias("transaction_time"),
+        F.concat(k, F.lit(".50")).alias("debit_sum"), F.lit("0").alias("credit_sum"), F.lit("USD").alias("currency"), F.when(k % 5 > 0, F.concat(F.lit('say "'), k, F.lit('" \\'))).otherwise("").alias("description"), F.when(k % 3 == 0, F.concat(F.lit("a"), k)).alias("uniq_actor_field_value"),
+    )
+    return statements.jsonl(t)
+
+
+def unsorted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN18: rows dated before the row above."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").alias("line_no"), F.to_json(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("transaction_date"))).alias("raw"))
+    return gates.unsorted(o).select("file", "line_no", "transaction_date", "before")
+
+
+def printed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC13, PF16: lines of the outer pages that name a total and hold an amount."""
+    k = F.col("o_orderkey")
+    lines = _table(spark, sf_dir, "orders").select(k.alias("line_no"), (k % 9 + 1).alias("page"), _in_turn(k, [F.lit("Total debit 1,200.00"), F.lit("Total pages 7"), F.lit("Rent 12.50"), F.lit("TOTAL: 5.00")]).alias("text"))
+    return gates.total_lines(lines, F.lit(9))
+
+
+def gap_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG07: what a gap beside a side's total looks like."""
+    k = F.col("o_orderkey")
+    total = F.when(k % 7 != 6, k * 1000).otherwise(0).cast("decimal(18,2)")
+    gap = _in_turn(k, [k * 1000, k * 999, k * 990, k * 600, k * 400, k + 10, k * 0])
+    return _table(spark, sf_dir, "orders").select(k.alias("k"), gates.signature(gap.cast("decimal(18,2)"), total).alias("reading"))
+
+
+def joined_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASM14: amounts whose thousands stand apart, joined where the gap is small."""
+    k = F.col("o_orderkey")
+    cell = lambda t, a, b: F.struct(t.alias("text"), F.lit(a).cast("double").alias("x0"), b.cast("double").alias("x1"))
+    near = F.when(k % 2 == 0, 18).otherwise(10)
+    cells = F.array(cell((k % 9 + 1).cast("string"), 0, near), cell(F.lit("234"), 20, F.lit(30)), cell(F.lit("567.80"), 32, F.lit(50)), cell(F.lit("900"), 52, F.lit(60)))
+    return _table(spark, sf_dir, "orders").select(k.alias("k"), F.array_join(F.transform(statements.joined_thousands(cells), lambda c: c["text"]), "|").alias("texts"))
+
+
+def _layer(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """The rows of a small sidecar: nations and their regions."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    return [tuple(x) for x in n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_regionkey", "r_name").orderBy("n_nationkey").collect()]
+
+
+def ids_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC22: paths and ids of an ids file."""
+    from ledgerloom.sources import sidecars  # needs a YAML reader, the other queries do not
+
+    layer, ids = sidecars.parse_ids(json.dumps({"layer": "world", "sep": " > ", "paths": {f"{r} > {n}": f"n{k}" for k, n, _, r in _layer(spark, sf_dir)}}))
+    return spark.createDataFrame([(layer, p, i) for p, i in ids.items()], "layer string, path string, id string")
+
+
+def types_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC23, SK04: the fields of a type dictionary, written and read back."""
+    from ledgerloom.sources import sidecars  # needs a YAML reader, the other queries do not
+
+    rows = _layer(spark, sf_dir)
+    types = sorted({(r.lower(), k + 1, r.title(), f"all  of\n{r}") for _, _, k, r in rows})
+    fields = [(r.lower(), k, n.lower(), f"item_{k}", "int" if k % 2 else "string", f"The  {n}" if k % 3 else "", k % 4 > 0) for k, n, _, r in rows]
+    read_types, read_fields = sidecars.parse_types(sidecars.types_document("world", types, fields))
+    t = spark.createDataFrame(read_types, "slug string, form_id long, form_title string, description string")
+    return spark.createDataFrame(read_fields, "slug string, ord int, name string, id string, type string, title string, writable boolean").join(t, "slug")
+
+
+def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC33, SK10: the lists of a result, written and read back."""
+    from ledgerloom.sources import sidecars  # needs a YAML reader, the other queries do not
+
+    made = [(f"n{k}", ("hole", "updated", "created")[k % 3]) for k, *_ in _layer(spark, sf_dir)]
+    buckets, _ = sidecars.parse_result(sidecars.result_document(made, []))
+    return spark.createDataFrame(buckets, "id string, bucket string")
+
+
+QUERIES = {f.__name__: f for f in (header_choice, column_arithmetic, row_starts, date_edges, sheet_preview, sheet_money, node_records, listed_edges, form_records, case_verdicts, suite_tally, big_columns, column_headers, glued_amounts, written_lines, unsorted_dates, printed_totals, gap_signatures, joined_amounts, ids_file, types_file, result_file)}
 
 _SHEETS = """
 WITH s AS (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS row_no, p_name, (p_partkey % 1000) || '.25' AS price, p_partkey % 2 = 0 AS even, p_brand FROM part)
@@ -118,6 +219,7 @@ v AS (SELECT 'case' || i AS name, CASE i WHEN 5 THEN 'SKIP' WHEN 0 THEN 'PASS' W
   CASE i WHEN 5 THEN 'not found' WHEN 4 THEN 'exit code' WHEN 2 THEN 'debit' WHEN 7 THEN 'count' WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 6 THEN NULL ELSE 'nothing expected' END AS reason,
   count(*) AS n, CAST(sum(CASE WHEN even THEN 1.25 ELSE 0 END) AS DECIMAL(38,2)) AS debit, CAST(sum(CASE WHEN even THEN 0 ELSE 2 END) AS DECIMAL(38,2)) AS credit FROM r GROUP BY i)
 """
+_PAGE = "WITH c AS (SELECT l_orderkey, l_linenumber AS cluster, CAST(l_linenumber * 50 AS DOUBLE) AS lo, CAST(l_linenumber * 50 + 30 AS DOUBLE) AS hi, l_orderkey * l_linenumber % 17 AS n FROM lineitem) "
 
 ORACLES = {
     "header_choice": """
@@ -145,4 +247,21 @@ SELECT c_custkey AS k, CASE WHEN c_custkey % 5 IN (0, 2) THEN 'n' || c_custkey E
     "form_records": "SELECT c_custkey AS k, CASE WHEN c_custkey % 4 < 2 THEN 2 ELSE 0 END AS n_fields, CASE WHEN c_custkey % 4 < 2 THEN 'item_' || c_custkey || ',b' ELSE '' END AS ids, CASE WHEN c_custkey % 4 < 2 THEN 'edit,' ELSE '' END AS classes, CASE WHEN c_custkey % 4 < 2 THEN 'A,' ELSE '' END AS titles FROM customer",
     "case_verdicts": _VERDICTS + "SELECT * FROM v",
     "suite_tally": _VERDICTS + "SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) FILTER (status = 'SKIP') AS skipped, false AS holds FROM v",
+    "big_columns": _PAGE + "SELECT * EXCLUDE (top) FROM (SELECT *, max(n) OVER (PARTITION BY l_orderkey) AS top FROM c WHERE hi >= 110) WHERE n >= greatest(3, top * 0.15) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, lo) <= 3",
+    "column_headers": "SELECT DISTINCT l_orderkey, l_linenumber AS cluster, CASE l_linenumber WHEN 1 THEN 'Date' WHEN 2 THEN 'Debit' WHEN 3 THEN 'Debit' ELSE 'Credit' END AS header FROM lineitem WHERE l_linenumber <= 5",
+    "glued_amounts": """
+SELECT user_id AS page, CAST(round((event_id % 7) * 10.04, 1) AS DOUBLE) AS edge, CAST(max(event_id) AS VARCHAR) AS loose, '1' || max(event_id) AS tight FROM events GROUP BY user_id, event_id % 7 HAVING max(event_id) % 3 = 0""",
+    "written_lines": """
+SELECT CAST(o_custkey AS VARCHAR) AS file, o_orderkey AS line_no, '{"transaction_date": "2024-01-02", ' || CASE WHEN o_orderkey % 2 = 0 THEN '"transaction_time": "10:00", ' ELSE '' END || '"debit_sum": "' || o_orderkey || '.50", "credit_sum": "0", "currency": "USD", "description": "'
+  || CASE WHEN o_orderkey % 5 > 0 THEN 'say \\"' || o_orderkey || '\\" \\\\' ELSE '' END || '"' || CASE WHEN o_orderkey % 3 = 0 THEN ', "uniq_actor_field_value": "a' || o_orderkey || '"' ELSE '' END || '}' AS line FROM orders""",
+    "unsorted_dates": """
+SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS file, o_orderkey AS line_no, strftime(o_orderdate, '%Y-%m-%d') AS transaction_date, lag(strftime(o_orderdate, '%Y-%m-%d')) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) WHERE transaction_date < before""",
+    "printed_totals": "SELECT o_orderkey AS line_no, o_orderkey % 9 + 1 AS page, CASE o_orderkey % 4 WHEN 0 THEN 'Total debit 1,200.00' ELSE 'TOTAL: 5.00' END AS text FROM orders WHERE o_orderkey % 4 IN (0, 3) AND o_orderkey % 9 IN (0, 1, 7, 8)",
+    "gap_signatures": "SELECT o_orderkey AS k, CASE CASE WHEN o_orderkey = 0 THEN 6 ELSE o_orderkey % 7 END WHEN 0 THEN 'whole_side' WHEN 4 THEN 'no_single_row' WHEN 5 THEN 'no_single_row' WHEN 6 THEN 'no_single_row' ELSE 'over_half' END AS reading FROM orders",
+    "joined_amounts": "SELECT o_orderkey AS k, (o_orderkey % 9 + 1) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '|' END || '234567.80|900' AS texts FROM orders",
+    "ids_file": "SELECT 'world' AS layer, r_name || ' > ' || n_name AS path, 'n' || n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "types_file": """
+SELECT lower(r_name) AS slug, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY lower(n_name)) - 1 AS INT) AS ord, lower(n_name) AS name, 'item_' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 1 THEN 'int' ELSE 'string' END AS type, CASE WHEN n_nationkey % 3 > 0 THEN 'The ' || n_name ELSE '' END AS title, n_nationkey % 4 > 0 AS writable,
+  r_regionkey + 1 AS form_id, array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS form_title, 'all of ' || r_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "result_file": "SELECT 'n' || n_nationkey AS id, list_extract(['hole', 'updated', 'created'], CAST(n_nationkey % 3 + 1 AS INT)) AS bucket FROM nation",
 }
