@@ -128,3 +128,16 @@ def lean_table(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.T
                 _release()
 
     return passed
+
+
+def lean_tables(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """lean_table() for applyInArrow of a cogroup."""
+
+    def passed(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            if left.nbytes + right.nbytes > 1 << 20:
+                _release()
+
+    return passed
