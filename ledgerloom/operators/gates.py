@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import amounts as A
+from ledgerloom.operators.running import value_before
 
 # The keys of a record and the patterns of its fields.
 REQUIRED = ("transaction_date", "debit_sum", "credit_sum", "currency", "description")
@@ -79,8 +80,12 @@ def unsorted(records: DataFrame, partition: str | None = None) -> DataFrame:
     f = fields(records)
     # Without a file column the records are those of one file.
     of = partition or ("file" if "file" in records.columns else None)
-    w = (Window.partitionBy(of) if of else Window.partitionBy(F.lit(0))).orderBy("line_no")
-    return f.where(F.col("transaction_date").rlike(DATE)).withColumn("before", F.lag("transaction_date").over(w)).where("transaction_date < before")
+    dated = f.where(F.col("transaction_date").rlike(DATE))
+    if of:
+        dated = dated.withColumn("before", F.lag("transaction_date").over(Window.partitionBy(of).orderBy("line_no")))
+    else:
+        dated = value_before(dated, "transaction_date", [F.col("line_no")], "before")
+    return dated.where("transaction_date < before")
 
 
 def gate_two(records: DataFrame, want_debit=None, want_credit=None, want_count=None, currency: str | None = None) -> DataFrame:

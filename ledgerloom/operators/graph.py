@@ -1,8 +1,8 @@
 """Layers as forests: parents, sibling labels, unique paths, addresses, types and the exported texts (F5).
 
-Nodes are (layer, ord, id, title, x, y, ...), edges (layer, ord, source, target).  Levels
-are joined one by one from the roots, each written to a table that cuts lineage, so
-the number of steps is the depth of the deepest layer; layers spread over tasks.
+Nodes are (layer, ord, id, title, x, y, ...), edges (layer, ord, source, target).  Ways to
+the roots are found by pointer doubling: each round is one join on node ids, written to
+a table that cuts lineage, and the number of rounds is the logarithm of the depth.
 """
 
 from __future__ import annotations
@@ -54,15 +54,13 @@ def labels(siblings: DataFrame, keys: list[str]) -> DataFrame:
     return s.withColumn("label", F.when(F.col("_n") == 1, F.col("title")).otherwise(F.concat("title", F.lit(MARK), F.left(F.col("_h"), F.col("_k"))))).drop("_h", "_b", "_n", "_k")
 
 
-TREE = "layer string, id string, parent_id string, depth int, label string, path string, walk_key string"
-
-
 def forest(nodes: DataFrame, edges: DataFrame, cut=None) -> DataFrame:
     """GR01, GR02: (layer, id, parent_id, depth, label, path, walk_key) of every node.
 
     What no root reaches, the residue of cycles, is promoted to further roots.
-    `walk_key` sorts in depth-first order: zero-padded sibling ranks.  `cut` writes a
-    frame and reads it again (lineage); without it the plan grows with the depth.
+    `walk_key` sorts in depth-first order: zero-padded sibling ranks.  Paths hold all
+    labels above a node, so those of a chain of n nodes take n * n / 2 labels: see
+    structure() for such layers.  `cut` writes a frame and reads it again (lineage).
     """
     cut = cut or lineage.cut
     parents = accepted_edges(nodes, edges).select("layer", F.col("target").alias("id"), F.col("source").alias("parent_id"))
@@ -70,20 +68,74 @@ def forest(nodes: DataFrame, edges: DataFrame, cut=None) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("layer", "parent_id").orderBy("y", "x", "ord"))
     placed = labels(placed.withColumn("_rank", rank), ["layer", "parent_id"])
     placed = cut(placed.select("layer", "id", "title", "x", "y", "ord", "parent_id", "label", F.format_string("%08d", "_rank").alias("_rank")))
-    level = placed.where("parent_id IS NULL").select("layer", "id", "parent_id", F.lit(0).alias("depth"), "label", F.col("label").alias("path"), F.col("_rank").alias("walk_key"))
-    out = None
+    out, looped = climbed(placed, cut)
+    if looped is not None:
+        out = out.unionByName(climbed(opened(placed.join(looped, ["layer", "id"], "left_semi"), cut), cut)[0])
+    return disambiguated(out.drop("root_id"), cut)
+
+
+def structure(nodes: DataFrame, edges: DataFrame, cut=None) -> DataFrame:
+    """GR01, GR02 without texts: (layer, id, parent_id, depth, root_id), for layers so deep that written-out paths would not fit."""
+    cut = cut or lineage.cut
+    parents = accepted_edges(nodes, edges).select("layer", F.col("target").alias("id"), F.col("source").alias("parent_id"))
+    placed = cut(nodes.join(parents, ["layer", "id"], "left").select("layer", "id", "title", "x", "y", "ord", "parent_id"))
+    out, looped = climbed(placed, cut, texts=False)
+    if looped is not None:
+        out = out.unionByName(climbed(opened(placed.join(looped, ["layer", "id"], "left_semi"), cut, texts=False), cut, texts=False)[0])
+    return out
+
+
+def climbed(placed: DataFrame, cut, texts: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """The nodes that hang from a root, and (layer, id) of those that hang from a cycle, null if there are none.
+
+    Pointer doubling: a node knows a stretch of its way up, and in every round adds the
+    stretch of the node where its own ends, which doubles it.  A node is done when its
+    stretch reaches a root, so log2(depth) rounds do.  As long as tree nodes are open,
+    the highest of them is done in the next round: a round without one leaves cycles.
+    """
+    own = ["label", F.col("label").alias("path"), F.col("_rank").alias("walk_key")] if texts else []
+    top = F.col("parent_id").isNull()
+    start = placed.select("layer", "id", "parent_id", F.col("parent_id").alias("_up"), F.when(top, 0).otherwise(1).alias("depth"), F.when(top, F.col("id")).alias("root_id"), *own)
+    done, todo = start.where("_up IS NULL"), start.where("_up IS NOT NULL")
+    left = todo.count()
+    while left:
+        known = done.unionByName(todo)
+        above = known.select("layer", F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_d"), F.col("root_id").alias("_r"), *([F.col("path").alias("_p"), F.col("walk_key").alias("_w")] if texts else []))
+        grown = ["label", F.concat("_p", F.lit(N.SEPARATOR), "path").alias("path"), F.concat("_w", "walk_key").alias("walk_key")] if texts else []
+        moved = cut(todo.join(above, ["layer", "_up"]).select("layer", "id", "parent_id", F.col("_next").alias("_up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_r").alias("root_id"), *grown))
+        still = moved.where("_up IS NOT NULL")
+        now = still.count()
+        if now == left:
+            return done.drop("_up"), todo.select("layer", "id")
+        done, todo, left = done.unionByName(moved.where("_up IS NULL")), still, now
+    return done.drop("_up"), None
+
+
+def opened(looped: DataFrame, cut, texts: bool = True) -> DataFrame:
+    """GR02: the nodes that hang from cycles, with the parents of those cut off that become roots.
+
+    In sibling order each node becomes a root unless an earlier one has led to it: it
+    is one if no node above it, round the cycle, comes before it.  The first node above
+    each is found by pointer doubling, and is final once a round changes none.
+    """
+    key = F.struct("y", "x", "ord", "id")
+    first = cut(looped.select("layer", "id", F.col("parent_id").alias("_up"), key.alias("least")))
     while True:
-        level = cut(level)
-        if out is not None and not level.limit(1).count():
+        above = first.select("layer", F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("least").alias("_m"))
+        lower = F.when(F.col("_m") < F.col("least"), F.col("_m"))
+        moved = cut(first.join(above, ["layer", "_up"]).select("layer", "id", F.col("_next").alias("_up"), F.coalesce(lower, "least").alias("least"), lower.isNotNull().alias("_new")))
+        if not moved.where("_new").limit(1).count():
             break
-        out = level if out is None else out.unionByName(level)
-        up = level.select(F.col("layer"), F.col("id").alias("parent_id"), "depth", F.col("path").alias("_p"), F.col("walk_key").alias("_w"))
-        below = placed.join(up, ["layer", "parent_id"])
-        level = below.select("layer", "id", "parent_id", (F.col("depth") + 1).alias("depth"), "label", F.concat("_p", F.lit(N.SEPARATOR), "label").alias("path"), F.concat("_w", "_rank").alias("walk_key"))
-    residue = placed.join(out.select("layer", "id"), ["layer", "id"], "left_anti")
-    if residue.limit(1).count():
-        out = out.unionByName(residue.select("layer", "id", "title", "parent_id", "x", "y", "ord").groupBy("layer").applyInPandas(_walk_residue, TREE))
-    return disambiguated(out, cut)
+        first = moved.drop("_new")
+    roots = first.where(F.col("least.id") == F.col("id")).select("layer", "id", F.lit(True).alias("_root"))
+    if not texts:
+        return cut(looped.join(roots, ["layer", "id"], "left").withColumn("parent_id", F.when(F.col("_root").isNull(), F.col("parent_id"))).drop("_root"))
+    # A root is labelled among all nodes of the residue, and comes after the layer's other roots.
+    named = labels(looped.select("layer", "id", "title", "x", "y", "ord"), ["layer"]).join(roots, ["layer", "id"])
+    number = F.row_number().over(Window.partitionBy("layer").orderBy("y", "x", "ord", "id")) + 89_999_999
+    named = named.select("layer", "id", "_root", F.col("label").alias("_label"), F.format_string("%08d", number).alias("_number"))
+    pick = lambda a, b: F.when(F.col("_root"), F.col(a)).otherwise(F.col(b)).alias(b)
+    return cut(looped.join(named, ["layer", "id"], "left").select("layer", "id", "title", "x", "y", "ord", F.when(F.col("_root").isNull(), F.col("parent_id")).alias("parent_id"), pick("_label", "label"), pick("_number", "_rank")))
 
 
 def disambiguated(tree: DataFrame, cut=lambda df: df) -> DataFrame:
@@ -106,46 +158,6 @@ def disambiguated(tree: DataFrame, cut=lambda df: df) -> DataFrame:
         tree = cut(tree.select("layer", "id", "parent_id", "depth", "label", "path", "walk_key"))
 
 
-def _walk_residue(frame: pd.DataFrame) -> pd.DataFrame:
-    """GR02: the nodes of a layer that no root reaches, each in sibling order a root unless an earlier one has led to it.
-
-    The residue of a layer is small and its rule is sequential, so it is one function.
-    """
-    frame = frame.sort_values(["y", "x", "ord"])
-    below: dict = {}
-    for r in frame.itertuples():
-        below.setdefault(r.parent_id, []).append(r.id)
-    title = dict(zip(frame.id, frame.title))
-
-    def named(ids: list) -> dict:
-        groups: dict = {}
-        for i in ids:
-            groups.setdefault(title[i], []).append(i)
-        got = {}
-        for t, members in groups.items():
-            k = 4
-            bare = {i: i.replace("-", "") for i in members}
-            while len(members) > 1 and len({b[:k] for b in bare.values()}) < len(members) and k < 32:
-                k += 1
-            got |= {i: t if len(members) == 1 else f"{t}{MARK}{bare[i][:k]}" for i in members}
-        return got
-
-    seen: set = set()
-    out: list = []
-    label = named(list(frame.id))
-    todo = [(i, None, 0, label[i], label[i], f"{90_000_000 + k:08d}") for k, i in reversed(list(enumerate(frame.id)))]
-    while todo:
-        i, parent, depth, name, path, key = todo.pop()
-        if i in seen:
-            continue
-        seen.add(i)
-        out.append((frame.layer.iloc[0], i, parent, depth, name, path, key))
-        kids = below.get(i, [])
-        label = named(kids)
-        todo += [(c, i, depth + 1, label[c], f"{path}{N.SEPARATOR}{label[c]}", f"{key}{k:08d}") for k, c in reversed(list(enumerate(kids, 1)))]
-    return pd.DataFrame(out, columns=["layer", "id", "parent_id", "depth", "label", "path", "walk_key"])
-
-
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR02: (layer, id, parent_id, path, walk_no) of the nodes that no root reaches, promoted in sibling order."""
     residue = forest(nodes, edges).where("walk_key >= '9'")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions import amounts as A, names as N
+from ledgerloom.operators import lineage
 
 MOST_LINE_BYTES = 1 << 20
 SIDES = ("debit", "credit")
@@ -44,11 +45,19 @@ def records(lines: DataFrame) -> DataFrame:
 
     A JSON zero, false, null or empty value is blank, as are absent keys.
     """
-    raw = A.stripped(F.col("raw"))
-    get = lambda k: F.coalesce(F.when(F.get_json_object("raw", f"$.{k}").isin("0", "false", "0.0"), F.when(F.get_json_object("raw", f"$.{k}").isin("0", "false", "0.0") & F.col("raw").rlike(f'"{k}"\\s*:\\s*"'), F.get_json_object("raw", f"$.{k}")).otherwise("")).otherwise(F.get_json_object("raw", f"$.{k}")), F.lit(""))
-    got = lines.withColumn("raw", raw).where("raw <> ''")
+    keys = {"transaction_date": "date", "transaction_time": "time", "debit_sum": "debit", "credit_sum": "credit", "currency": "currency", "description": "description", "uniq_actor_field_value": "key"}
+    marked = ["of_lines"] if "of_lines" in lines.columns else []  # in a stream blank lines stay, to be counted
+    got = lines.select("file", "line_no", A.stripped(F.coalesce("raw", F.lit(""))).alias("raw"), *marked)
+    got = got if marked else got.where("raw <> ''")
+    read = got.select("*", F.json_tuple("raw", *keys).alias(*keys.values()))
     error = F.when(F.octet_length("raw") > MOST_LINE_BYTES, "line too long").when(F.try_parse_json("raw").isNull(), "not JSON")
-    return got.select("file", "line_no", "raw", error.alias("error"), *(get(k).alias(a) for k, a in (("transaction_date", "date"), ("transaction_time", "time"), ("debit_sum", "debit"), ("credit_sum", "credit"), ("currency", "currency"), ("description", "description"))), A.stripped(get("uniq_actor_field_value")).alias("key"))
+
+    def text(key: str, name: str) -> Column:
+        zero = F.col(name).isin("0", "false", "0.0") & ~F.col("raw").rlike(f'"{key}"\\s*:\\s*"')
+        return F.when(zero, "").otherwise(F.coalesce(name, F.lit("")))
+
+    own = {name: text(key, name) for key, name in keys.items()} | {"key": A.stripped(text("uniq_actor_field_value", "key"))}
+    return read.select("file", "line_no", "raw", *marked, error.alias("error"), *(c.alias(name) for name, c in own.items()))
 
 
 def resolve_keys(keys: DataFrame, values: DataFrame, field_id: str) -> DataFrame:
@@ -73,9 +82,10 @@ def resolved(lines: DataFrame, options: PostOptions, values: DataFrame | None =
     options.validate()
     r = records(lines)
     if options.actor_field and values is not None:
-        # Rows without a key need no lookup, and would all meet in one task.
-        found = resolve_keys(r, values, field_id or options.actor_field).withColumnRenamed("actor_id", "_found")
-        r = r.where("key <> ''").join(found, "key", "left").unionByName(r.where("key = ''").withColumn("_found", F.lit(None).cast(found.schema["_found"].dataType)))
+        found = resolve_keys(r, values, field_id or options.actor_field).withColumnsRenamed({"actor_id": "_found", "key": "_key"})
+        # Rows without a key find none; they are looked up by texts of their own, so that they don't all meet in one task.
+        own = F.when(F.col("key") == "", F.concat_ws("\0", F.lit(""), "file", "line_no")).otherwise(F.col("key"))
+        r = r.withColumn("_own", own).join(found, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
     else:
         r = r.withColumn("_found", F.lit(None).cast("string"))
     default = F.nullif(F.lit(options.actor_id.strip()), F.lit(""))
@@ -93,7 +103,8 @@ def failed_files(rows: DataFrame) -> DataFrame:
 
 
 def good_rows(rows: DataFrame) -> DataFrame:
-    """Rows of files without a fatal row that found their actor."""
+    """Rows of files without a fatal row that found their actor; the rows are read once for both."""
+    rows = lineage.cut(rows)
     bad = rows.where("fatal IS NOT NULL").select("file").distinct()
     return rows.join(bad, "file", "left_anti").where("skipped IS NULL")
 
@@ -133,6 +144,7 @@ def posting(rows: DataFrame, options: PostOptions, posted: DataFrame | None = No
 
 def job_counts(rows: DataFrame, outcome: DataFrame) -> DataFrame:
     """(file, records, posted, duplicate, skipped, actors, error) of every job; a failed one has only its error."""
+    rows = lineage.cut(rows)
     failed = failed_files(rows)
     read = rows.groupBy("file").agg(F.count("*").alias("records"), F.count("skipped").alias("skipped"))
     done = outcome.groupBy("file").agg(F.count_if(F.col("outcome").isin("posted", "would post")).alias("posted"), F.count_if(F.col("outcome") == "duplicate").alias("duplicate"))
@@ -144,6 +156,7 @@ def job_counts(rows: DataFrame, outcome: DataFrame) -> DataFrame:
 
 def batch_counts(rows: DataFrame, outcome: DataFrame) -> DataFrame:
     """AG02, AG24, ST01: one row: jobs, failed jobs, records, posted, duplicate, skipped, and actors counted once over all jobs."""
+    rows = lineage.cut(rows)
     per = job_counts(rows, outcome)
     sums = per.agg(F.count("*").alias("jobs"), F.count("error").alias("failed"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("records", "posted", "duplicate", "skipped")))
     return sums.crossJoin(good_rows(rows).agg(F.countDistinct("actor_id").alias("actors")))

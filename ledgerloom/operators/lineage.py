@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a temporary one of this machine only where none is set and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame, computed once in the checkpoint folder; as it stands where no folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """The frame, computed once in the checkpoint folder."""
+    path = folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(path)
+    return df.checkpoint()

@@ -16,6 +16,8 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ledgerloom.operators.running import running_sum
+
 # Elements without text, elements that end a line, entities of image texts.
 NO_TEXT = frozenset("script style svg template iframe".split())
 LINE = frozenset("p div br hr li tr section article header footer nav main aside form table ul ol dl dt dd blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
@@ -273,13 +275,21 @@ def picture_info(data: pd.Series) -> pd.DataFrame:
 
 
 def bound_pictures(asked: DataFrame, most: int = 50) -> DataFrame:
-    """AP02, WN14, SF31: (n, node, url, bytes) to verdicts: one stored picture a digest, the first node keeps it, `most` a run."""
-    d = asked.withColumn("digest", F.sha2("bytes", 256)).withColumn("info", picture_info("bytes"))
-    first = F.first("node").over(Window.partitionBy("digest").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    d = d.withColumn("owner", first)
-    fresh = F.row_number().over(Window.partitionBy("digest").orderBy("n")) == 1
-    d = d.withColumn("_k", F.sum(F.when(fresh & F.col("info.problem").isNull(), 1).otherwise(0)).over(Window.partitionBy(F.lit(0)).orderBy("n")))
-    return d.select("n", "node", "url", "digest", F.when(F.col("info.problem").isNotNull(), F.col("info.problem")).when(F.col("owner") != F.col("node"), "belongs to another node").when(F.col("_k") > most, "over the run's limit").otherwise("stored").alias("verdict"))
+    """AP02, WN14, TK06, SF31: (n, node, url, bytes) to verdicts: one stored picture a digest, the first node keeps it, `most` a run."""
+    d = asked.select("n", "node", "url", F.sha2("bytes", 256).alias("digest"), picture_info("bytes")["problem"].alias("problem"))
+    return picture_verdicts(d, most)
+
+
+def picture_verdicts(facts: DataFrame, most: int = 50) -> DataFrame:
+    """(n, node, url, digest, verdict) from (n, node, url, digest, problem), judged in the order of n.
+
+    The first node that asks for a digest owns it, by one aggregation; the limit counts
+    the first askers of sound pictures in order, by a running sum over ranges.
+    """
+    first = facts.groupBy("digest").agg(F.min(F.struct("n", "node")).alias("_first"))
+    d = facts.join(first, "digest").select("n", "node", "url", "digest", "problem", F.col("_first.node").alias("owner"), ((F.col("n") == F.col("_first.n")) & F.col("problem").isNull()).cast("int").alias("_counts"))
+    d = running_sum(d, F.col("_counts"), [F.col("n")], "_k")
+    return d.select("n", "node", "url", "digest", F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("owner") != F.col("node"), "belongs to another node").when(F.col("_k") > most, "over the run's limit").otherwise("stored").alias("verdict"))
 
 
 def text_of(xml: str, breaks: dict[str, str]) -> str:

@@ -105,12 +105,60 @@ def rename_collisions(planned: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def nearest_fields(unknown: DataFrame, type_fields: DataFrame) -> DataFrame:
-    """WN20: (slug, field, suggestion): the closest name within min(3, max(1, length/3)) edits, the first on ties."""
-    pairs = unknown.join(type_fields.select("slug", "name", "ord"), "slug")
+    """WN20, SF26: (slug, field, suggestion): the closest name within min(3, max(1, length/3)) edits, the first on ties.
+
+    Names are looked up by what edits leave whole: cut into d + 1 pieces, a name within
+    d edits has a piece that stands unchanged in the field, at most d places away.  The
+    pieces are joined by equality, for one edit, then two, then three, each time for
+    the fields that have found no name yet.
+    """
+    names = type_fields.select("slug", "name", "ord")
     budget = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.length("field") / 3)))
-    near = pairs.withColumn("_d", F.levenshtein("field", "name")).where(F.col("_d") <= budget)
-    best = Window.partitionBy("slug", "field").orderBy("_d", "ord")
-    return near.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("slug", "field", F.col("name").alias("suggestion"))
+    todo = lineage.cut(unknown.select("slug", "field").distinct().withColumn("_budget", budget))
+    found = None
+    for d in (1, 2, 3):
+        if found is not None and not todo.limit(1).count():
+            break
+        kept = names.select("slug", "name", "ord", F.length("name").alias("_length"), F.explode(_pieces(F.col("name"), d)).alias("_p")).select("*", "_p.*").drop("_p")
+        asked = todo.where(F.col("_budget") >= d).select("slug", "field", F.explode(_probes(F.col("field"), d)).alias("_p")).select("slug", "field", "_p.*")
+        near = asked.join(kept, ["slug", "_length", "number", "piece"]).select("slug", "field", "name", "ord").withColumn("_d", F.levenshtein("field", "name")).where(F.col("_d") <= d)
+        best = lineage.cut(near.groupBy("slug", "field").agg(F.min_by("name", F.struct("_d", "ord", "name")).alias("suggestion")))
+        found = best if found is None else found.unionByName(best)
+        if d < 3:
+            todo = todo.where(F.col("_budget") > d).join(best, ["slug", "field"], "left_anti")
+    return found
+
+
+def _bounds(length: Column, number: Column, d: int) -> tuple[Column, Column]:
+    """Start and length of a piece of a name of that length."""
+    start = F.floor(number * length / (d + 1)).cast("int")
+    return start, F.floor((number + 1) * length / (d + 1)).cast("int") - start
+
+
+def _pieces(name: Column, d: int) -> Column:
+    """The d + 1 pieces of a name, numbered."""
+
+    def piece(number: Column) -> Column:
+        start, size = _bounds(F.length(name), number, d)
+        return F.struct(number.alias("number"), F.substring(name, start + 1, size).alias("piece"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(d)), piece)
+
+
+def _probes(field: Column, d: int) -> Column:
+    """What a field may hold of a name's pieces: for each length of a name and piece, the texts of that size near its place."""
+
+    def of_length(length: Column) -> Column:
+        def of_piece(number: Column) -> Column:
+            start, size = _bounds(length, number, d)
+            low, high = F.greatest(start - d, F.lit(0)), F.least(start + d, F.length(field) - size)
+            places = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda at: F.struct(length.alias("_length"), number.alias("number"), F.substring(field, at + 1, size).alias("piece")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(d)), of_piece))
+
+    lengths = F.sequence(F.greatest(F.length(field) - d, F.lit(0)), F.length(field) + d)
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def plan(ops: DataFrame, tree: DataFrame, actors: DataFrame, type_fields: DataFrame) -> DataFrame:

@@ -120,19 +120,28 @@ def styles(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
     return votes.withColumn("style", F.when((F.col("n") == 0) | (F.col("us") > F.col("eu")), "us").when(F.col("us") < F.col("eu"), "eu").otherwise(tie))
 
 
-def tagged(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
-    """Every row that reaches assembly or is counted, with its claims, flags and transaction number."""
-    spec.validate()
-    w = Window.partitionBy("file").orderBy("row_no")
+def read_rows(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """UD1, UD2: rows with their mapped cells, their text, and whether they are filtered out or end the statement."""
     t = rows
     if spec.cell_map is not None:
         t = t.withColumn("cells", F.filter(F.transform("cells", spec.cell_map), lambda c: c.isNotNull()))
     text = F.array_join(F.transform("cells", lambda c: c["text"]), " ")
     t = t.withColumn("text", text).withColumn("filtered", ~spec.row_filter(F.col("cells")) if spec.row_filter is not None else F.lit(False))
-    stop = F.col("text").rlike(spec.stop_re) & ~F.col("filtered") if spec.stop_re else F.lit(False)
-    t = t.withColumn("_stop", F.min(F.when(stop, F.col("row_no"))).over(Window.partitionBy("file")))
-    t = t.withColumn("stopped_at", F.max(F.when(F.col("row_no") == F.col("_stop"), F.col("page"))).over(Window.partitionBy("file")))
-    t = t.where("_stop IS NULL OR row_no < _stop")
+    return t.withColumn("_stops", F.col("text").rlike(spec.stop_re) & ~F.col("filtered") if spec.stop_re else F.lit(False))
+
+
+def tagged(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """Every row that reaches assembly or is counted, with its claims, flags and transaction number."""
+    spec.validate()
+    w = Window.partitionBy("file").orderBy("row_no")
+    t = read_rows(rows, spec)
+    if spec.stop_re:
+        whole = Window.partitionBy("file")
+        t = t.withColumn("_stop", F.min(F.when(F.col("_stops"), F.col("row_no"))).over(whole))
+        t = t.withColumn("stopped_at", F.max(F.when(F.col("row_no") == F.col("_stop"), F.col("page"))).over(whole))
+        t = t.where("_stop IS NULL OR row_no < _stop").drop("_stop")
+    else:
+        t = t.withColumn("stopped_at", F.lit(None).cast(t.schema["page"].dataType))
     if spec.start_re:
         scope = Window.partitionBy("file", "page") if spec.start_per_page else Window.partitionBy("file")
         hit = F.col("text").rlike(spec.start_re) & ~F.col("filtered")
@@ -140,6 +149,26 @@ def tagged(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
     else:
         armed = F.lit(True)
     t = t.withColumn("armed", armed)
+    if spec.numbers == "auto":
+        t = t.join(styles(rows, spec).select("file", "style"), "file", "left")
+    else:
+        t = t.withColumn("style", F.lit(spec.numbers))
+    t = claims(t, spec)
+    t = t.withColumn("boundary", F.col("is_new") | F.col("veto") | F.col("filtered"))
+    t = t.withColumn("txn", F.sum(F.col("boundary").cast("int")).over(w))
+    carried = F.last(F.when(F.col("is_new"), F.col("dtok")), ignorenulls=True).over(w) if spec.date_carry else F.lit(None).cast("string")
+    t = t.withColumn("d", F.coalesce("dtok", F.when(F.col("is_new"), carried)))
+    both = F.col("deb").isNotNull() & F.col("cred").isNotNull() & F.lit(not spec.allow_both_sides)
+    t = t.withColumn("both", F.col("is_new") & F.col("d").isNotNull() & both)
+    t = t.withColumn("ok", F.col("is_new") & F.col("d").isNotNull() & ~both)
+    t = t.withColumn("strays", F.count(F.when(F.col("ok") & (F.size("unclaimed") > 0), 1)).over(w))
+    group = Window.partitionBy("file", "txn")
+    t = t.withColumn("open", F.max("ok").over(group))
+    return t.drop("_stops")
+
+
+def claims(t: DataFrame, spec: ColumnSpec) -> DataFrame:
+    """ASM1, ASM5-ASM6, ASM11-ASM12, PF08-PF09: what a row claims by itself, from read_rows() with `armed` and `style`."""
     low = F.lower("text")
     veto = F.lit(False)
     for s in spec.skip_rows:
@@ -148,10 +177,6 @@ def tagged(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
         veto = veto | F.col("text").rlike(spec.skip_re)
     t = t.withColumn("veto", veto & F.col("armed") & ~F.col("filtered")).withColumn("live", F.col("armed") & ~F.col("filtered") & ~F.col("veto"))
 
-    if spec.numbers == "auto":
-        t = t.join(styles(rows, spec).select("file", "style"), "file", "left")
-    else:
-        t = t.withColumn("style", F.lit(spec.numbers))
     looks = lambda c: A.is_money_shaped(c["text"], spec.require_decimals)
     value = lambda c: A.amount(c["text"], F.col("style"))
     live_cells = F.when(F.col("live"), F.col("cells")).otherwise(F.slice("cells", 1, 0))
@@ -202,17 +227,7 @@ def tagged(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
     t = t.withColumns({"cur": cur, "act": act, "dtok": dtok, "tm": tm, "desc": F.array_join(_texts(cells, lambda c: inside(spec.description, c["x1"])), " ")})
     has = F.col("deb").isNotNull() | F.col("cred").isNotNull()
     start = {"amount": has, "date": F.col("dtok").isNotNull(), "date_and_amount": has & F.col("dtok").isNotNull()}[spec.row_start]
-    t = t.withColumn("is_new", F.col("live") & start)
-    t = t.withColumn("boundary", F.col("is_new") | F.col("veto") | F.col("filtered"))
-    t = t.withColumn("txn", F.sum(F.col("boundary").cast("int")).over(w))
-    carried = F.last(F.when(F.col("is_new"), F.col("dtok")), ignorenulls=True).over(w) if spec.date_carry else F.lit(None).cast("string")
-    t = t.withColumn("d", F.coalesce("dtok", F.when(F.col("is_new"), carried)))
-    both = F.col("deb").isNotNull() & F.col("cred").isNotNull() & F.lit(not spec.allow_both_sides)
-    t = t.withColumn("both", F.col("is_new") & F.col("d").isNotNull() & both)
-    t = t.withColumn("ok", F.col("is_new") & F.col("d").isNotNull() & ~both)
-    group = Window.partitionBy("file", "txn")
-    t = t.withColumn("open", F.max("ok").over(group))
-    return t.drop("_f1", "_f2", "_stop")
+    return t.withColumn("is_new", F.col("live") & start).drop("_f1", "_f2")
 
 
 def transactions(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
@@ -254,7 +269,7 @@ def metrics(rows: DataFrame, spec: ColumnSpec) -> DataFrame:
         F.sum(F.when(F.col("ok") & F.lit(spec.strict_bands), F.size("unclaimed")).otherwise(0)).alias("unclaimed"), F.count_if(F.col("marker").isNotNull()).alias("markers_read"),
         total("deb").alias("debit_total"), total("cred").alias("credit_total"), F.sum("signed_debit").cast("decimal(38,2)").alias("signed_debit"), F.sum("signed_credit").cast("decimal(38,2)").alias("signed_credit"),
         F.max("stopped_at").alias("stopped_at"), F.max("style").alias("number_style"),
-        F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("ok") & (F.size("unclaimed") > 0), F.struct("row_no", "unclaimed")))), lambda s: s["unclaimed"])), 1, 5).alias("unclaimed_samples"),
+        F.slice(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("ok") & (F.size("unclaimed") > 0) & (F.col("strays") <= 5), F.struct("row_no", F.slice("unclaimed", 1, 5).alias("unclaimed"))))), lambda s: s["unclaimed"])), 1, 5).alias("unclaimed_samples"),
     )
 
 
