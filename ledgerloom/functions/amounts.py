@@ -19,15 +19,21 @@ def stripped(s: Column) -> Column:
     return F.regexp_replace(s, r"^[\s ]+|[\s ]+$", "")
 
 
+#: Stands for the minus that a token's form means, until its currency signs are gone.
+_MEANT = "\x01"
+
+
 def cleaned(token: Column) -> Column:
-    """Currency noise removed; parentheses and a closing minus become a leading minus."""
+    """Currency noise removed; parentheses and a closing minus become a leading minus.
+
+    One chain of replacements without branches: expressions that use the result several
+    times would otherwise copy every branch, beyond what generated code may hold.
+    """
     t = F.regexp_replace(stripped(token), "[  ]", "")
-    wrapped = t.startswith("(") & t.endswith(")")
-    t = F.when(wrapped, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t)
-    t = F.regexp_replace(t, "^[€$£]+|[€$£]+$", "")
-    closing = t.endswith("-")
-    t = F.when(closing, F.regexp_replace(t, "-$", "")).otherwise(t)
-    return F.when((wrapped | closing) & ~t.startswith("-"), F.concat(F.lit("-"), t)).otherwise(t)
+    t = F.regexp_replace(t, r"(?s)^\((.*)\)$", f"{_MEANT}$1")
+    t = F.regexp_replace(t, f"^({_MEANT}?)[€$£]+|[€$£]+$", "$1")
+    t = F.regexp_replace(t, f"(?s)^{_MEANT}?(.*)-$", f"{_MEANT}$1")
+    return F.regexp_replace(t, f"^{_MEANT}-?", "-")
 
 
 def amount_or_null(token: Column, style: Column | str) -> Column:

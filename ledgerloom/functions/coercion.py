@@ -38,7 +38,8 @@ def coerce(kind: str, raw) -> tuple[object, str | None]:
     """(stored value, error) of a raw value for a field type of the fixed vocabulary.
 
     int takes whole floats and digit strings but no booleans; bool takes words but
-    not the integers 1 and 0; string refuses lists and maps; date keeps the day.
+    not the integers 1 and 0; string and text refuse lists and maps; date keeps the day
+    of a text in any ISO form; a type outside the vocabulary is refused.
     """
     if raw is None or (isinstance(raw, str) and not raw.strip()) or raw == [] or raw == {}:
         return None, "clearing a value is not supported"
@@ -68,18 +69,19 @@ def coerce(kind: str, raw) -> tuple[object, str | None]:
             return False, None
         return None, f"{render_value(raw)!r} is not a bool"
     if kind == "date":
-        text = str(raw).strip()
-        if re.match(r"\d{4}-\d{2}-\d{2}(?:[T ]|$)", text):
+        if isinstance(raw, str):
             try:
-                return datetime.fromisoformat(text).strftime("%Y-%m-%d"), None
+                return datetime.fromisoformat(raw.strip()).strftime("%Y-%m-%d"), None
             except ValueError:
                 pass
-        return None, f"{text!r} is not a date"
+        return None, f"{render_value(raw)!r} is not a date"
     if kind.startswith("enum["):
         options, value = [o.strip() for o in kind[5:].rstrip("]").split(",")], render_value(raw)
         return (value, None) if value in options else (None, f"{value!r} is none of {', '.join(options)}")
     if kind.startswith("ref("):  # the address of the record that is meant; planning looks it up
         return (raw.strip(), None) if isinstance(raw, str) else (None, f"a {kind} takes the path of its target")
+    if kind not in ("string", "text"):
+        return None, f"unknown field type {kind!r}"
     if isinstance(raw, (list, dict)):
         return None, "a list or map does not fit a text field"
     return render_value(raw) if not isinstance(raw, str) else raw, None

@@ -194,12 +194,23 @@ def summary(planned: DataFrame) -> DataFrame:
     return planned.agg(F.count_if(made).alias("creates"), F.sum(F.when(writes, F.size("changes")).otherwise(0)).alias("writes"), F.count_if(writes & F.col("new_title").isNotNull()).alias("renames"), F.count_if(writes & F.col("new_description").isNotNull()).alias("describes"), F.count_if(F.col("mark") == "+").alias("holes"), F.count_if((made | writes) & F.col("new_picture").isNotNull()).alias("pictures"), F.count_if(F.col("mark") == ">").alias("satisfied"), F.count_if(F.col("mark") == "!").alias("errors"))
 
 
+def adopted(planned: DataFrame, actors: DataFrame) -> DataFrame:
+    """SK08: creates whose (type, ref) some record has already become updates of that record, the first by id."""
+    there = actors.where("ref IS NOT NULL AND ref <> ''").groupBy(F.col("slug").alias("type"), "ref").agg(F.min("id").alias("_there"))
+    creates = planned.where("mark = '*'").join(there, ["type", "ref"], "left")
+    mark = F.when(F.col("_there").isNull(), "*").otherwise("~").alias("mark")
+    actor = F.coalesce("_there", "actor_id").alias("actor_id")
+    turned = creates.select(*(actor if c == "actor_id" else mark if c == "mark" else F.col(c) for c in planned.columns))
+    return planned.where("mark <> '*'").unionByName(turned)
+
+
 def apply(planned: DataFrame, actors: DataFrame, partial: bool = False) -> DataFrame:
     """AP01, SK07, SK08: the snapshot after a plan; only named keys change, a create's id follows from (type, ref).
 
     Without `partial` a plan with an error is refused.  A replay of an applied plan
-    plans nothing, so it is safe.
+    plans nothing, so it is safe.  A create whose record is there by now adopts it.
     """
+    planned = adopted(planned, actors)
     if not partial and planned.where("mark = '!'").limit(1).count():
         raise ValueError("the plan has errors: nothing was applied")
     go = planned.where("mark IN ('*', '+', '~')")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.operators import bands, gates, graph, ledger, pages, planning
+from ledgerloom.functions import names as N
+from ledgerloom.operators import bands, gates, graph, ledger, pages, planning, rounds
+from ledgerloom.operators.path_index import PathIndex
+from ledgerloom.plans.graph_queries import ORACLES as GRAPH_ORACLES, _layer, _plan
 from ledgerloom.plans.ledger_queries import ORACLES as LEDGER_ORACLES, SPEC, _statement_rows
+from ledgerloom.sources import dumps, snapshots
 from ledgerloom.streaming.ledger_stream import post_stream
 from ledgerloom.streaming.state import new_folder, rocks_state
 from ledgerloom.streaming.statement_stream import transactions_stream
@@ -111,7 +115,82 @@ def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.nearest_fields(p.select("slug", bad.alias("field")).distinct(), fields)
 
 
-QUERIES = {f.__name__: f for f in (ledger_stream, statement_stream, deep_ways, ring_ways, band_tokens, band_claims, picture_budget, unsorted_lines, nearest_names)}
+def layer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC14, SC15, PF20: layers dumped in pages of fifty and scanned again, two of their columns parsed."""
+    c = _table(spark, sf_dir, "customer")
+    number = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    items = c.select(F.concat(F.lit("n"), "c_nationkey").alias("layer"), F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("balance"), number.alias("_number"))
+    folder = new_folder(spark, "pages")
+    dumps.write_pages(items, F.col("_number"), folder)
+    return dumps.scan_pages(spark, folder, "id long, title string")
+
+
+def layer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK02, GR05: a layer exported as one version, and its paths loaded again because the layer is the same."""
+    nodes, edges = _layer(spark, sf_dir)
+    tree = graph.forest(nodes, edges).withColumn("slug", F.lit("place"))
+    none = spark.createDataFrame([], "layer string, id string, field_id string, value string")
+    lines = graph.value_lines(tree, none, spark.createDataFrame([], "slug string, id string, name string, ord int"))
+    store = snapshots.Versions(spark, new_folder(spark, "export"))
+    snapshots.export_layer(store, "world", tree, spark.createDataFrame([("place", 1)], "slug string, form_id int"), lines)
+    paths, exported = snapshots.load_index(store, "world", lambda: tree)
+    return paths.select("path", "id", F.lit(exported).alias("exported"))
+
+
+def path_index_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GR06, JN08: a kept index after the rename of a region: what it answers, and how many nodes the update wrote."""
+    nodes, edges = _layer(spark, sf_dir)
+    index = PathIndex(snapshots.Versions(spark, new_folder(spark, "paths")))
+    index.update(graph.forest(nodes, edges))
+    renamed = nodes.withColumn("title", F.when(F.col("title") == "ASIA", "FAR EAST").otherwise(F.col("title")))
+    n = index.update(graph.forest(renamed, edges))
+    pairs = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    asked = pairs.select(F.lit("world").alias("layer"), F.explode(F.array("n_name", F.concat("r_name", F.lit(N.SEPARATOR), "n_name"), F.concat(F.lit("FAR EAST" + N.SEPARATOR), "n_name"))).alias("addr"))
+    return index.resolve(asked).select("addr", "verdict", "path", F.lit(n).cast("long").alias("written"))
+
+
+def versioned_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK07: two plans made on one version: the first is published, the second is refused, planned again and published."""
+    ops, tree, actors, fields = _plan(spark, sf_dir)
+    store = snapshots.Versions(spark, new_folder(spark, "actors"))
+    base = store.commit(-1, table=actors)
+    halves = [ops.where("n % 2 = 0"), ops.where("n % 2 = 1")]
+    after = [planning.apply(planning.plan(h, tree, store.read(version=base), fields), store.read(version=base), partial=True) for h in halves]
+    store.commit(base, table=after[0])
+    try:
+        store.commit(base, table=after[1])
+    except snapshots.Moved:
+        now = store.latest()
+        store.commit(now, table=planning.apply(planning.plan(halves[1], tree, store.read(version=now), fields), store.read(version=now), partial=True))
+    return store.read().select("id", "title", "ref", F.col("data")["st"].alias("status"), F.col("data")["am"].alias("amount"), "hole")
+
+
+def adopted_creates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK08: creates whose records others have made since the plan adopt them; the rest are created."""
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    there = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), k).alias("id"), F.lit("cust").alias("slug"), F.col("c_name").alias("title"), F.lit("").alias("description"), F.concat(F.lit("r"), k).alias("ref"), F.lit("").alias("picture"), F.create_map(F.lit("st"), F.lit('"old"')).alias("data"), F.lit(False).alias("hole"))
+    blank = F.lit(None).cast("string")
+    ops = c.where("c_custkey % 3 = 0").select(k.alias("n"), blank.alias("id"), blank.alias("at"), F.lit("cust").alias("type"), F.concat(F.lit("r"), k).alias("ref"), F.create_map(F.lit("status"), F.lit('"A"')).alias("set"), blank.alias("rename"), blank.alias("describe"), blank.alias("picture"))
+    fields = spark.createDataFrame([("cust", 0, "status", "st", "string", True)], "slug string, ord int, name string, id string, type string, writable boolean")
+    tree = spark.createDataFrame([("world", "x", "x")], "layer string, id string, path string")
+    after = planning.apply(planning.plan(ops, tree, there.where("false"), fields), there)
+    return after.select("ref", F.col("data")["st"].alias("status"), F.col("id").startswith("c").alias("was_there"))
+
+
+def settled_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.11 fixed point: an order without a value takes that of the order before, round by round, twenty at most."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("before"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice").cast("decimal(18,2)")).alias("value"))
+
+    def step(todo: DataFrame, fresh: DataFrame) -> DataFrame:
+        given = fresh.select(F.col("k").alias("before"), F.col("value").alias("_given"))
+        return todo.join(given, "before", "left").select("k", "before", F.col("_given").alias("value"), F.col("_given").isNotNull().alias("done"))
+
+    done, _, _ = rounds.until_settled(o.where("value IS NULL"), step, o.where("value IS NOT NULL"))
+    return done.select("k", "value", F.col("round").cast("long").alias("round"))
+
+
+QUERIES = {f.__name__: f for f in (ledger_stream, statement_stream, deep_ways, ring_ways, band_tokens, band_claims, picture_budget, unsorted_lines, nearest_names, layer_pages, layer_export, path_index_rename, versioned_apply, adopted_creates, settled_rounds)}
 
 ORACLES = {
     "ledger_stream": """
@@ -144,4 +223,18 @@ WITH f AS (SELECT CAST(p_size AS VARCHAR) AS slug, p_name AS name, min(p_partkey
 u AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS slug, CASE p_partkey % 4 WHEN 0 THEN 'x' || substr(p_name, 2) WHEN 1 THEN substr(p_name, 3) || 'y' WHEN 2 THEN substr(p_name, 1, 5) ELSE p_name || 'abcd' END AS field FROM part),
 d AS (SELECT u.slug, field, name, ord, levenshtein(field, name) AS d FROM u JOIN f ON u.slug = f.slug)
 SELECT slug, field, arg_min(name, d * 100000000 + ord) AS suggestion FROM d WHERE d <= least(3, greatest(1, length(field) // 3)) GROUP BY 1, 2""",
+    "layer_pages": "SELECT 'n' || c_nationkey AS layer, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS ord, c_custkey AS id, c_name AS title FROM customer",
+    "layer_export": """
+SELECT r_name AS path, 'r' || r_regionkey AS id, true AS exported FROM region UNION ALL SELECT r_name || ' > ' || n_name, 'n' || n_nationkey, true FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name || ' > ' || n_name || ' > ' || c_name, 'c' || c_custkey, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "path_index_rename": """
+WITH p AS (SELECT r_name, n_name, CASE WHEN r_name = 'ASIA' THEN 'FAR EAST' ELSE r_name END AS now FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT DISTINCT unnest([n_name, r_name || ' > ' || n_name, 'FAR EAST > ' || n_name]) AS addr FROM p), h AS (SELECT now || ' > ' || n_name AS path, n_name FROM p),
+n AS (SELECT 1 + count(DISTINCT n_nationkey) + count(c_custkey) AS written FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey WHERE r_name = 'ASIA')
+SELECT addr, CASE WHEN path IS NULL THEN 'missing' ELSE 'found' END AS verdict, path, (SELECT written FROM n) AS written FROM a LEFT JOIN h ON addr = h.n_name OR addr = h.path""",
+    "versioned_apply": GRAPH_ORACLES["plan_apply"],
+    "adopted_creates": "SELECT 'r' || c_custkey AS ref, CASE WHEN c_custkey % 3 = 0 THEN 'A' ELSE '\"old\"' END AS status, c_custkey % 2 = 0 AS was_there FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "settled_rounds": """
+WITH o AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS v, sum(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g, o_custkey FROM orders)
+SELECT k, value, round FROM (SELECT k, first_value(v) OVER w AS value, row_number() OVER w - 1 AS round, g FROM o WINDOW w AS (PARTITION BY o_custkey, g ORDER BY k)) WHERE g > 0 AND round BETWEEN 1 AND 20""",
 }

@@ -105,12 +105,21 @@ def parse_ops(text: str) -> dict:
     return doc
 
 
+#: The columns of op_rows(), as planning.plan() reads them; the last three are refused there.
+OP_ROW = "n long, id string, at string, type string, ref string, set map<string,string>, rename string, describe string, picture string, under string, create string, append string"
+
+
 def op_rows(doc: dict) -> list[tuple]:
-    """Rows for planning.plan(): values as JSON texts; a day is its ISO text."""
+    """Rows of OP_ROW: values as JSON texts; a day is its ISO text."""
+
     def value(v) -> str:
         return json.dumps(v, ensure_ascii=False, default=str)
 
-    return [(n, *(o.get(k) for k in ("id", "at", "type", "ref")), {k: value(v) for k, v in (o.get("set") or {}).items()} or None, *(o.get(k) for k in ("rename", "describe", "picture"))) for n, o in enumerate(doc["ops"], 1)]
+    def row(n: int, o: dict) -> tuple:
+        shapes = (value(o[k]) if o.get(k) else None for k in ("under", "create", "append"))
+        return (n, *(o.get(k) for k in ("id", "at", "type", "ref")), {k: value(v) for k, v in (o.get("set") or {}).items()} or None, *(o.get(k) for k in ("rename", "describe", "picture")), *shapes)
+
+    return [row(n, o) for n, o in enumerate(doc["ops"], 1)]
 
 
 def stamped(text: str, ids: dict[int, str]) -> tuple[str, int, list[str]]:
