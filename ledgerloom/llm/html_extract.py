@@ -12,10 +12,13 @@ weighs like any other and any weight at all is a surge, so that one-word paragra
 stay.
 
 A name that only states something of a wrapper (has-sidebar, comments-open) names no
-part, and neither does a compound name or a form around WRAPPER_PERCENT of the text that
-stands outside parts proper.  A marked article speaks inside a form and inside wrappers
-with compound names.  Inside a part proper (aside, class "comments") it is taken for a
-comment or a teaser, unless the page marks no other text.  Hidden stays hidden.
+part.  A form, or an element whose compound name says where it stands (sidebar-layout),
+is a wrapper and no part if it holds running text and the title of the page; on a page
+without one, its first article or heading with no running text before it.  Comments,
+adverts and notices stay parts whatever they hold.  An article inside a part is taken
+for a comment or a teaser, unless there is no other text.  Hidden stays hidden.
+
+Link text within one element's lines, and paragraphs that follow them, belong to them.
 
 Character references are decoded, white space inside a line becomes one space,
 and lines are joined by one newline.  Nothing is cut off.
@@ -31,15 +34,16 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.llm import shared
 
 WINDOW, SURGE = 3, 60
-WRAPPER_PERCENT = 80
 LOOSE, PROPER, HIDDEN = 1, 2, 3
 
 # HTML's elements by role, and names of page parts.
@@ -51,6 +55,8 @@ HEAD = frozenset("head html base basefont bgsound link meta title script style n
 STATES = frozenset("has with without no is are open opened closed enabled disabled allowed visible hidden on off".split())
 STACKED = frozenset("html body article main div section nav header footer aside form ul ol dl menu table tbody thead tfoot tr td th figure fieldset select button dialog details label span p li blockquote".split())
 PARTS = frozenset("nav aside footer form menu select button dialog fieldset".split())
+#: Elements that hold runs of lines: lines of one such element belong together.
+HOMES = frozenset("html body article main div section header footer aside nav form table td th blockquote figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
@@ -58,27 +64,33 @@ NAMES = frozenset(
     "notice notices alert alerts warning popup modal overlay toast newsletter subscribe subscription signup signin login register search comment comments reply "
     "replies respond disqus discussion pagination pager tags copyright legal disclaimer toolbar complementary contentinfo skip".split()
 )
+#: Names that say where a part stands; a compound of them may name a wrapper of the whole page by its layout.
+LAYOUT = frozenset("nav navbar navigation menu header footer sidebar sidenav aside banner topbar toolbar masthead widget widgets".split())
+#: A compound of one of these with `header` is the head of the text.
+CONTENT = frozenset("article post entry story content section body text blog news title headline chapter recipe".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s\"'<>][^\s<>]*)|[^<>=]|=)*+)(?:>|$|(?=<))", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-def _part(tag: str, attributes: str, inside: bool) -> int:
-    """Does this element begin a part of the page that is not its text?  LOOSE, PROPER or HIDDEN if so, else 0."""
-    named = 0
+def _part(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """Does this element begin a part of the page that is not its text?  LOOSE, PROPER or HIDDEN if so, else 0; and do all its names say where it stands?"""
+    named, layout = 0, True
     if attributes and tag not in ("html", "body", "article", "main"):
         if _HIDDEN.search(attributes):
-            return HIDDEN
+            return HIDDEN, False
         for m in _NAMED.finditer(attributes):
             for token in (m[1] or m[2] or m[3] or "").lower().split():
                 words = _WORD.findall(token)
                 for name in words:
-                    if name in NAMES and not (name == "header" and inside) and not STATES.intersection(words):
-                        named = max(named, PROPER if name == token else LOOSE)
+                    if name not in NAMES or STATES.intersection(words) or (name == "header" and (inside or CONTENT.intersection(words))):
+                        continue
+                    named = max(named, PROPER if name == token else LOOSE)
+                    layout = layout and name in LAYOUT
     if tag in PARTS or (tag == "header" and not inside):
-        return max(named, LOOSE if tag in ("form", "fieldset") else PROPER)
-    return named
+        return max(named, LOOSE if tag in ("form", "fieldset") else PROPER), layout
+    return named, layout
 
 
 def _past(page: str, tag: str, at: int) -> int:
@@ -94,17 +106,46 @@ def _past(page: str, tag: str, at: int) -> int:
     return len(page)
 
 
-def _read(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, int]], int]:
-    """The lines of a page; place and characters of each LOOSE part, without what other parts in it hold; those of the page.
+Line = tuple[str, int, bool, int, int, bool]  # text, weight, heading, marked, home, paragraph
 
-    The elements at the places `wrappers` are no parts.
-    """
-    out: list[tuple[str, int, bool, int]] = []
+
+class _Found:
+    """What a reading of a page has met: its loose parts, and where its first heading of the first order, article and heading of any order stand."""
+
+    def __init__(self):
+        self.loose: list[tuple[int, int, int, int, bool]] = []  # begin, end, plain text outside parts before it, plain text in it, layout
+        self.h1 = self.article = self.heading = -1
+
+    def wrappers(self) -> frozenset[int]:
+        """Loose parts that hold the text instead of standing beside it.
+
+        Such a part is named by its layout alone, holds running text, and holds the
+        page's title; or, on a page without one, its first article or else its first
+        heading, with no running text outside parts before it.
+        """
+        mark = self.article if self.article >= 0 else self.heading
+        out = []
+        for begin, end, before, held, layout in self.loose:
+            titled = begin < self.h1 < end if self.h1 >= 0 else begin < mark < end and before < SURGE
+            if layout and held >= SURGE and titled:
+                out.append(begin)
+        return frozenset(out)
+
+    def last_resort(self) -> frozenset[int]:
+        """All loose parts around the title, article or heading: for a page without text outside parts."""
+        mark = next((x for x in (self.h1, self.article, self.heading) if x >= 0), -1)
+        return frozenset(begin for begin, end, *_ in self.loose if begin < mark < end)
+
+
+def _read(page: str, wrappers: frozenset[int]) -> tuple[list[Line], _Found]:
+    """The lines of a page and what it holds; the elements at the places `wrappers` are no parts."""
+    out: list[Line] = []
+    found = _Found()
     text: list[str] = []
-    stack: list[tuple[str, int, int, int, int, int]] = []  # tag, article, `quiet` and `marked` outside it, and for a loose part its place and `seen` before it
-    loose: list[tuple[int, int]] = []
-    linked = other = quiet = inside = marked = seen = 0
-    heading = in_link = head = False
+    stack: list[tuple[str, int, int, int, int, int, int, bool, int]] = []  # tag, article, `quiet`, `marked` and `home` outside it, and for a loose part its place, the plain text before it outside parts and at all, and its layout
+    open_tags: Counter = Counter()
+    linked = other = quiet = inside = marked = plain = seen = home = homes = 0
+    heading = in_link = head = paragraph = False
     at, size = 0, len(page)
 
     def close() -> None:
@@ -115,16 +156,17 @@ def _read(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, boo
             weight = len(joined) if not linked or inside else max(0, len(joined) - linked)
             if linked > other and not inside:
                 weight = 0
-        out.append((joined, weight, heading, marked))
+        out.append((joined, weight, heading, marked, home, paragraph))
         text.clear()
         linked = other = 0
 
     def leave() -> str:
-        nonlocal quiet, marked, inside
-        name, article, quiet, marked, place, before = stack.pop()
+        nonlocal quiet, marked, inside, home
+        name, article, quiet, marked, home, place, before, layout, had = stack.pop()
+        open_tags[name] -= 1
         inside -= article
         if place >= 0:
-            loose.append((place, seen - before))
+            found.loose.append((place, at, before, seen - had, layout))
         return name
 
     while at < size:
@@ -134,8 +176,11 @@ def _read(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, boo
             long = len(piece.strip())
             if long and head:
                 head = False
-            if quiet < PROPER and not head:
-                seen += long
+            if not head and not in_link:
+                if quiet < PROPER:
+                    seen += long
+                if not quiet:
+                    plain += long
             if not quiet and not head:
                 text.append(piece)
                 if in_link:
@@ -159,39 +204,55 @@ def _read(page: str, wrappers: frozenset[int]) -> tuple[list[tuple[str, int, boo
         if tag in BLOCK:
             close()
             heading = tag in HEADINGS and not ends
+            paragraph = tag == "p" and not ends
+        if not ends and quiet < PROPER:
+            if tag == "h1" and found.h1 < 0:
+                found.h1 = m.start()
+            if tag in HEADINGS and found.heading < 0:
+                found.heading = m.start()
+            if tag in ("article", "main") and found.article < 0:
+                found.article = m.start()
         if tag == "a":
             in_link = not ends
         if tag in STACKED:
             if not ends:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
                     leave()
-                flag = 0 if m.start() in wrappers else _part(tag, m[3], inside > 0)
+                flag, layout = (0, False) if m.start() in wrappers else _part(tag, m[3], inside > 0)
                 article = tag in ("article", "main")
                 if not m[3].endswith("/"):
-                    stack.append((tag, article, quiet, marked, m.start() if flag == LOOSE else -1, seen))
+                    stack.append((tag, article, quiet, marked, home, m.start() if flag == LOOSE else -1, plain, layout, seen))
+                    open_tags[tag] += 1
                     inside += article
+                    if tag in HOMES:
+                        homes += 1
+                        home = homes
                     if article and quiet < HIDDEN:
-                        marked = 1 if quiet == PROPER or marked == 1 else 2
+                        marked = 1 if quiet or marked == 1 else 2
                         quiet = 0
                     quiet = max(quiet, flag)
-            elif any(s[0] == tag for s in stack):
+            elif open_tags[tag]:
                 while leave() != tag:
                     pass
     close()
     while stack:
         leave()
-    return out, loose, seen
+    return out, found
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, weight, heading, marked) of every line; marked: 2 inside the article that the page names, 1 if that is inside another part.
+def lines_of(page: str) -> list[Line]:
+    """(text, weight, heading, marked, home, paragraph) of every line; marked: 2 inside the article that the page names, 1 if that is inside another part.
 
-    Lines of other page parts are empty.  An element that is named like a part, but holds
-    nearly all text that the page has outside parts proper, is the page's wrapper.
+    Lines of other page parts are empty.  Whether an element that is named like a part
+    is one follows from its names and from what it holds, never from its share of the page.
     """
-    lines, loose, seen = _read(page, frozenset())
-    wrappers = frozenset(place for place, held in loose if held and held * 100 >= seen * WRAPPER_PERCENT)
-    return _read(page, wrappers)[0] if wrappers else lines
+    lines, found = _read(page, frozenset())
+    wrappers = found.wrappers()
+    if wrappers:
+        lines, _ = _read(page, wrappers)
+    if not any(x[1] for x in lines) and found.last_resort():
+        lines, _ = _read(page, found.last_resort())
+    return lines
 
 
 def extract(page: str | None) -> str:
@@ -199,9 +260,13 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
+    empty = ("", 0, False, 0, 0, False)
     most = max((x[3] for x in lines if x[1]), default=0)
+    if most == 1 and any(x[1] and not x[3] for x in lines):  # articles inside parts, comments perhaps, are no match for text outside
+        most = 0
+        lines = [x if not x[3] else empty for x in lines]
     if most:
-        lines = [x if x[3] == most else ("", 0, False, 0) for x in lines]
+        lines = [x if x[3] == most else empty for x in lines]
         least = 1
     else:
         least = SURGE
@@ -226,6 +291,17 @@ def extract(page: str | None) -> str:
         i = end + 1
     if least == SURGE and not any(kept):
         kept = [w > 0 for w in weights]  # a page of nothing but short lines
+    # Quiet lines between two kept ones of one element belong to it, and so do paragraphs that follow one.
+    last = -1
+    for i, k in enumerate(full):
+        if kept[k]:
+            if last >= 0 and i - last > 1 and lines[full[last]][4] == lines[k][4] and all(lines[full[j]][4] == lines[k][4] for j in range(last, i)):
+                for j in range(last, i):
+                    kept[full[j]] = True
+            last = i
+        elif last == i - 1 >= 0 and lines[k][5] and lines[k][4] == lines[full[last]][4]:
+            kept[k] = True
+            last = i
     # A heading leads into the text after it over quiet lines too.
     for k in range(n):
         if lines[k][2] and lines[k][0] and not kept[k] and any(kept[k + 1 : k + 1 + 4 * WINDOW]):
@@ -236,14 +312,13 @@ def extract(page: str | None) -> str:
 def texts(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Appends the main text of every page; the other columns but the HTML stay."""
     keep = [c for c in pages.columns if c not in (html, out)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep), f"`{out}` string"])
+    schema = StructType([*(f for f in pages.schema if f.name in keep), StructField(out, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pages = batch.column(len(keep))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([extract(p.as_py()) for p in pages], pa.string())], [*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([extract(p.as_py()) for p in batch.column(len(keep))], pa.string())], [*keep, out])
 
-    return pages.select(*(f"`{c}`" for c in keep), f"`{html}`").mapInArrow(shared.lean(run), schema)
+    return shared.mapped(pages.select(*(shared._named(c) for c in keep), shared._named(html)), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

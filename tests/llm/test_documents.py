@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import jaccard_join, quality_rules, secret_scan, sentence_pieces, suffix_dedup
+from ledgerloom.llm import html_extract, jaccard_join, quality_rules, secret_scan, sentence_pieces, suffix_dedup
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, source string, score double, n_words long, spans string, lang string"
@@ -310,3 +311,48 @@ def test_pieces_of_odd_texts():
     encoder = sentence_pieces.Encoder(sentence_pieces.Vocabulary(sentence_pieces.load()))
     odd = ["", " ", "   a", "▁", "▁▁x ▁", "￿▁", "\x00\t\r\n", "😀 あ", "a" * 5000]
     assert [b.decode() for b in encoder.decode(encoder.encode(odd))] == odd
+
+
+# --- pages whose comments outweigh their text
+
+LONG = "A long sentence of the article goes here, and on. "
+ARTICLE = f"<h1>Title of it</h1><p>{LONG * 3}</p><p>Second paragraph of the article with more words in it.</p>"
+READERS = [f"Reader {i} says that this is a very fine article and wishes for more of it." for i in range(20)]
+DIVS = "".join(f"<div><p>{r}</p></div>" for r in READERS)
+ARTICLES = "".join(f"<article><p>{r}</p></article>" for r in READERS)
+WANT = f"Title of it\n{(LONG * 3).strip()}\nSecond paragraph of the article with more words in it."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='content'>{ARTICLE}</div><div class='comment-list'>{DIVS}</div>",
+    f"<body><article>{ARTICLE}</article><div class='comment-list'>{DIVS}</div>",
+    f"<body><article>{ARTICLE}<section class='comments-section'>{DIVS}</section></article>",
+    f"<body><div id='comments'>{ARTICLES}</div><div class='content'>{ARTICLE}</div>",
+    f"<body><div class='content'>{ARTICLE}</div><div class='comments-section'>{ARTICLES}</div>",
+    f"<body><div class='ad-container'><p>{'Buy this now and save a lot of money today. ' * 40}</p></div><div>{ARTICLE}</div>",
+    f"<body><div class='sidebar-layout'><div>{ARTICLE}</div></div>",
+    f"<body><form id='aspnet'><div>{ARTICLE}</div></form>",
+    f"<body><div class='site-header'><a href=/>Home</a> <b>Daily</b></div><div class='article-header'><h1>Title of it</h1></div><div>{ARTICLE[20:]}</div>",
+])
+def test_parts_leave_whatever_their_share(page):
+    assert html_extract.extract(page) == WANT
+
+
+def test_linked_lines_of_the_text_stay():
+    items = "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(5))
+    assert html_extract.extract(f"<body><div>{ARTICLE}<p><a href=x>Read the full report</a></p></div>") == f"{WANT}\nRead the full report"
+    last = "Third paragraph of the article, which closes it with a long line."
+    got = html_extract.extract(f"<body><div>{ARTICLE}<ul>{items}</ul><p>{last}</p></div><div><ul>{items}</ul></div>")
+    assert got == "\n".join([WANT, *(f"Item {i}" for i in range(5)), last])
+
+
+def test_deep_pages_are_read_in_linear_time():
+    began = time.time()
+    assert html_extract.extract("<div>" * 100_000 + "</p>" * 2000 + "<p>word</p>") == "word"
+    assert time.time() - began < 10
+
+
+def test_pages_with_dotted_columns(spark):
+    df = spark.createDataFrame([("x", f"<body>{ARTICLE}", 1), (None, None, 2)], "`a.b` string, html string, `text` int")
+    got = html_extract.texts(df)
+    assert got.columns == ["a.b", "text"] and [tuple(r) for r in got.collect()] == [("x", WANT), (None, "")]
