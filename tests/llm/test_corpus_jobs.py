@@ -12,6 +12,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import bin_compaction as bc, kd_clusters as kd, phrase_automata as pa_
 
@@ -127,7 +128,7 @@ def test_compaction(spark):
     start = dt.datetime(2024, 1, 1)
     rows = [(rng.randint(1, 3000), start + dt.timedelta(days=min(9, int(rng.expovariate(0.4))), seconds=rng.randint(0, 86399)), rng.choice([None, 1.005, -2.5, 3.0]), "k") for _ in range(1500)]
     rows += [(None, start, 1.0, "k"), (None, None, 2.0, "k"), (7, None, float("nan"), "k"), (8, dt.datetime(1969, 12, 31, 23), float("inf"), None), *rows[:5]]
-    df = spark.createDataFrame(rows, "click_id long, arrived_at timestamp_ntz, value double, day string").repartition(3)
+    df = spark.createDataFrame(rows, "click_id long, arrived_at timestamp_ntz, value double, day string").withColumn("x.y", F.lit("z")).repartition(3)
     got = check_compaction(spark, df, rows)
     assert any(r.rewritten for r in got) and not all(r.rewritten for r in got)
 
