@@ -14,8 +14,8 @@ a smaller doc_id; everything is judged on the input texts.
     Each shard's Burrows-Wheeler transform is interleaved with the others by
     iterative refinement: a round deals the suffixes out in the order of the round
     before, which doubles the bytes that they are ordered by, and marks where
-    neighbours begin to differ, which bounds their common prefix.  Suffixes of
-    different shards are never compared or sorted again.  Once LENGTH bytes are
+    neighbours begin to differ, which bounds their common prefix.  A round ranks the
+    suffixes that are not settled yet anew, over all shards.  Once LENGTH bytes are
     read, the runs without a mark are the repeated intervals; each gets its smallest
     doc_id.
 4.  The verdicts go back to the blocks, where covered bytes are counted and removed.
