@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.functions import records
@@ -173,42 +171,7 @@ def joined_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(k.alias("k"), F.array_join(F.transform(statements.joined_thousands(cells), lambda c: c["text"]), "|").alias("texts"))
 
 
-def _layer(spark: SparkSession, sf_dir: str) -> list[tuple]:
-    """The rows of a small sidecar: nations and their regions."""
-    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    return [tuple(x) for x in n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_regionkey", "r_name").orderBy("n_nationkey").collect()]
-
-
-def ids_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC22: paths and ids of an ids file."""
-    from ledgerloom.sources import sidecars  # needs a YAML reader, the other queries do not
-
-    layer, ids = sidecars.parse_ids(json.dumps({"layer": "world", "sep": " > ", "paths": {f"{r} > {n}": f"n{k}" for k, n, _, r in _layer(spark, sf_dir)}}))
-    return spark.createDataFrame([(layer, p, i) for p, i in ids.items()], "layer string, path string, id string")
-
-
-def types_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC23, SK04: the fields of a type dictionary, written and read back."""
-    from ledgerloom.sources import sidecars  # needs a YAML reader, the other queries do not
-
-    rows = _layer(spark, sf_dir)
-    types = sorted({(r.lower(), k + 1, r.title(), f"all  of\n{r}") for _, _, k, r in rows})
-    fields = [(r.lower(), k, n.lower(), f"item_{k}", "int" if k % 2 else "string", f"The  {n}" if k % 3 else "", k % 4 > 0) for k, n, _, r in rows]
-    read_types, read_fields = sidecars.parse_types(sidecars.types_document("world", types, fields))
-    t = spark.createDataFrame(read_types, "slug string, form_id long, form_title string, description string")
-    return spark.createDataFrame(read_fields, "slug string, ord int, name string, id string, type string, title string, writable boolean").join(t, "slug")
-
-
-def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC33, SK10: the lists of a result, written and read back."""
-    from ledgerloom.sources import sidecars  # needs a YAML reader, the other queries do not
-
-    made = [(f"n{k}", ("hole", "updated", "created")[k % 3]) for k, *_ in _layer(spark, sf_dir)]
-    buckets, _ = sidecars.parse_result(sidecars.result_document(made, []))
-    return spark.createDataFrame(buckets, "id string, bucket string")
-
-
-QUERIES = {f.__name__: f for f in (header_choice, column_arithmetic, row_starts, date_edges, sheet_preview, sheet_money, node_records, listed_edges, form_records, case_verdicts, suite_tally, big_columns, column_headers, glued_amounts, written_lines, unsorted_dates, printed_totals, gap_signatures, joined_amounts, ids_file, types_file, result_file)}
+QUERIES = {f.__name__: f for f in (header_choice, column_arithmetic, row_starts, date_edges, sheet_preview, sheet_money, node_records, listed_edges, form_records, case_verdicts, suite_tally, big_columns, column_headers, glued_amounts, written_lines, unsorted_dates, printed_totals, gap_signatures, joined_amounts)}
 
 _SHEETS = """
 WITH s AS (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS row_no, p_name, (p_partkey % 1000) || '.25' AS price, p_partkey % 2 = 0 AS even, p_brand FROM part)
@@ -259,9 +222,4 @@ SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS file, o_orderkey AS line_no,
     "printed_totals": "SELECT o_orderkey AS line_no, o_orderkey % 9 + 1 AS page, CASE o_orderkey % 4 WHEN 0 THEN 'Total debit 1,200.00' ELSE 'TOTAL: 5.00' END AS text FROM orders WHERE o_orderkey % 4 IN (0, 3) AND o_orderkey % 9 IN (0, 1, 7, 8)",
     "gap_signatures": "SELECT o_orderkey AS k, CASE CASE WHEN o_orderkey = 0 THEN 6 ELSE o_orderkey % 7 END WHEN 0 THEN 'whole_side' WHEN 4 THEN 'no_single_row' WHEN 5 THEN 'no_single_row' WHEN 6 THEN 'no_single_row' ELSE 'over_half' END AS reading FROM orders",
     "joined_amounts": "SELECT o_orderkey AS k, (o_orderkey % 9 + 1) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE '|' END || '234567.80|900' AS texts FROM orders",
-    "ids_file": "SELECT 'world' AS layer, r_name || ' > ' || n_name AS path, 'n' || n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey",
-    "types_file": """
-SELECT lower(r_name) AS slug, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY lower(n_name)) - 1 AS INT) AS ord, lower(n_name) AS name, 'item_' || n_nationkey AS id, CASE WHEN n_nationkey % 2 = 1 THEN 'int' ELSE 'string' END AS type, CASE WHEN n_nationkey % 3 > 0 THEN 'The ' || n_name ELSE '' END AS title, n_nationkey % 4 > 0 AS writable,
-  r_regionkey + 1 AS form_id, array_to_string(list_transform(string_split(r_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS form_title, 'all of ' || r_name AS description FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "result_file": "SELECT 'n' || n_nationkey AS id, list_extract(['hole', 'updated', 'created'], CAST(n_nationkey % 3 + 1 AS INT)) AS bucket FROM nation",
 }

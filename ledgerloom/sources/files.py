@@ -1,4 +1,8 @@
-"""Readers (SC01-SC09, SC30): all through Spark's own file access, so any store that Spark reads works."""
+"""Readers (SC01-SC09, SC30): all through Spark's own file access, so any store that Spark reads works.
+
+A source is a path, or a table of (path, content) where files are already held in one; a
+row without content has no rows.
+"""
 
 from __future__ import annotations
 
@@ -16,18 +20,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ROWS = "file string, page int, row_no long, top double, cells array<struct<text:string,x0:double,x1:double>>"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+Source = str | DataFrame
+
+
+def contents(spark: SparkSession, source: Source) -> DataFrame:
+    """(path, content) of the files of a source."""
+    held = source if isinstance(source, DataFrame) else spark.read.format("binaryFile").load(source)
+    return held.select("path", "content").where("content IS NOT NULL")
+
+
+def lines(spark: SparkSession, path: Source) -> DataFrame:
     """(file, line_no, raw) of every line.
 
     Files are read whole and split natively, since a line's number is part of its
     meaning; a statement file is megabytes, and files spread over the cluster.
     """
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("t"))
+    whole = contents(spark, path).select(F.col("path").alias("file"), F.decode("content", "utf-8").alias("t"))
     split = whole.select("file", F.posexplode(F.split("t", "\r\n|\n|\r")).alias("n", "raw"))
     return split.select("file", (F.col("n") + 1).cast("long").alias("line_no"), "raw")
 
 
-def _by_file(spark: SparkSession, path: str, read: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
+def _by_file(spark: SparkSession, path: Source, read: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
     names = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", schema)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,7 +55,7 @@ def _by_file(spark: SparkSession, path: str, read: Callable[[str, bytes], Iterat
                 if part:
                     yield pd.DataFrame(part, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return contents(spark, path).mapInPandas(run, schema)
 
 
 def tabular(values: list, page: int = 1) -> list[dict]:
@@ -58,31 +71,31 @@ def sniffed(head: str) -> str:
         return ","
 
 
-def delimited(spark: SparkSession, path: str, header_rows: int = 0, delimiter: str | None = None, encoding: str = "utf-8-sig") -> DataFrame:
-    """SC03: delimited text; the delimiter is sniffed from the first 8 KiB, row order is kept."""
+def _delimited_rows(name: str, content: bytes, header_rows: int = 0, delimiter: str | None = None, encoding: str = "utf-8-sig") -> Iterator[tuple]:
+    text = content.decode(encoding, "replace")
+    for n, values in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter or sniffed(text[:8192]))):
+        if n >= header_rows:
+            yield name, 1, n, float(n), tabular(values)
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        text = content.decode(encoding, "replace")
-        for n, values in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter or sniffed(text[:8192]))):
-            if n >= header_rows:
-                yield name, 1, n, float(n), tabular(values)
 
-    return _by_file(spark, path, read, ROWS)
+def _fixed_rows(name: str, content: bytes, encoding: str = "utf-8") -> Iterator[tuple]:
+    n = 0
+    for page, body in enumerate(content.decode(encoding, "replace").split("\f"), 1):
+        for line in body.splitlines():
+            n += 1
+            cells = [{"text": m[0], "x0": float(m.start()), "x1": float(m.end())} for m in re.finditer(r"\S+", line)]
+            if cells:
+                yield name, page, n, float(n), cells
 
 
-def fixed_width(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """SC06: words of text lines with their character offsets; form feeds end pages."""
+def delimited(spark: SparkSession, path: Source, header_rows: int = 0, delimiter: str | None = None, encoding: str = "utf-8-sig") -> DataFrame:
+    """SC03: delimited text; the delimiter is sniffed from the first 8 KiB, row order is kept."""
+    return _by_file(spark, path, lambda name, content: _delimited_rows(name, content, header_rows, delimiter, encoding), ROWS)
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        n = 0
-        for page, body in enumerate(content.decode(encoding, "replace").split("\f"), 1):
-            for line in body.splitlines():
-                n += 1
-                cells = [{"text": m[0], "x0": float(m.start()), "x1": float(m.end())} for m in re.finditer(r"\S+", line)]
-                if cells:
-                    yield name, page, n, float(n), cells
 
-    return _by_file(spark, path, read, ROWS)
+def fixed_width(spark: SparkSession, path: Source, encoding: str = "utf-8") -> DataFrame:
+    """SC06: words of text lines with their character offsets; form feeds end pages."""
+    return _by_file(spark, path, lambda name, content: _fixed_rows(name, content, encoding), ROWS)
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -162,42 +175,58 @@ def sheets(content: bytes, only: str | None = None) -> Iterator[tuple[str, list[
             yield sheet.get("name"), rows
 
 
-def workbook(spark: SparkSession, path: str, sheet: str | None = None, header_rows: int = 0) -> DataFrame:
-    """SC04: the rows of the named or first sheet of each workbook."""
+def _sheet_rows(name: str, content: bytes, sheet: str | None = None, header_rows: int = 0) -> Iterator[tuple]:
+    for _, rows in sheets(content, sheet):
+        for n, values in enumerate(rows):
+            if n >= header_rows:
+                yield name, 1, n, float(n), tabular(values)
+        return
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        for _, rows in sheets(content, sheet):
-            for n, values in enumerate(rows):
-                if n >= header_rows:
-                    yield name, 1, n, float(n), tabular(values)
-            return
 
-    return _by_file(spark, path, read, ROWS)
+def _table_rows(name: str, content: bytes, header_rows: int = 0) -> Iterator[tuple]:
+    for n, values in enumerate(word_rows(content)):
+        if n >= header_rows:
+            yield name, 1, n, float(n), tabular(values)
+
+
+def workbook(spark: SparkSession, path: Source, sheet: str | None = None, header_rows: int = 0) -> DataFrame:
+    """SC04: the rows of the named or first sheet of each workbook."""
+    return _by_file(spark, path, lambda name, content: _sheet_rows(name, content, sheet, header_rows), ROWS)
 
 
-def word_tables(spark: SparkSession, path: str, header_rows: int = 0) -> DataFrame:
+def word_tables(spark: SparkSession, path: Source, header_rows: int = 0) -> DataFrame:
     """SC05: table rows of word-processor documents."""
+    return _by_file(spark, path, lambda name, content: _table_rows(name, content, header_rows), ROWS)
 
-    def read(name: str, content: bytes) -> Iterator[tuple]:
-        for n, values in enumerate(word_rows(content)):
-            if n >= header_rows:
-                yield name, 1, n, float(n), tabular(values)
 
-    return _by_file(spark, path, read, ROWS)
+KINDS = ("csv", "tsv", "xlsx", "xlsm", "docx", "txt")
 
 
-def rows(spark: SparkSession, path: str, spec) -> DataFrame:
-    """SC08: the reader for a path's extension."""
+def _kind(path: str) -> str:
     kind = path.rsplit(".", 1)[-1].lower()
-    if kind in ("csv", "tsv"):
-        return delimited(spark, path, spec.header_rows, spec.delimiter, spec.encoding)
-    if kind in ("xlsx", "xlsm"):
-        return workbook(spark, path, spec.sheet, spec.header_rows)
-    if kind == "docx":
-        return word_tables(spark, path, spec.header_rows)
-    if kind == "txt":
-        return fixed_width(spark, path)
-    raise ValueError(f"no reader for .{kind}: convert legacy formats first; give PDF pages as a words table")
+    if kind not in KINDS:
+        raise ValueError(f"no reader for .{kind}: convert legacy formats first; give PDF pages as a words table")
+    return kind
+
+
+def rows(spark: SparkSession, path: Source, spec) -> DataFrame:
+    """SC08: each file by the reader for its extension; a folder or a table may mix them.
+
+    A file of another kind ends the job, by its own name if the path names it.
+    """
+    header, delimiter, encoding, sheet = spec.header_rows, spec.delimiter, spec.encoding, spec.sheet
+    if isinstance(path, str) and "." in path.rsplit("/", 1)[-1]:
+        _kind(path)
+
+    def read(name: str, content: bytes) -> Iterator[tuple]:
+        kind = _kind(name)
+        if kind in ("csv", "tsv"):
+            return _delimited_rows(name, content, header, delimiter, encoding)
+        if kind in ("xlsx", "xlsm"):
+            return _sheet_rows(name, content, sheet, header)
+        return _table_rows(name, content, header) if kind == "docx" else _fixed_rows(name, content)
+
+    return _by_file(spark, path, read, ROWS)
 
 
 def document_text(name: str, content: bytes, notes: bool = False) -> str:
@@ -235,7 +264,7 @@ def document_text(name: str, content: bytes, notes: bool = False) -> str:
         return "\n".join(o for o in out if o.strip())
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: Source) -> DataFrame:
     """(file, text, error) of every office or HTML document under a path; a bad file is a row, not a failure."""
 
     def read(name: str, content: bytes) -> Iterator[tuple]:

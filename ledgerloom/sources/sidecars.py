@@ -1,6 +1,6 @@
 """Small files beside a layer: ids, types, ops, values, results and settings (SC22-SC27, SC33-SC34, SK02-SK05, SK09-SK10).
 
-They are read and written on the driver: each describes one layer or one run.
+Each describes one layer or one run; layer_files reads and writes those of many as tables.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ RESULT_COUNTS = ("количество заполненных дырок", "ко
 RESULT_LISTS = ("заполненные дырки", "обновленные акторы", "созданные акторы", "проведенные выписки")
 
 
-class _Yaml12(yaml.SafeLoader):
+class _Yaml12(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
     """YAML 1.2's core schema: yes, no, on and off are words, 010 is ten, 1:30 is text."""
 
 
