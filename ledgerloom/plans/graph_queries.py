@@ -97,8 +97,7 @@ def want_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.want_list(nodes, held, fields).select("node_id", "name", "title")
 
 
-def candidate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN07, SF13, SF14, TK05: records found by the first field and candidate that hit, then by title."""
+def _cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     c = _table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     values = c.select(F.when(k % 3 == 0, F.concat(F.lit("cust "), k)).when(k % 3 == 1, F.concat(F.lit("  "), F.upper("c_name"), F.lit(" "))).otherwise(F.concat(F.lit("none"), k)).alias("value"))
@@ -106,7 +105,12 @@ def candidate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = c.where("c_custkey % 5 = 0").select(k.alias("actor_id"), F.lit("f2").alias("field_id"), F.concat(F.lit("cust "), k).alias("value"))
     probed = spark.createDataFrame([(1, "f1", "tax key"), (2, "f2", "name key")], "rank int, field_id string, name string")
     actors = c.select(k.alias("id"), F.concat(F.lit("ref-"), k).alias("ref"), F.col("c_name").alias("title"), k.alias("listing"))
-    return lookup.find_records(values, probed, first.unionByName(second), actors).select("value", "verdict", "matched_by", F.element_at("records.id", 1).alias("first_id"), F.size("records").alias("n_records")).withColumn("n_records", F.when(F.col("verdict") == "FOUND", F.col("n_records")).otherwise(0))
+    return values, probed, first.unionByName(second), actors
+
+
+def candidate_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN07, SF13, SF14, TK05: records found by the first field and candidate that hit, then by title."""
+    return lookup.find_records(*_cascade(spark, sf_dir)).select("value", "verdict", "matched_by", F.element_at("records.id", 1).alias("first_id"), F.size("records").alias("n_records")).withColumn("n_records", F.when(F.col("verdict") == "FOUND", F.col("n_records")).otherwise(0))
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
