@@ -31,8 +31,10 @@ def find_records(values: DataFrame, probed: DataFrame, stored: DataFrame, actors
     equi-join on (field, value); only what it leaves over is compared by title.
     """
     v = values.select("value").distinct()
-    tries = v.select("value", F.posexplode(N.candidates(F.col("value"))).alias("cand", "candidate")).crossJoin(F.broadcast(probed))
-    hits = tries.join(stored.select("actor_id", "field_id", F.col("value").alias("candidate")), ["field_id", "candidate"])
+    tries = v.select("value", F.posexplode(N.candidates(F.col("value"))).alias("cand", "candidate"))
+    # The stored values of probed fields, then one equi-join by candidate: values and probes never meet in pairs.
+    held = stored.select("actor_id", "field_id", F.col("value").alias("candidate")).join(probed.select("rank", "field_id", "name"), "field_id")
+    hits = tries.join(held, "candidate")
     best = F.dense_rank().over(Window.partitionBy("value").orderBy("rank", "cand"))
     hits = hits.withColumn("_r", best).where("_r = 1").join(actors.select(F.col("id").alias("actor_id"), "ref", "title", "listing"), "actor_id")
     few = F.row_number().over(Window.partitionBy("value").orderBy("listing")) <= most
@@ -55,8 +57,10 @@ def similar_titles(values: DataFrame, actors: DataFrame, most: int = MOST_HITS)
     v = values.select("value").distinct().withColumn("_v", N.folded_title(F.col("value"))).where("_v IS NOT NULL")
     titled = actors.select("listing", "id", "ref", "title", N.folded_title(F.col("title")).alias("_t")).where("_t IS NOT NULL")
     cut = lambda t, n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1)), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
-    every = F.concat(F.array(F.lit("")), *(cut(F.col("_t"), F.lit(n)) for n in range(1, PIECE + 1)))
-    pieces = titled.withColumn("_piece", F.explode(F.array_distinct(every)))
+    # Titles are cut to the sizes that values need: one size where no value is shorter than PIECE.
+    sizes = v.agg(F.collect_set(F.least(F.length("_v"), F.lit(PIECE))).alias("_sizes"))
+    sized = F.flatten(F.transform("_sizes", lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(cut(F.col("_t"), n))))
+    pieces = titled.crossJoin(F.broadcast(sizes)).withColumn("_piece", F.explode(F.array_distinct(sized))).drop("_sizes")
     count = pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
     own = v.withColumn("_piece", F.explode(F.array_distinct(cut(F.col("_v"), F.least(F.length("_v"), F.lit(PIECE))))))
     rarest = own.join(count, "_piece").groupBy("value", "_v").agg(F.min(F.struct("_n", "_piece")).alias("_r")).select("value", "_v", F.col("_r._piece").alias("_piece"))
@@ -77,7 +81,14 @@ def want_list(nodes: DataFrame, held: DataFrame, type_fields: DataFrame, keep_al
     return wanted.join(held.select("node_id", "name").distinct(), ["node_id", "name"], "left_anti")
 
 
-def want_totals(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """AG21: nodes, nodes with holes, missing fields."""
+def want_totals(nodes: DataFrame, wanted: DataFrame, pictured: DataFrame | None = None) -> DataFrame:
+    """AG21: nodes, nodes with holes and missing fields; with `pictured`, the node_id of nodes with a picture, also the faceless.
+
+    A values text without a pictures block says nothing about pictures: then there is no such count.
+    """
     w = wanted.agg(F.countDistinct("node_id").alias("with_holes"), F.count("*").alias("missing"))
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(w)
+    if pictured is None:
+        return nodes.agg(F.count("*").alias("nodes")).crossJoin(w)
+    shown = pictured.select("node_id").distinct().withColumn("_shown", F.lit(True))
+    counts = nodes.join(shown, "node_id", "left").agg(F.count("*").alias("nodes"), F.count_if(F.col("_shown").isNull()).alias("faceless"))
+    return counts.crossJoin(w)

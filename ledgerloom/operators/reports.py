@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import names as N
-from ledgerloom.operators import lookup, planning
+from ledgerloom.operators import lineage, lookup, planning
 
 ORDER = ("section", "at", "part")
 
@@ -43,6 +43,7 @@ def _padded(n: Column | str) -> Column:
 
 def plan_lines(planned: DataFrame) -> DataFrame:
     """A plan: its counts; each op that writes, with every old and new value; those that hold already; the errors."""
+    planned = lineage.cut(planned)  # read once for each part
     s = planning.summary(planned)
     words = (("creates", "record to create", "records to create"), ("writes", "value to write", "values to write"), ("renames", "rename", "renames"), ("describes", "description", "descriptions"), ("holes", "hole to fill", "holes to fill"), ("pictures", "picture", "pictures"), ("satisfied", "op holds already", "ops hold already"), ("errors", "error", "errors"))
     head = _lines(s, 0, F.lit(""), _said([counted(F.col(c), one, many) for c, one, many in words], "nothing to do"))
@@ -61,6 +62,7 @@ def plan_lines(planned: DataFrame) -> DataFrame:
 
 def find_lines(found: DataFrame) -> DataFrame:
     """A search: each value with the records it was found as, or titles that are like it; the counts."""
+    found = lineage.cut(found)
     record = lambda r: F.concat(F.lit("    "), r["title"], F.lit("  "), F.coalesce(F.concat(F.lit("ref "), F.nullif(r["ref"], F.lit(""))), F.lit("no ref")), F.lit("  ["), r["id"].cast("string"), F.lit("]"))
     head = F.concat("value", F.when(F.col("verdict") == "FOUND", F.concat(F.lit(": found by "), "matched_by")).otherwise(": not found"))
     like = F.when((F.col("verdict") != "FOUND") & (F.size("similar") > 0), F.concat(F.lit("    like it: "), F.array_join(F.transform("similar", lambda r: r["title"]), ", ")))
@@ -76,7 +78,7 @@ def post_lines(jobs: DataFrame, turnover: DataFrame, dry_run: bool = False) -> D
 
     `jobs` is ledger.job_counts(), `turnover` (currency, rows, debit, credit) with several rows a currency.
     """
-    what = "would post" if dry_run else "posted"
+    jobs, what = lineage.cut(jobs), "would post" if dry_run else "posted"
     counts = lambda *also: [F.concat("records", F.lit(" rows")), F.concat(F.lit(f"{what} "), "posted"), counted(F.col("duplicate"), "was there", "were there"), counted(F.col("skipped"), "skipped", "skipped"), *also]
     across = F.when(F.col("actors") > 1, F.concat(F.lit("across "), "actors", F.lit(" actors")))
     job = F.when(F.col("error").isNotNull(), F.concat("file", F.lit(": error, "), "error")).otherwise(F.concat("file", F.lit(": "), F.concat_ws(", ", *counts(across))))

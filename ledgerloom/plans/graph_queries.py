@@ -189,8 +189,12 @@ def image_alts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PF17-PF18: which page addresses may be fetched."""
-    return _table(spark, sf_dir, "pages").select("page_id", P.url_problems("url").alias("problem"))
+    """PF17-PF18: which addresses may be fetched: those of pages, and some of their kind that lead to private hosts or are no web addresses."""
+    k = F.col("page_id")
+    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    lead = (None, "ftp://a.example", "http://127.0.0.1", "https://10.1.2.3:8080", "http://[::1]", "http://printer.local", "http://100.64.1.9", "http://[::ffff:192.168.0.1]", "http://8.8.8.8", None, "https://", None)
+    url = F.coalesce(F.concat(F.element_at(F.array(*map(F.lit, lead)), (k % len(lead) + 1).cast("int")), path), "url")
+    return _table(spark, sf_dir, "pages").select("page_id", P.url_problems(url).alias("problem"))
 
 
 def doc_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +238,13 @@ SELECT slug, field, name AS suggestion FROM (SELECT *, row_number() OVER (PARTIT
     "candidate_cascade": """
 SELECT CASE k % 3 WHEN 0 THEN 'cust ' || k WHEN 1 THEN '  ' || upper(c_name) || ' ' ELSE 'none' || k END AS value, CASE WHEN m IS NULL THEN 'not found' ELSE 'FOUND' END AS verdict, m AS matched_by, CASE WHEN m IS NOT NULL THEN k END AS first_id, CASE WHEN m IS NULL THEN 0 ELSE 1 END AS n_records
 FROM (SELECT *, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 'tax key' WHEN k % 3 = 0 AND k % 5 = 0 THEN 'name key' WHEN k % 3 = 1 THEN 'title' END AS m FROM (SELECT c_custkey AS k, c_name FROM customer))""",
+    "values_text": """
+WITH r AS (SELECT *, lpad(CAST(row_number() OVER (ORDER BY r_regionkey) AS VARCHAR), 8, '0') AS root FROM region),
+c AS (SELECT root, c_custkey AS k, c_name, c_mktsegment AS s, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS b, c_custkey % 2 = 1 AS odd FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN r ON n_regionkey = r_regionkey)
+SELECT root, 0 AS line_no, '  ' || r_name || ' [region]' AS line FROM r UNION ALL SELECT root, 0, '    ' || n_name || ' [nation]' FROM nation JOIN r ON n_regionkey = r_regionkey UNION ALL SELECT root, 0, '      ' || c_name || ' [customer]' FROM c
+UNION ALL SELECT root, 1, '        balance: ' || b FROM c WHERE odd UNION ALL SELECT root, CASE WHEN odd THEN 2 ELSE 1 END, '        segment: ' || s FROM c UNION ALL SELECT root, CASE WHEN odd THEN 3 ELSE 2 END, '        zz: ' || k FROM c""",
+    "url_gates": """
+SELECT page_id, CASE WHEN page_id % 12 = 1 THEN 'not http' WHEN page_id % 12 = 10 THEN 'no host' WHEN url LIKE '%#_%' THEN 'has a fragment' WHEN page_id % 12 IN (2, 3, 4, 5, 6, 7) THEN 'private host' END AS problem FROM pages""",
     "plan_diff": _PLAN + "SELECT k AS n, mark, CASE WHEN NOT creates THEN 'o' || k END AS actor_id, n_changes, new_title, failed FROM m",
     "plan_apply": _PLAN + """
 SELECT 'o' || o_orderkey AS id, CASE WHEN m.mark IN ('+', '~') THEN coalesce(new_title, 'Order ' || o_orderkey) ELSE 'Order ' || o_orderkey END AS title, 'ref' || o_orderkey AS ref,

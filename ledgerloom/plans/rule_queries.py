@@ -188,9 +188,10 @@ def found_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def want_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG21: nodes, nodes with holes and missing fields."""
-    nodes = _table(spark, sf_dir, "events").select("user_id").distinct()
-    return lookup.want_totals(nodes, G.want_list(spark, sf_dir))
+    """AG21: nodes, nodes with holes, missing fields and nodes without a picture."""
+    nodes = _table(spark, sf_dir, "events").select(F.col("user_id").alias("node_id")).distinct()
+    pictured = _table(spark, sf_dir, "events").where("event_id % 40 = 0").select(F.col("user_id").alias("node_id"))
+    return lookup.want_totals(nodes, G.want_list(spark, sf_dir), pictured)
 
 
 def account_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +326,7 @@ SELECT n, true AS creates, CASE WHEN NOT sound THEN 'the op does nothing' WHEN f
 SELECT count(*) FILTER (mark = '*') AS creates, CAST(coalesce(sum(n_changes) FILTER (mark IN ('+', '~')), 0) AS BIGINT) AS writes, count(*) FILTER (mark IN ('+', '~') AND new_title IS NOT NULL) AS renames, 0 AS describes, count(*) FILTER (mark = '+') AS holes, 0 AS pictures,
   count(*) FILTER (mark = '>') AS satisfied, count(*) FILTER (mark = '!') AS errors FROM m""",
     "found_tally": f"SELECT count(*) FILTER (verdict = 'FOUND') AS found, count(*) FILTER (verdict = 'not found') AS missing FROM ({G.ORACLES['candidate_cascade']})",
-    "want_totals": f"SELECT (SELECT count(DISTINCT user_id) FROM events) AS nodes, count(DISTINCT node_id) AS with_holes, count(*) AS missing FROM ({G.ORACLES['want_list']})",
+    "want_totals": f"SELECT (SELECT count(DISTINCT user_id) FROM events) AS nodes, (SELECT count(DISTINCT user_id) FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 40 = 0)) AS faceless, count(DISTINCT node_id) AS with_holes, count(*) AS missing FROM ({G.ORACLES['want_list']})",
     "account_sides": "SELECT o_custkey AS actor_id, o_orderstatus AS name_id, 1 AS currency_id, max(o_orderkey) FILTER (o_orderkey % 2 = 0) AS debit, max(o_orderkey) FILTER (o_orderkey % 2 = 1) AS credit FROM orders GROUP BY 1, 2",
     "account_ids": "SELECT actor, currency, left(sha1(actor || '|Bank 3|' || currency || '|debit'), 32) AS debit, left(sha1(actor || '|Bank|' || currency || '|credit'), 32) AS credit FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS actor, left(o_orderpriority, 1) AS currency FROM orders)",
     "job_counts": _JOBS + "SELECT * FROM k",
