@@ -7,6 +7,8 @@ one row a range comes to the driver, whatever the number of rows.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.operators import lineage
@@ -34,6 +36,24 @@ def running_sum(df: DataFrame, value: Column, order: list[Column], out: str) ->
     return dealt.withColumn(out, within).join(_before(df.sparkSession, "long", rows), PART, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.col("_before")).drop(PART, "_before")
 
 
+def running_sums(df: DataFrame, values: dict[str, Column], order: list[Column]) -> DataFrame:
+    """`df` with the sum of each of `values`, none of them null, over the rows before in the order and this one.
+
+    The sums of rows that are equal in order differ by Spark's choice of which is first.
+    """
+    dealt = _ranges(df.withColumns(values), order)
+    each = dealt.groupBy(PART).agg(*(F.sum(n).alias(n) for n in values))
+    total, rows = [0] * len(values), []
+    for r in sorted(each.collect()):  # a row a range
+        rows.append((r[PART], *total))
+        total = [t + s for t, s in zip(total, r[1:])]
+    within = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = ", ".join(f"_{n} {each.schema[n].dataType.simpleString()}" for n in values)
+    before = F.broadcast(df.sparkSession.createDataFrame([(p, *(Decimal(t) if "decimal" in each.schema[n].dataType.simpleString() else t for n, t in zip(values, ts))) for p, *ts in rows], f"{PART} int, {kinds}"))
+    summed = dealt.withColumns({n: F.sum(n).over(within) for n in values}).join(before, PART)
+    return summed.withColumns({n: F.col(n) + F.col(f"_{n}") for n in values}).drop(PART, *(f"_{n}" for n in values))
+
+
 def value_before(df: DataFrame, value: str, order: list[Column], out: str) -> DataFrame:
     """`df` with `out`: `value` of the row before in the order, null on the first row.
 

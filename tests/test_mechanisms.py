@@ -223,6 +223,25 @@ def test_bands(spark):
     assert bands.in_bands(tk, bd.where("false")).count() == 0
 
 
+def test_band_totals_are_those_of_the_pairs_without_making_them(spark):
+    rng = random.Random(5)
+    b = [(f"f{rng.randint(0, 3)}", k % 150, lo := rng.choice([rng.uniform(-50, 50), float(rng.randint(-5, 5)), -0.0]), lo + rng.choice([0.0, 0.001, 1.0, 7.5, 300.0, -1.0])) for k in range(200)] + [("f9", 900, 0.0, 1.0)]
+    t = [(f"f{rng.randint(0, 4)}", rng.choice([rng.uniform(-60, 400), float(rng.randint(-5, 5))]), rng.choice([None, 1, 5])) for _ in range(400)] + [("f1", None, 1), ("f1", float("nan"), 1)]
+    bd, tk = spark.createDataFrame(b, "file string, band long, lo double, hi double"), spark.createDataFrame(t, "file string, x double, v long").repartition(5)
+    got = bands.band_totals(tk, bd, F.col("v").cast("decimal(18,2)"), ["file", "band"]).collect()
+    want = {}
+    for f, x, v in t:
+        for g, k, lo, hi in b:
+            if f == g and x is not None and lo <= x <= hi:
+                n, total = want.get((f, k), (0, 0))
+                want[f, k] = (n + 1, total + (v or 0))
+    assert want and {(r.file, r.band): (r.n, r.total) for r in got} == want
+    every = spark.range(20_000).select(F.lit("f").alias("file"), F.col("id").cast("double").alias("x"))
+    wide = spark.range(20_000).select(F.lit("f").alias("file"), F.col("id").alias("band"), F.lit(0.0).alias("lo"), F.lit(2e4).alias("hi"))
+    assert bands.band_totals(every, wide, F.lit(1), ["file", "band"]).where("n = 20000 AND total = 20000").count() == 20_000  # 400 million pairs
+    assert bands.band_totals(every, wide.where("false"), F.lit(1), ["file", "band"]).count() == bands.band_totals(every.where("false"), wide, F.lit(1), ["file", "band"]).count() == 0
+
+
 def test_running_values(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 400), rng.randint(-3, 5)) for _ in range(700)]
