@@ -22,20 +22,21 @@ def write_pages(items: DataFrame, number: Column, folder: str, size: int = PAGE)
     pages.select("layer", "page", F.to_json("items").alias("value")).unionByName(ends).write.partitionBy("layer", "page").text(folder)
 
 
-def scan_pages(spark: SparkSession, folder: str, columns: str, size: int = PAGE, most: int = MOST_PAGES) -> DataFrame:
+def scan_pages(spark: SparkSession, folder: str, columns: str, size: int = PAGE, most: int | None = MOST_PAGES) -> DataFrame:
     """(layer, ord, *columns) of every item up to each layer's first short page, in the order of the dump.
 
-    Only the named columns are parsed.  A layer whose first `most` pages are all full,
-    or that lacks a page before its short one, is an error: a part of a layer must not
-    pass for the whole.
+    Only the named columns are parsed.  A layer whose first `most` pages (null: all of
+    its pages) are all full, or that lacks a page before its short one, is an error: a
+    part of a layer must not pass for the whole.
     """
     pages = spark.read.schema("value string, layer string, page int").text(folder)
     item = f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in columns.split(','))}>>"
     pages = pages.select("layer", "page", F.json_array_length("value").alias("n"), F.from_json("value", item).alias("items"))
-    end = pages.where((F.col("n") < size) & (F.col("page") < most)).groupBy("layer").agg(F.min("page").alias("_end"))
+    within = F.lit(True) if most is None else F.col("page") < most
+    end = pages.where((F.col("n") < size) & within).groupBy("layer").agg(F.min("page").alias("_end"))
     there = pages.select("layer", "page").groupBy("layer").agg(F.collect_set("page").alias("_pages"))  # few: one for each full page
     ends = there.join(end, "layer", "left")
-    wrong = F.when(F.col("_end").isNull(), F.concat(F.lit("layer "), "layer", F.lit(f" does not end within {most} pages"))).when(F.size(F.array_except(F.sequence(F.lit(0), F.coalesce("_end", F.lit(0))), "_pages")) > 0, F.concat(F.lit("layer "), "layer", F.lit(" lacks a page")))
+    wrong = F.when(F.col("_end").isNull(), F.concat(F.lit("layer "), "layer", F.lit(" does not end" if most is None else f" does not end within {most} pages"))).when(F.size(F.array_except(F.sequence(F.lit(0), F.coalesce("_end", F.lit(0))), "_pages")) > 0, F.concat(F.lit("layer "), "layer", F.lit(" lacks a page")))
     ends = ends.select("layer", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("int")).otherwise(F.col("_end")).alias("_end"))
     kept = pages.join(ends, "layer").where("page <= _end")
     each = kept.select("layer", "page", F.posexplode("items").alias("_at", "item"))

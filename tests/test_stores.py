@@ -46,6 +46,15 @@ def test_export_and_reload(spark, tmp_path):
     assert snapshots.load_index(store, "m", lambda: tree)[1] is False
 
 
+def test_a_dump_of_more_pages_than_the_platform_gives(spark, tmp_path):
+    items = spark.range(1000).select(F.when(F.col("id") < 600, "a").otherwise("b").alias("layer"), "id", F.when(F.col("id") < 600, F.col("id")).otherwise(F.col("id") - 600).alias("_n"))
+    dumps.write_pages(items, F.col("_n"), f"{tmp_path}/d", size=2)
+    with pytest.raises(Exception, match="layer a does not end within 200 pages"):
+        dumps.scan_pages(spark, f"{tmp_path}/d", "id long", size=2).where("layer = 'a'").collect()
+    got = dumps.scan_pages(spark, f"{tmp_path}/d", "id long", size=2, most=None)
+    assert sorted((r.layer, r.ord, r.id) for r in got.collect()) == [("a", k, k) for k in range(600)] + [("b", k, 600 + k) for k in range(400)]
+
+
 def test_page_scan(spark, tmp_path):
     items = spark.range(25).select(F.when(F.col("id") < 10, "a").otherwise("b").alias("layer"), F.col("id"), F.concat(F.lit("t"), "id").alias("title"), F.lit(1.5).alias("x"), F.when(F.col("id") < 10, F.col("id")).otherwise(F.col("id") - 10).alias("_n"))
     dumps.write_pages(items, F.col("_n"), f"{tmp_path}/d", size=5)
