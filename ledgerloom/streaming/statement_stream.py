@@ -11,21 +11,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ledgerloom.functions import amounts as A
 from ledgerloom.operators import statements as S
 
 OUT = "file string, line_no long, page long, transaction_date string, transaction_time string, debit_sum string, credit_sum string, currency string, description string, uniq_actor_field_value string"
+MADE = Row(*(c.split()[0] for c in OUT.split(", ")))
 FRESH = {"armed": False, "stopped": False, "page": None, "carried": None, "open": None, "line_no": 0}
 
 
-def _text(v) -> str | None:
-    return v if isinstance(v, str) else None
-
-
 class OpenTransaction(StatefulProcessor):
     """ASM1-ASM10 over the claimed rows of one file, in their order; a file that stays silent for `idle_ms` is closed."""
 
@@ -37,35 +33,33 @@ class OpenTransaction(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("fold", "fold string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fold = json.loads(self.state.get()[0]) if self.state.exists() else dict(FRESH)
-        frame = pd.concat(list(rows)).sort_values("row_no")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        fold = json.loads(held[0]) if held is not None else dict(FRESH)
         out: list[tuple] = []
-        for r in frame.itertuples(index=False):
+        for r in sorted(rows, key=lambda r: r.row_no):
             self.step(fold, r, out)
         if self.idle_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         self.state.update((json.dumps(fold),))
-        yield self.made(key, out)
+        yield from self.made(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         out: list[tuple] = []
         if self.state.exists():
             fold = json.loads(self.state.get()[0])
             self.shut(fold, out)
             self.state.update((json.dumps(fold),))
-        yield self.made(key, out)
+        yield from self.made(key, out)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def made(key, out: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        frame = pd.DataFrame([(key[0], *r) for r in out], columns=names).astype(object)
-        return frame.astype({"line_no": "int64", "page": "Int64"})
+    def made(key, out: list[tuple]) -> Iterator[Row]:
+        return (MADE(key[0], *r) for r in out)
 
     def step(self, fold: dict, r, out: list[tuple]) -> None:
         if fold["stopped"]:
@@ -74,7 +68,7 @@ class OpenTransaction(StatefulProcessor):
             self.shut(fold, out)
             fold["stopped"] = True
             return
-        page = int(r.page) if r.page is not None and r.page == r.page else None
+        page = r.page
         if self.per_page and page != fold["page"]:
             fold["armed"] = False
         fold["page"] = page
@@ -86,19 +80,19 @@ class OpenTransaction(StatefulProcessor):
             self.shut(fold, out)
         elif armed and r.is_new:
             self.shut(fold, out)
-            token = _text(r.dtok)
+            token = r.dtok
             if token and self.carry:
                 fold["carried"] = token
-            date, debit, credit = token or fold["carried"], _text(r.debit), _text(r.credit)
+            date, debit, credit = token or fold["carried"], r.debit, r.credit
             if date is not None and (self.both or debit is None or credit is None):
-                fold["open"] = {"page": page, "date": date, "time": _text(r.tm), "debit": debit, "credit": credit, "own": _text(r.cur), "cur": _text(r.cur), "act": _text(r.act), "parts": [_text(r.desc) or ""]}
+                fold["open"] = {"page": page, "date": date, "time": r.tm, "debit": debit, "credit": credit, "own": r.cur, "cur": r.cur, "act": r.act, "parts": [r.desc or ""]}
         elif armed and fold["open"] is not None:
-            t, said = fold["open"], _text(r.desc) or ""
-            if t["time"] is None and _text(r.tm):
-                t["time"], said = _text(r.tm), _text(r.untimed) or ""
+            t, said = fold["open"], r.desc or ""
+            if t["time"] is None and r.tm:
+                t["time"], said = r.tm, r.untimed or ""
             if said:
                 t["parts"].append(said)
-            t["cur"], t["act"] = t["cur"] or _text(r.cur), t["act"] or _text(r.act)
+            t["cur"], t["act"] = t["cur"] or r.cur, t["act"] or r.act
         if r.last:
             self.shut(fold, out)
 
@@ -135,5 +129,5 @@ def transactions_stream(rows: DataFrame, spec: S.ColumnSpec, idle_ms: int | None
         A.stripped(F.replace(F.col("desc"), F.col("tm"), F.lit(""))).alias("untimed"), F.col("_last").alias("last"),
     )
     fold = OpenTransaction(not spec.start_re, spec.start_per_page, spec.date_carry, spec.allow_both_sides, spec.desc_join, spec.currency_default or A.UNKNOWN_CURRENCY, spec.currency is not None, idle_ms)
-    out = t.groupBy("file").transformWithStateInPandas(fold, OUT, "Append", "None" if idle_ms is None else "ProcessingTime")
+    out = t.groupBy("file").transformWithState(fold, OUT, "Append", "None" if idle_ms is None else "ProcessingTime")
     return out.withColumn("description", F.regexp_replace(A.stripped(F.col("description")), r"\s+", " "))

@@ -1,6 +1,7 @@
 """State, climbing, bins, running orders and near names against brute force."""
 
 import json
+import os
 import random
 import time
 
@@ -8,8 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import bands, graph, ledger, lineage, pages, planning, running, statements as S
+from ledgerloom.plans import mechanism_queries
 from ledgerloom.streaming import ledger_stream, state, statement_stream
 
+DATA = "/root/testdata/sf0.001"
+
 
 # --- statements in pieces
 
@@ -62,6 +66,15 @@ def test_statement_stream_is_the_batch_fold_on_any_cut(spark, tmp_path, k):
     assert want and read().orderBy("file", "line_no").collect() == want
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
+def test_the_query_reads_a_piece_a_batch(spark):
+    folder = lineage.folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    mechanism_queries.statement_stream(spark, DATA)
+    (run,) = [f for f in set(os.listdir(folder)) - before if f.startswith("ledgerloom-statement-stream")]
+    assert sum(name.isdigit() for name in os.listdir(f"{folder}/{run}/checkpoint/commits")) == mechanism_queries.PIECES
+
+
 def test_silent_statement_is_closed(spark, tmp_path):
     rows = [("f", 0, n, [("pay", 0.0, 0.0), ("5.50", 1.0, 1.0), ("01/03/2024", 3.0, 3.0)]) for n in range(2)]
     q, read = streamed(spark, str(tmp_path), rows, SPECS[2], [rows], idle_ms=1500, wait=True)
