@@ -1,5 +1,6 @@
 """Rows of many small files leave a reader's task in few batches, those of a large file in parts."""
 
+import pandas as pd
 import pyarrow as pa
 
 from ledgerloom.sources import files
@@ -17,3 +18,15 @@ def test_documents_share_batches():
     assert [b.num_rows for b in large] == [1, 1, 1, 1]
     many = list(files.batched(_held(["a\n" * 12_001]), lambda name, c: ((name, s, None) for s in c.decode().split()), files._DOCUMENT))
     assert [b.num_rows for b in many] == [5000, 5000, 2001]
+
+
+def test_cells_of_a_sheet_are_few_steps(monkeypatch):
+    """Texts inside a cell are looked for in inline cells alone, columns are numbered once for all rows."""
+    from ledgerloom.plans.file_queries import _workbooks
+
+    cells = lambda r: f'<row><c r="A{r}"><v>{r}.0</v></c><c r="AB{r}" t="s"><v>1</v></c><c r="AC{r}" t="inlineStr"><is><t>in</t></is></c><c r="AD{r}" t="b"><v/></c><c><v>9</v></c></row>'
+    content = _workbooks.func(pd.Series(["".join(cells(r) for r in range(1, 101))]))[0]
+    files._number.cache_clear()
+    rows = next(files.sheets(content))[1]
+    assert rows[6] == ["7", "", "", "", "9", *[""] * 22, "odd", "in", ""] and len(rows) == 100
+    assert files._number.cache_info().misses == 4
