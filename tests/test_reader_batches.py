@@ -30,3 +30,16 @@ def test_cells_of_a_sheet_are_few_steps(monkeypatch):
     rows = next(files.sheets(content))[1]
     assert rows[6] == ["7", "", "", "", "9", *[""] * 22, "odd", "in", ""] and len(rows) == 100
     assert files._number.cache_info().misses == 4
+
+
+def _many(read, content, n=400):
+    held = iter([pa.RecordBatch.from_pydict({"path": [f"{k}.x" for k in range(n)], "content": [content] * n})])
+    return list(files.batched(held, read, files._ROWS))
+
+
+def test_word_tables_share_batches():
+    from ledgerloom.plans.file_queries import _word_files
+
+    content = _word_files.func(pd.Series(["<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"]))[0]
+    got = _many(files._table_rows, content)
+    assert [b.num_rows for b in got] == [400] and got[0].to_pylist()[399] == {"file": "399.x", "page": 1, "row_no": 0, "top": 0.0, "cells": [{"text": "a", "x0": 0.0, "x1": 0.0}]}
