@@ -43,3 +43,8 @@ def test_word_tables_share_batches():
     content = _word_files.func(pd.Series(["<w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"]))[0]
     got = _many(files._table_rows, content)
     assert [b.num_rows for b in got] == [400] and got[0].to_pylist()[399] == {"file": "399.x", "page": 1, "row_no": 0, "top": 0.0, "cells": [{"text": "a", "x0": 0.0, "x1": 0.0}]}
+
+
+def test_delimited_texts_share_batches():
+    got = _many(files._delimited_rows, b"a;b\n1; \n")
+    assert [b.num_rows for b in got] == [800] and got[0].to_pylist()[799]["cells"] == [{"text": "1", "x0": 0.0, "x1": 0.0}]
