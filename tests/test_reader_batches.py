@@ -48,3 +48,8 @@ def test_word_tables_share_batches():
 def test_delimited_texts_share_batches():
     got = _many(files._delimited_rows, b"a;b\n1; \n")
     assert [b.num_rows for b in got] == [800] and got[0].to_pylist()[799]["cells"] == [{"text": "1", "x0": 0.0, "x1": 0.0}]
+
+
+def test_printed_lines_share_batches():
+    got = _many(files._fixed_rows, b"a b\n\nc\fd")
+    assert [b.num_rows for b in got] == [1200] and [(r["page"], r["row_no"]) for r in got[0].to_pylist()[-3:]] == [(1, 1), (1, 3), (2, 4)]
