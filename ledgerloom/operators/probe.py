@@ -65,15 +65,18 @@ def header_score(cells: Column, words: list[str]) -> Column:
 
 def column_scores(tokens: DataFrame, keys: list[str], style: str, totals: DataFrame | None = None) -> DataFrame:
     """AG17, JN19: (keys, cluster): count, negative and positive sums of each column, constant columns dropped, printed totals confirmed."""
-    v = tokens.withColumn("v", A.amount_or_null(F.col("token"), style)).where("v IS NOT NULL")
-    zero = F.lit(0).cast(A.MONEY)
-    c = v.groupBy(*keys, "cluster").agg(F.count("*").alias("n"), F.sum(F.when(F.col("v") < 0, -F.col("v")).otherwise(zero)).cast("decimal(38,2)").alias("negative"), F.sum(F.when(F.col("v") > 0, F.col("v")).otherwise(zero)).cast("decimal(38,2)").alias("positive"), F.count_distinct("v").alias("distinct"))
+    # A token is read once, as a key; tokens that are no amounts stay until the sums, since a filter on the key would read each again.
+    v = tokens.groupBy(*keys, "cluster", A.amount_or_null(F.col("token"), style).alias("v")).agg(F.count("*").alias("_n"))
+    zero = F.lit(0).cast("decimal(38,2)")
+    sums = (F.col("v") * F.col("_n").cast("decimal(19,0)")).cast("decimal(38,2)")
+    c = v.groupBy(*keys, "cluster").agg(F.sum(F.when(F.col("v").isNotNull(), F.col("_n"))).alias("n"), F.sum(F.when(F.col("v") < 0, -sums).otherwise(zero)).cast("decimal(38,2)").alias("negative"), F.sum(F.when(F.col("v") > 0, sums).otherwise(zero)).cast("decimal(38,2)").alias("positive"), F.count("v").alias("distinct"))
     c = c.where("distinct > 1 OR n = 1")
     if totals is None:
         return c.withColumn("confirmed", F.lit(False))
-    near = lambda a: F.abs(F.abs(F.col("total")) - F.col(a)) < 0.01
-    hit = c.join(totals, keys).where(near("positive") | near("negative")).select(*keys, "cluster").distinct().withColumn("confirmed", F.lit(True))
-    return c.join(hit, [*keys, "cluster"], "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    # The totals of a group are few: the columns meet them as one list, and are not made twice.
+    printed = totals.groupBy(*keys).agg(F.collect_set("total").alias("_totals"))
+    near = lambda a: F.exists("_totals", lambda x: F.abs(F.abs(x) - F.col(a)) < 0.01)
+    return c.join(printed, keys, "left").withColumn("confirmed", F.coalesce(near("positive") | near("negative"), F.lit(False))).drop("_totals")
 
 
 def top_columns(clusters: DataFrame, keys: list[str], width: float, most: int = 3) -> DataFrame:
