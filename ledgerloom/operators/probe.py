@@ -87,9 +87,18 @@ def top_columns(clusters: DataFrame, keys: list[str], width: float, most: int =
 
 
 def nearest_headers(clusters: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
-    """JN22: the header word whose right edge is nearest to each cluster's, not more than 120 to its left."""
-    j = clusters.join(headers.select(*keys, F.col("x1").alias("_x"), "text"), keys).where(F.col("_x") >= F.col("lo") - 120)
-    return j.groupBy(*keys, "cluster", "lo", "hi", "n").agg(F.min_by("text", F.struct(F.abs(F.col("_x") - F.col("hi")), "_x", "text")).alias("header"))
+    """JN22: the header word whose right edge is nearest to each cluster's, not more than 120 to its left.
+
+    A page's header words meet its clusters as one list.  Both are shuffled before they
+    are gathered: clusters hardly repeat, so a table of those of a whole input split
+    would only take memory.
+    """
+    words = headers.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("x1", "text")).alias("_words"))
+    c = clusters.select(*keys, "cluster", "lo", "hi", "n").repartition(*keys).distinct()
+    near = F.filter("_words", lambda w: w["x1"] >= F.col("lo") - 120)
+    ranked = F.transform(near, lambda w: F.struct(F.abs(w["x1"] - F.col("hi")), w["x1"].alias("_x"), w["text"].alias("text")))
+    best = c.join(words, keys).withColumn("_best", F.array_min(ranked)).where("_best IS NOT NULL")
+    return best.select(*keys, "cluster", "lo", "hi", "n", F.col("_best.text").alias("header"))
 
 
 def glued(loose: DataFrame, tight: DataFrame) -> DataFrame:

@@ -49,3 +49,12 @@ def test_rings_are_climbed_once(spark):
         if at in own:  # leads into a cycle
             root = min(above, key=lambda n: (n * 13) % 90)
             assert got[f"n{k}"] == (None if root == k else f"n{own[k]}", above.index(root), f"n{root}"), k
+
+
+def test_headers_meet_clusters_as_lists(spark):
+    clusters = spark.createDataFrame([(1, 0, 50.0, 80.0, 3), (1, 0, 50.0, 80.0, 3), (1, 1, 300.0, 330.0, 2), (1, 2, 900.0, 930.0, 2), (2, 0, 0.0, 9.0, 1), (3, 0, None, 9.0, 1)], "p int, cluster int, lo double, hi double, n int")
+    headers = spark.createDataFrame([(1, 70.0, "b"), (1, 90.0, "a"), (1, 90.0, "aa"), (1, 200.0, None), (1, None, "none"), (3, 9.0, "x")], "p int, x1 double, text string")
+    got = probe.nearest_headers(clusters, headers, ["p"])
+    assert sorted((r["p"], r["cluster"], r["n"], r["header"]) for r in got.collect()) == [(1, 0, 3, "b"), (1, 1, 2, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and plan.count("RepartitionByExpression") == 2
