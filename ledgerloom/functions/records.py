@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The keys of a stored record and the kinds of their values.
@@ -17,10 +19,15 @@ _OPTION = "struct<title: string, value: string, color: string>"
 _SECTIONS = f"array<struct<id: string, title: string, content: array<struct<{', '.join(f'`{n}`: string' for n in FIELD)}, options: array<{_OPTION}>>>>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use() of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def item(payload: Column) -> Column:
     """The JSON text of an envelope's one record; `{}` where it holds none or the payload is no JSON."""
     data = F.to_json(F.try_variant_get(F.try_parse_json(payload), "$.data", "variant"))
-    return F.when(~data.isin("null", "{}", "[]", '""', "0", "false"), data).otherwise("{}")
+    return _once(data, lambda d: F.when(~d.isin("null", "{}", "[]", '""', "0", "false"), d).otherwise("{}"))
 
 
 def items(payload: Column) -> Column:
@@ -49,15 +56,19 @@ def record(text: Column, kind: str) -> Column:
     """
     keys = RECORDS[kind]
     parsed = F.from_json(text, ", ".join(f"`{k}` " + ("struct<x: string, y: string>" if v == "place" else "string") for k, v in keys.items()))
-    parts = []
-    for key, what in keys.items():
-        c = parsed[key]
-        if what == "place":
-            parts += [F.coalesce(F.bround(c[axis].try_cast("double")).cast("long"), F.lit(0).cast("long")).alias(axis) for axis in ("x", "y")]
-            continue
-        value = {"text": _text, "number": _number, "object": lambda c: F.coalesce(c, F.lit("{}")), "flag": lambda c: F.coalesce(c.try_cast("boolean"), F.lit(False))}[what](c)
-        parts.append(value.alias(_column_name(key)))
-    return F.struct(*parts)
+
+    def shaped(p: Column) -> Column:
+        parts = []
+        for key, what in keys.items():
+            c = p[key]
+            if what == "place":
+                parts += [F.coalesce(F.bround(c[axis].try_cast("double")).cast("long"), F.lit(0).cast("long")).alias(axis) for axis in ("x", "y")]
+                continue
+            value = {"text": _text, "number": _number, "object": lambda c: F.coalesce(c, F.lit("{}")), "flag": lambda c: F.coalesce(c.try_cast("boolean"), F.lit(False))}[what](c)
+            parts.append(value.alias(_column_name(key)))
+        return F.struct(*parts)
+
+    return _once(parsed, shaped)
 
 
 def form_fields(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import amounts as A
+from ledgerloom.functions import amounts as A, records
 from ledgerloom.operators import graph, lineage, probe
 
 
@@ -58,3 +58,11 @@ def test_headers_meet_clusters_as_lists(spark):
     assert sorted((r["p"], r["cluster"], r["n"], r["header"]) for r in got.collect()) == [(1, 0, 3, "b"), (1, 1, 2, None)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in plan and plan.count("RepartitionByExpression") == 2
+
+
+def test_records_are_parsed_once(spark):
+    t = spark.createDataFrame([('{"data":{"id":"n","position":{"x":2.5}}}',), ('{"data":null}',), ("no json",), (None,)], "t string")
+    got = t.select(F.inline(F.array(records.record(records.item(F.col("t")), "node"))))
+    assert [(r["id"], r["data"], r["x"], r["y"]) for r in got.collect()] == [("n", "{}", 2, 0), ("", "{}", 0, 0), ("", "{}", 0, 0), ("", "{}", 0, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("parseJson") == 1
