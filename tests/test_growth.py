@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts as A, records
-from ledgerloom.operators import graph, lineage, probe
+from ledgerloom.operators import graph, lineage, planning, probe
 
 
 def test_tokens_of_columns_are_read_once(spark):
@@ -66,3 +66,14 @@ def test_records_are_parsed_once(spark):
     assert [(r["id"], r["data"], r["x"], r["y"]) for r in got.collect()] == [("n", "{}", 2, 0), ("", "{}", 0, 0), ("", "{}", 0, 0), ("", "{}", 0, 0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1 and plan.count("parseJson") == 1
+
+
+def test_fields_of_a_plan_take_one_python_function(spark, monkeypatch):
+    resolved = spark.createDataFrame([(1, "l", "a", "t", {"f": '"7"', "g": '["x"]'}, None)], "n int, layer string, actor_id string, type string, set map<string,string>, error string")
+    actors = spark.createDataFrame([("a", "t", "T", {"1": "6.0"})], "id string, slug string, title string, data map<string,string>")
+    fields = spark.createDataFrame([("t", 0, "f", "1", "int", True), ("t", 1, "g", "2", "string", True)], "slug string, ord int, name string, id string, type string, writable boolean")
+    frames = []
+    monkeypatch.setattr(lineage, "cut", lambda df: frames.append(df) or df.localCheckpoint())
+    got = planning.field_changes(resolved, actors, fields)
+    assert frames[0]._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["field"], r["old"], r["new"], r["error"]) for r in got.collect()) == [("f", "6", "7", None), ("g", "", "", "a list or map does not fit a text field")]
