@@ -240,7 +240,7 @@ def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sided(spark: SparkSession, sf_dir: str, cells: list[Column]) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     made = F.array(*(F.struct(F.coalesce(c, F.lit("")).alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(x)).alias("x1")) for x, c in enumerate(cells)))
-    return e.select(F.col("user_id").cast("string").alias("file"), F.lit(1).alias("page"), F.col("event_id").alias("row_no"), F.lit(0.0).alias("top"), F.filter(made, lambda c: c["text"] != "").alias("cells"))
+    return e.select(F.col("user_id").cast("string").alias("file"), F.lit(1).alias("page"), F.col("event_id").alias("row_no"), F.lit(0.0).alias("top"), F.filter(made, lambda c: c["text"] != "").alias("cells")).repartition("file")  # the table is small, reading its cells is not; assembly has its rows by file anyway
 
 
 def two_sided_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """Steps whose cost must not grow faster than their rows: how often they read, join or write them."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts as A, records
 from ledgerloom.operators import graph, lineage, planning, probe
+from ledgerloom.plans import rule_queries
 
 
 def test_tokens_of_columns_are_read_once(spark):
@@ -77,3 +81,10 @@ def test_fields_of_a_plan_take_one_python_function(spark, monkeypatch):
     got = planning.field_changes(resolved, actors, fields)
     assert frames[0]._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted((r["field"], r["old"], r["new"], r["error"]) for r in got.collect()) == [("f", "6", "7", None), ("g", "", "", "a list or map does not fit a text field")]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_two_sided_rows_are_read_by_file(spark):
+    """All cores read the cells, and no second shuffle follows for the windows over files."""
+    plan = rule_queries.two_sided_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and plan.count("Exchange hashpartitioning(file") == 1
