@@ -53,3 +53,12 @@ def test_delimited_texts_share_batches():
 def test_printed_lines_share_batches():
     got = _many(files._fixed_rows, b"a b\n\nc\fd")
     assert [b.num_rows for b in got] == [1200] and [(r["page"], r["row_no"]) for r in got[0].to_pylist()[-3:]] == [(1, 1), (1, 3), (2, 4)]
+
+
+def test_files_are_made_on_all_cores(spark):
+    """The rows of files are dealt over several parts a core, however few bytes they are."""
+    from ledgerloom.plans import file_queries
+
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert file_queries._by_customer(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= least
+    assert file_queries._lines_of(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= least
