@@ -39,7 +39,8 @@ class WholeFile(StatefulProcessor):
             told = frame["of_lines"].max()
             of = int(told) if told == told and told is not None else of
             seen += len(frame)
-            fresh += [(int(n), r if p else None) for n, r, p in zip(frame["line_no"], frame["raw"], frame["posts"])]
+            if not bad:  # of a bad file nothing is held
+                fresh += [(int(n), r if p else None) for n, r, p in zip(frame["line_no"], frame["raw"], frame["posts"])]
         whole = ended or not self.counted
         if bad:
             self.lines.clear()

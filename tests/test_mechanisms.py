@@ -295,3 +295,15 @@ def test_nearest_names(spark):
             want[f] = best[2]
     got = planning.nearest_fields(spark.createDataFrame([("t", f) for f in fields], "slug string, field string"), spark.createDataFrame(names, "slug string, name string, ord int"))
     assert {r.field: r.suggestion for r in got.collect()} == want
+
+
+def test_a_batch_of_the_ledger_stream_is_read_by_all_cores(spark, monkeypatch):
+    """A piece is several files, so that its lines are not parsed by one task; the batches stay as many as the pieces."""
+    seen = []
+    post = mechanism_queries.post_stream
+    monkeypatch.setattr(mechanism_queries, "post_stream", lambda lines, options, sink, checkpoint: (seen.append(sink), post(lines, options, sink, checkpoint))[1])
+    mechanism_queries.ledger_stream(spark, "/root/testdata/sf0.01")
+    files = spark.read.parquet(seen[0].replace("/posted", "/lines")).inputFiles()
+    assert len(files) == mechanism_queries.PIECES * spark.sparkContext.defaultParallelism
+    made = [d for d in os.listdir(seen[0].removeprefix("file:")) if d.startswith("batch=")]
+    assert len(made) == mechanism_queries.PIECES
