@@ -10,11 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgerloom.functions.names import SEPARATOR
-from ledgerloom.sources import sidecars
+from ledgerloom.sources import files, sidecars
+
+
+_BROKEN = (ValueError, TypeError, AttributeError, yaml.YAMLError)
+_TEXT = pa.string()
+_FIELDS = pa.list_(pa.struct([("name", _TEXT), ("value", _TEXT)]))
+_VALUES = {"file": _TEXT, "error": _TEXT, "ord": pa.int32(), "path": _TEXT, "label": _TEXT, "type": _TEXT, "description": _TEXT, "fields": _FIELDS, "pictured": pa.bool_()}
+
+
+def _broken(file: str, e: Exception, width: int) -> tuple:
+    return (file, str(e).split("\n")[0][:200], *[None] * width)
 
 
 def _each(texts: DataFrame, read: Callable[[str], list[tuple]], schema: str) -> DataFrame:
@@ -29,8 +40,8 @@ def _each(texts: DataFrame, read: Callable[[str], list[tuple]], schema: str) ->
             for file, text in zip(frame.file, frame.text):
                 try:
                     out += [(file, None, *row) for row in read(text)]
-                except (ValueError, TypeError, AttributeError, yaml.YAMLError) as e:
-                    out.append((file, str(e).split("\n")[0][:200], *[None] * width))
+                except _BROKEN as e:
+                    out.append(_broken(file, e, width))
                 if len(out) >= 5000:
                     yield pd.DataFrame(out, columns=names, dtype=object)
                     out = []
@@ -87,7 +98,14 @@ def values(texts: DataFrame) -> DataFrame:
             out.append((n, path, node["label"], node["type"], node["description"], [{"name": a, "value": b} for a, b in node["fields"]], None if with_picture is None else path in with_picture))
         return out
 
-    return _each(texts, read, "ord int, path string, label string, type string, description string, fields array<struct<name:string,value:string>>, pictured boolean")
+    def told(file: str, text: str) -> list[tuple]:
+        try:
+            return [(file, None, *row) for row in read(text)]
+        except _BROKEN as e:
+            return [_broken(file, e, len(_VALUES) - 2)]
+
+    held = texts.where("text IS NOT NULL").select(F.col("file").alias("path"), F.col("text").alias("content"))
+    return held.mapInArrow(lambda batches: files.batched(batches, told, _VALUES), "file string, error string, ord int, path string, label string, type string, description string, fields array<struct<name:string,value:string>>, pictured boolean")
 
 
 _RESULT = "STRUCT<" + ", ".join(f"`{name}`: ARRAY<STRING>" for name in sidecars.RESULT_LISTS[:3]) + f", `{sidecars.RESULT_LISTS[3]}`: ARRAY<STRUCT<`ref`: STRING, `транзакций`: BIGINT>>>"

@@ -77,3 +77,13 @@ def test_statement_folder_against_the_table(spark, tmp_path):
     got = {r["segment"].replace("%20", " "): (r["n"], float(r["total"])) for r in file_queries.statement_folder(spark, str(tmp_path)).collect()}
     want = {s: (len(m), sum(round(x, 2) for x in m)) for s in ("A", "B C", "D") for m in [[x for *_, t, x in c if t == s]]}
     assert got.keys() == want.keys() and all(got[s][0] == want[s][0] and abs(got[s][1] - want[s][1]) < 0.01 * 200 for s in want)
+
+
+def test_values_leave_as_arrow_batches(spark):
+    """The nodes of many texts leave a task as Arrow batches, without a pandas frame between."""
+    text = "layer: x\n\ntree: |\n  O [order]\n    part: p1\n\n   \n    L [line]  # by ship\npictures: |\n  O\n  # none\n"
+    got = L.values(spark.createDataFrame([("a", text), ("b", "layer: y\n"), ("c", None), ("d", "tree: |  \n  O [o]\nx\n  P [p]\n")], "file string, text string"))
+    assert [(r.file, r.ord, r.path, r.description, [tuple(f) for f in r.fields], r.pictured) for r in got.orderBy("file", "ord").collect()] == [
+        ("a", 0, "O", "", [("part", "p1")], True), ("a", 1, "O > L", "by ship", [], False), ("d", 0, "O", "", [], None),
+    ]
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
