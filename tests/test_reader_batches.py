@@ -55,6 +55,19 @@ def test_printed_lines_share_batches():
     assert [b.num_rows for b in got] == [1200] and [(r["page"], r["row_no"]) for r in got[0].to_pylist()[-3:]] == [(1, 1), (1, 3), (2, 4)]
 
 
+def test_words_of_lines_are_few_steps():
+    """Words are split and found again, not matched one by one; a cell is a plain tuple, blanks are those of the pattern."""
+    import random
+    import re
+
+    r = random.Random(12)
+    for _ in range(2000):
+        line = "".join(r.choice("ab1.é😀 \t\x1f\xa0\u2003\u3000\u200b\0") for _ in range(r.randint(0, 30)))
+        assert files._words(line) == [(m[0], float(m.start()), float(m.end())) for m in re.finditer(r"\S+", line)]
+    assert list(files._fixed_rows("a.txt", b"aa a\n \n\fa aa a")) == [("a.txt", 1, 1, 1.0, [("aa", 0.0, 2.0), ("a", 3.0, 4.0)]), ("a.txt", 2, 3, 3.0, [("a", 0.0, 1.0), ("aa", 2.0, 4.0), ("a", 5.0, 6.0)])]
+    assert files.tabular(["a", None, " ", 7]) == [("a", 0.0, 0.0), ("7", 3.0, 3.0)]
+
+
 def test_files_are_made_on_all_cores(spark):
     """The rows of files are dealt over several parts a core, however few bytes they are."""
     from ledgerloom.plans import file_queries
