@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import yaml
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.names import SEPARATOR
 from ledgerloom.sources import files, sidecars
@@ -64,17 +64,55 @@ def ids(texts: DataFrame) -> DataFrame:
     return t.select("file", "error", F.when(F.col("error").isNull(), F.coalesce("_d.layer", F.lit(""))).alias("layer"), F.explode_outer(paths).alias("path", "id"))
 
 
+_TYPES = {"file": _TEXT, "error": _TEXT, "slug": _TEXT, "form_id": pa.int64(), "form_title": _TEXT, "description": _TEXT, "ord": pa.int32(), "name": _TEXT, "id": _TEXT, "type": _TEXT, "title": _TEXT, "writable": pa.bool_()}
+
+
 def types(texts: DataFrame) -> DataFrame:
-    """SC23, SC26: (file, error, slug, form_id, form_title, description, ord, name, id, type, title, writable), a field a row; a type without fields has one row."""
+    """SC23, SC26: (file, error, slug, form_id, form_title, description, ord, name, id, type, title, writable), a field a row; a type without fields has one row.
 
-    def read(text: str) -> list[tuple]:
+    A file's rows wait as Arrow batches until its text has proved sound, a type at a time.
+    """
+
+    def told(kind: tuple, fields: list[tuple]) -> list[tuple]:
+        return [(*kind, *f[1:6], None if f[6] is None else bool(f[6])) for f in fields] or [(*kind, *(None,) * 6)]
+
+    def whole(text: str) -> list[tuple]:
         kinds, fields = sidecars.parse_types(text)
         own: dict = {}
         for f in fields:
-            own.setdefault(f[0], []).append(f[1:])
-        return [(*k, *f) for k in kinds for f in own.get(k[0], [(None,) * 6])]
+            own.setdefault(f[0], []).append(f)
+        return [row for k in kinds for row in told(k, own.get(k[0], []))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
+        for held in batches:
+            for name, content in zip(held.column("file"), held.column("text")):
+                file, text = name.as_py(), content.as_py()
+                sound, own = [], []
+                try:
+                    for kind, fields in sidecars.types_in_parts(text):
+                        own += [(file, None, *row) for row in told(kind, fields)]
+                        if len(own) >= files.BATCH_ROWS:
+                            sound.append(files.batch(own, _TYPES))
+                            own = []
+                except sidecars.NotInParts:
+                    sound = []
+                    try:
+                        own = [(file, None, *row) for row in whole(text)]
+                    except _BROKEN as e:
+                        own = [_broken(file, e, len(_TYPES) - 2)]
+                except _BROKEN as e:
+                    sound, own = [], [_broken(file, e, len(_TYPES) - 2)]
+                yield from sound
+                part += own
+                if len(part) >= files.BATCH_ROWS:
+                    yield files.batch(part, _TYPES)
+                    part = []
+        if part:
+            yield files.batch(part, _TYPES)
 
-    return _each(texts, read, "slug string, form_id long, form_title string, description string, ord int, name string, id string, type string, title string, writable boolean")
+    shown = "file string, error string, slug string, form_id long, form_title string, description string, ord int, name string, id string, type string, title string, writable boolean"
+    return texts.where("text IS NOT NULL").select("file", "text").mapInArrow(run, shown)
 
 
 def ops(texts: DataFrame) -> DataFrame:
@@ -170,20 +208,39 @@ def ids_lines(tree: DataFrame) -> DataFrame:
     return lines.select("layer", (F.col("_k") + F.when(F.col("_k") == 1, 0).otherwise(4) + F.col("_i")).cast("long").alias("line_no"), "line")
 
 
+_ENTRIES = {"file": _TEXT, "form_id": pa.int64(), "head": _TEXT, "entry": _TEXT}
+
+
 def type_texts(kinds: DataFrame, fields: DataFrame) -> DataFrame:
     """SK04: (file, text) of type dictionaries from (file, slug, form_id, form_title, description) and (file, slug, ord, name, id, type, title, writable).
 
-    One row holds a layer's dictionary: its forms, not its nodes.
+    A row holds a type's entry, then a layer's dictionary: its forms, not its nodes.  Both
+    are dealt over four parts a core, as few keys would meet in too few parts.
     """
-    k = kinds.groupBy("file").agg(F.collect_list(F.struct("slug", "form_id", "form_title", "description")).alias("k"))
-    f = fields.groupBy("file").agg(F.collect_list(F.struct("slug", "ord", "name", "id", "type", "title", "writable")).alias("f"))
-
-    @F.pandas_udf(T.StringType())
-    def text(file: pd.Series, k: pd.Series, f: pd.Series) -> pd.Series:
-        row = lambda d: tuple(d.values())
-        return pd.Series([sidecars.types_document(a, [row(x) for x in b], [row(x) for x in c] if c is not None else []) for a, b, c in zip(file, k, f)])
-
-    return k.join(f, "file", "left").select("file", text("file", "k", "f").alias("text"))
+    parts = max(4 * kinds.sparkSession.sparkContext.defaultParallelism, int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind, field = F.struct("slug", "form_id", "form_title", "description").alias("k"), F.struct("slug", "ord", "name", "id", "type", "title", "writable").alias("f")
+    rows = kinds.select("file", "slug", kind).unionByName(fields.select("file", "slug", field), allowMissingColumns=True)
+    own = rows.repartition(parts, "file", "slug").groupBy("file", "slug").agg(F.collect_list("k").alias("k"), F.collect_list("f").alias("f")).where(F.size("k") > 0)
+
+    def row(held: dict) -> tuple:
+        return tuple(held.values())
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = [], 0
+        for held in batches:
+            for file, k, f in zip(held.column("file"), held.column("k"), held.column("f")):
+                name, k = file.as_py(), [*map(row, k.as_py())]
+                part.append((name, min(t[1] for t in k), sidecars.type_head(name), sidecars.type_text(k, [*map(row, f.as_py())])))
+                size += len(part[-1][-1])
+                if size > files.BATCH_BYTES or len(part) == files.BATCH_ROWS:
+                    yield files.batch(part, _ENTRIES)
+                    part, size = [], 0
+        if part:
+            yield files.batch(part, _ENTRIES)
+
+    entries = own.select("file", "k", "f").mapInArrow(write, "file string, form_id long, head string, entry string")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("form_id", "entry"))), lambda s: s["entry"]), "")
+    return entries.repartition(parts, "file").groupBy("file").agg(F.concat(F.first("head"), text).alias("text"))
 
 
 def result_texts(buckets: DataFrame, posted: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers of held files and sidecar tables: against the readers of one text, with nulls, broken texts and empty tables."""
 
 import json
+import tracemalloc
 
 import pytest
 
@@ -87,3 +88,58 @@ def test_values_leave_as_arrow_batches(spark):
         ("a", 0, "O", "", [("part", "p1")], True), ("a", 1, "O > L", "by ship", [], False), ("d", 0, "O", "", [], None),
     ]
     assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
+def _dictionary(types: int, fields: int) -> str:
+    return C.types_document("l", [(f"t{k}", k + 1, f"T {k}", "") for k in range(types)], [(f"t{k}", n, f"f{n:05d}", f"i{n}", "int", f"#{n}", n % 2 == 0) for k in range(types) for n in range(fields)])
+
+
+def test_type_dictionaries_are_read_a_type_at_a_time():
+    """Memory follows the largest type, not the file; rows and errors are those of a whole reading."""
+    text = _dictionary(30, 100)
+    tracemalloc.start()
+    whole = C.parse_types(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tracemalloc.start()
+    n = sum(len(fields) for _, fields in C.types_in_parts(text))
+    least = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(whole[1]) == 3000 and least < most / 10
+
+    def read(parts: bool, text: str):
+        try:
+            made = list(C.types_in_parts(text)) if parts else C.parse_types(text)
+        except L._BROKEN as e:
+            return str(e).split("\n")[0]
+        return ([k for k, _ in made], [f for _, own in made for f in own]) if parts else made
+
+    broken = ["types: {a: {formId: 0}}\nb: [", "types: {a: {formId: 0}, b: !x 5}", "types: {a: !x 1}\nb: [", "types: {a: {formId: 1}, b: {formId: 1}}", "types: {a: }", "types: {a: {formId: 1, fields: {2: , b: }}}", "d: 2024-13-45\ntypes: {a: {formId: 1}}"]
+    sound = ["types: {}", "a: 1", "types: {a: {formId: 0x10, form: 010, fields: {b: {id: x, writable: false}, a: }}, yes: {formId: 2}}", text]
+    for t in broken + sound:
+        assert read(True, t) == read(False, t), t
+    for t in ("", "types: []", "types: {a: {formId: 1}, a: {formId: 2}}", "types: {a: {formId: 1, form: &x F, description: *x}}", "types: {a: {formId: 1}}\ntypes: {b: {formId: 2}}", "--- {types: {a: !x 1}}\n--- 5"):
+        with pytest.raises(C.NotInParts):
+            list(C.types_in_parts(t))
+
+
+def test_types_of_large_files(spark):
+    """Nothing of a file stays that proves broken at its end; others leave whole, and anchors are followed."""
+    large = _dictionary(3, 4000)
+    got = L.types(_texts(spark, ("a", large), ("b", large + "x: ["), ("c", large + "x: !y 1\n"), ("d", "types: {a: {formId: 1, form: &x F, description: *x}}"), ("e", "types: {a: {formId: 1}, a: {formId: 0}}"))).collect()
+    assert [(r["file"], r["slug"], r["ord"], r["name"]) for r in got if r["file"] == "a"] == [("a", f"t{k}", n, f"f{n:05d}") for k in range(3) for n in range(4000)]
+    assert [(r["file"], r["slug"]) for r in got if r["file"] in "bc"] == [("b", None), ("c", None)] and all(r["error"] for r in got if r["file"] in "bce")
+    assert [(r["slug"], r["form_title"], r["description"], r["name"]) for r in got if r["file"] == "d"] == [("a", "F", "F", None)]
+
+
+def test_type_texts_are_written_by_type(spark):
+    """Entries are made a type a row and joined by form id, as one text is written."""
+    kinds = [("l", "b", 2, "B: b", "two\n words"), ("l", "a", 3, "", ""), ("l", "", 1, "é", ""), ("m", "a", 7, "A", ""), ("m", "a", 5, "old", ""), ("m", None, 6, "N", ""), (None, "z", 1, "Z", "")]
+    fields = [("l", "b", 1, "y", "1", "int", "  t  t ", False), ("l", "b", 0, "x", "", "string", "", True), ("l", "no", 0, "x", "", "string", "", True), ("m", "a", 0, "p", "q", "int", None, True), ("m", None, 0, "of null", "q", "int", "", True)]
+    k = spark.createDataFrame(kinds, "file string, slug string, form_id long, form_title string, description string")
+    f = spark.createDataFrame(fields, "file string, slug string, ord int, name string, id string, type string, title string, writable boolean")
+    made = L.type_texts(k, f)
+    assert {r["file"]: r["text"] for r in made.collect()} == {file: C.types_document(file, [t[1:] for t in kinds if t[0] == file], [t[1:] for t in fields if t[0] == file]) for file in ("l", "m", None)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [file" in plan and "slug" in plan.split("RepartitionByExpression [file")[2].split("]")[0]
+    assert C.types_document("l", [], []) == 'layer: "l"\ntypes: {}\n'
