@@ -81,3 +81,19 @@ def test_page_parts():
     p = P.parse('<title>T &amp; t</title><meta name=description content=" D "><base href="http://b/"><script type="application/ld+json">{"a":1}</script><script>no</script><noscript>yes</noscript><p>a<br>b</p><a href="/x"> l  k </a><img alt="logo"><a href="#y">z</a>')
     assert (p["title"], p["description"], p["jsonld"], p["base"]) == ("T & t", "D", ['{"a":1}'], "http://b/")
     assert p["text"] == "yes\na\nb\nl k logoz" and P.addresses(p["links"], "http://b/") == [("l k", "http://b/x")]
+
+
+def test_titles_equal_their_sql(spark, tmp_path):
+    """A reference that is cut, or is none of the five, stays as it stands; no page has no title."""
+    import duckdb
+
+    from ledgerloom.plans import graph_queries as G
+
+    titles = ["Ly.&amp;&amp;&amp; and&amp", "a&lt", "a&lt;b&gt;", "&quot;&#39;", "a&#39", "&amp;lt;", "&amp;amp;amp", "&copy;&nbsp;x", "&#65;&#x41", "a & b &", "&am", "", "\n é\n"]
+    pages = [f"<html><head><TITLE lang=a>{t}</title><p>x&amp</p>" for t in titles] + [None, "", "<p>no title &amp</p>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r["page_id"]: r["title"] for r in G.page_title(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(G.ORACLES["page_title"]).fetchall()) and got[0] == "Ly.&&& and&amp" and got[len(titles)] is None
+    assert P.parse(pages[0])["title"] == "Ly.&&& and&" and P.parse(pages[7])["title"] == "©\xa0x"  # the reader itself decodes them all
